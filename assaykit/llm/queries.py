@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, licenses, packing, quality, tokenstore
+from . import decontam, fingerprints, licenses, linededup, packing, quality, tokenstore, urlfilter
 from .common import shared_path
 
 
@@ -36,10 +36,41 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col(linededup.RESULT)
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", r.n_lines.alias("n_lines"), r.n_deleted.alias("n_deleted"), F.sha2(r.text, 256).alias("kept_sha256"),
+        (r.n_deleted > 0).alias("changed"),
+    )
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+#: The query's list: (entry, action, day of the event, in days from ``EPOCH``). The pages table has no fetch times, so a
+#: page is taken to be fetched ``page_id mod 366`` days after ``EPOCH``.
+EPOCH = "2024-01-01"
+LIST_EVENTS = [
+    ("spam-farm.example.org", "add", 10), ("spam-farm.example.org", "remove", 90), ("spam-farm.example.org", "add", 200),
+    ("cheap-pills.example.com", "add", 45), ("casino-win.example.com", "add", 0), ("casino-win.example.com", "remove", 300),
+    ("free-bets.example.com", "add", 120), ("free-bets.example.com", "remove", 121), ("tionsh.example.com/en", "add", 60),
+    ("tionble.example.org/en", "add", 30), ("tionble.example.org", "add", 150), ("tionble.example.org", "remove", 250),
+    ("tionsh.example.net/de", "add", 5), ("tionsh.example.net/de", "remove", 200), ("example.net/es", "add", 330),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.lit(EPOCH).cast("date"), F.pmod(F.col("page_id"), F.lit(366)).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.cast("timestamp").alias("fetched"))
+    events = spark.createDataFrame(LIST_EVENTS, "entry string, action string, day int").select(
+        "entry", "action", F.date_add(F.lit(EPOCH).cast("date"), F.col("day")).cast("timestamp").alias("on")
+    )
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    found = urlfilter.filter_urls(captures, events)
+    return found.select("page_id", "host", text("fetched").alias("fetched"), "n_active", "entry", text("since").alias("since"), "blocked")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.contamination_digest(decontam.mark_contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -53,8 +84,8 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quality_classifier, op2_license_scan, op3_best_fit_packing, op6_fingerprints, op9_decontamination,
-        op10_token_planes,
+        op1_quality_classifier, op2_license_scan, op3_best_fit_packing, op4_line_dedup, op6_fingerprints,
+        op8_url_filter, op9_decontamination, op10_token_planes,
     )}
 
 
