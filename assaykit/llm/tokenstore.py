@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_range, id_splits, text_frame, text_partitions
-from .tokens import encode_batches
+from .tokens import encode_batches, release
 
 _CHUNK = pa.struct([("first", pa.int64()), ("n", pa.int32()), ("bytes", pa.int64()), ("crc32", pa.int64())])
 _FIELDS = [
@@ -95,6 +95,7 @@ def write_token_store(
                     n = 0
         if held:
             yield flush()
+        release(tokenizer)
 
     (
         text_frame(docs)
