@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_frame
-from .tokens import encode_batches
+from .tokens import encode_batches, release
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -31,6 +31,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.int64()])]
             who = b.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([who, *cols], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release(tokenizer)
 
     return frame.mapInArrow(
         run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
