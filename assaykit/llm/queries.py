@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, licenses, linededup, packing, quality, tokenstore, urlfilter
+from . import decontam, fingerprints, jaccard, licenses, linededup, lm, packing, quality, tokenstore, urlfilter
 from .common import shared_path
 
 
@@ -44,10 +44,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 #: The query's list: (entry, action, day of the event, in days from ``EPOCH``). The pages table has no fetch times, so a
 #: page is taken to be fetched ``page_id mod 366`` days after ``EPOCH``.
 EPOCH = "2024-01-01"
@@ -84,7 +92,7 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quality_classifier, op2_license_scan, op3_best_fit_packing, op4_line_dedup, op6_fingerprints,
+        op1_quality_classifier, op2_license_scan, op3_best_fit_packing, op4_line_dedup, op5_jaccard_join, op6_fingerprints, op7_pitman_yor,
         op8_url_filter, op9_decontamination, op10_token_planes,
     )}
 
