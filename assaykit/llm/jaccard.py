@@ -247,7 +247,7 @@ def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, list_size: in
 
 def keep_first(docs: DataFrame, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
     """``docs`` with one document of each component: the one whose doc_id is the component's. Documents without shingles
-    and rows of null doc_id that equal no other document stay; of repeated rows with one doc_id, one stays."""
+    and rows of null doc_id stay; of repeated rows with one doc_id, one stays."""
     found = materialize(link_groups(docs, **options), "components")
     gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     gone = materialize(gone, "gone")

@@ -1,42 +1,58 @@
-"""A training corpus from ``documents``: stages that each call one operator of ``assaykit.llm``."""
+"""A training corpus from ``documents``: five stages, each calling one operator of ``assaykit.llm``.
+
+Each stage works on all documents that its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assaykit.llm import decontam, packing, quality
+from assaykit.llm import decontam, jaccard, linededup, packing, quality
 from assaykit.llm.common import materialize
 from assaykit.llm.queries import table, vocabulary
-from pyspark.sql import functions as F
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. The classifier is fitted on labelled rows of the documents."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines (50 words or more) that an earlier document has; emptied documents go."""
+    return linededup.replace_text(linededup.dedup_lines(docs)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return jaccard.keep_first(docs, size=5, percent=80).select(*docs.columns)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of ten words of a benchmark item."""
     marked = decontam.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
     return marked.where(F.col(f"{decontam.RESULT}.n_hit") == 0).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in training sequences."""
+    """Places of all documents' pieces in training sequences."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
     ("quality classifier", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("n-gram jaccard join", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("best-fit packing", packing_stage),
 ]
 
-#: The stages aren't expressible in SQL (a fitted classifier, a genetic algorithm); tests use brute force.
+#: SQL can't express a fitted classifier and a genetic algorithm; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result but the last is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
