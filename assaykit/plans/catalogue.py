@@ -182,7 +182,7 @@ def stuck_reports(spark, d):
 
 
 @query("""
-SELECT o_orderkey AS report_id, count(*) AS children, round(least(0.95, 0.5 + 0.05 * count(*)), 6) AS confidence
+SELECT o_orderkey AS report_id, count(*) AS children, CAST(round(least(0.95, 0.5 + 0.05 * count(*)), 6) AS DOUBLE) AS confidence
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1""")
 def inconsistent_reports(spark, d):
     from ..streaming.flows import healed_status
@@ -373,7 +373,7 @@ def doc_tokens(spark, d):
 @query(f"""
 WITH t AS (SELECT doc_id, {_ASCII} AS t FROM documents), l AS (SELECT *, string_split(trim(t, ' '), chr(10)) AS ls FROM t)
 SELECT doc_id, CAST(10 * {_count('t', r'\b(' + '|'.join(sorted(ALIASES)) + r')\b')} + len(regexp_extract_all(t, '{texts.RELEVANT_UNITS}'))
- + CASE WHEN len(ls) > 3 AND len(list_filter(ls, x -> regexp_matches(x, '{texts.TABLE_LINE}'))) > 2 THEN 5 ELSE 0 END AS BIGINT) AS score FROM l""")
+ + CASE WHEN len(ls) > 3 AND len(list_filter(ls, lambda x: regexp_matches(x, '{texts.TABLE_LINE}'))) > 2 THEN 5 ELSE 0 END AS BIGINT) AS score FROM l""")
 def doc_relevance(spark, d):
     return _docs(spark, d).select("doc_id", texts.relevance(F.col("text"), ALIASES).cast("long").alias("score"))
 
@@ -454,7 +454,7 @@ def doc_skip_fold(spark, d):
 
 
 @query("""
-SELECT event_id AS reading_id, 'glucose' AS name, value, 5.0 AS low, 30.0 AS high, value < 5 OR value > 30 AS is_abnormal FROM events WHERE event_type = 'click'""")
+SELECT event_id AS reading_id, 'glucose' AS name, value, CAST(5 AS DOUBLE) AS low, CAST(30 AS DOUBLE) AS high, value < 5 OR value > 30 AS is_abnormal FROM events WHERE event_type = 'click'""")
 def extract_roundtrip(spark, d):
     e = readings(spark, d).where("name = 'click'")
     said = e.select("reading_id", F.format_string("Report. Fasting Glucose (serum): %.2f mg/dL (5-30)\nnext", "value").alias("text"))
@@ -564,7 +564,7 @@ def chat_last_n(spark, d):
 
 
 @query(r"""
-SELECT conv_id, turn, CAST(greatest(floor(len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '')) * 0.75
+SELECT conv_id, turn, CAST(greatest(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 0.75
  + length(text) - length(regexp_replace(text, '[.,!?]', '', 'g')) + (len(regexp_extract_all(lower(text), 'mg/dl|cholesterol|glucose'))) * 0.5), 1) AS BIGINT) AS tokens FROM conversations""")
 def chat_tokens(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", texts.chat_tokens(F.col("text")).alias("tokens"))
