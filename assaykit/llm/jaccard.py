@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .common import blank_words, materialize
 from .components import connected_components
 
-#: Counters of the frequency table (2 bytes each: 16 MB for any corpus), and the rows in which it is added up.
-_TABLE_BITS, _SLICES = 23, 128
+#: Counters of the frequency table (2 bytes each: 8 MB for any corpus), and the rows in which it is added up.
+_TABLE_BITS, _SLICES = 22, 128
 _SKETCH_BITS = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,7 +55,7 @@ def frequency_table(docs: DataFrame, size: int) -> np.ndarray:
             for text in b.column(0).to_pylist():
                 held.append(_slot(shingle_set(text, size)))
                 n += len(held[-1])
-                if n >= 2_000_000:
+                if n >= 1_000_000:
                     np.add(table, np.bincount(np.concatenate(held), minlength=len(table)), out=table, casting="unsafe")
                     held, n = [], 0
         if n:
@@ -85,7 +85,7 @@ def frequency_table(docs: DataFrame, size: int) -> np.ndarray:
     parts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "slice int, counts binary")
     summed = parts.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary")
     table = np.zeros(1 << _TABLE_BITS, "<u2")
-    for r in summed.collect():  # 16 MB
+    for r in summed.collect():  # 8 MB
         width = len(table) // _SLICES
         table[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.counts, "<u2")
     return table
@@ -147,8 +147,7 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, broadcast
     Sets are made again from the texts of the documents in question only; up to ``broadcast_ids`` of their ids are
     broadcast (8 MB), more are joined by a shuffle.
     """
-    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    asked = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    asked = small(materialize(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids"), broadcast_ids)
 
     def make(batches):
         for b in batches:
@@ -157,16 +156,22 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, broadcast
 
     def compare(batches):
         for b in batches:
-            good = []
-            for a, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                a, c = np.frombuffer(a, "u8"), np.frombuffer(c, "u8")
+            good, left, right = [], b.column(2), b.column(3)
+            for i in range(b.num_rows):  # without copies: a batch may hold many long sets
+                a, c = np.frombuffer(left[i].as_buffer(), "u8"), np.frombuffer(right[i].as_buffer(), "u8")
                 good.append(len(np.intersect1d(a, c, assume_unique=True)) >= least_overlap(len(a), len(c), percent))
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sets = materialize(texts.join(asked, "doc_id", "left_semi").mapInArrow(make, "x long, set binary"), "sets")
     left, right = sets.select(F.col("x").alias("u"), F.col("set").alias("a")), sets.select(F.col("x").alias("v"), F.col("set").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+    return materialize(both.mapInArrow(compare, "u long, v long"), "links")
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most ``most`` rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, list_size: int = 16, tries: int = 4) -> DataFrame:
@@ -197,8 +202,8 @@ def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, list_size: in
     members = materialize(members, "members")
 
     # one posting for each prefix token of each group
-    later = members.where("v != g").select("v")
-    sizes = members.where("v = g").select("v", "members")
+    later = small(materialize(members.where("v != g").select("v"), "later"))
+    sizes = small(materialize(members.where("v = g").select("v", "members"), "sizes"))
     heads = reps.join(later, "v", "left_anti").join(sizes, "v", "left")
     postings = heads.select(F.posexplode("prefix").alias("pos", "t"), "v", "n", F.coalesce("members", F.lit(1)).alias("members"))
     lists = postings.groupBy("t").agg(F.sum("members").alias("length")).where("length > 1")
@@ -251,8 +256,7 @@ def keep_first(docs: DataFrame, broadcast_ids: int = 1_000_000, **options) -> Da
     found = materialize(link_groups(docs, **options), "components")
     gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     gone = materialize(gone, "gone")
-    same = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
-    kept = docs.join(same, "doc_id", "left_anti")
+    kept = docs.join(small(gone, broadcast_ids), "doc_id", "left_anti")
     if not found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
         again = Window.partitionBy("doc_id").orderBy("text")
         kept = kept.withColumn("__k", F.when(F.col("doc_id").isNotNull(), F.row_number().over(again)).otherwise(1)).where("__k = 1").drop("__k")

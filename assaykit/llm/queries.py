@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, licenses, linededup, lm, packing, quality, tokenstore, urlfilter
+from . import decontam, fingerprints, jaccard, licenses, linededup, lm, oracles, packing, quality, tokenstore, urlfilter
 from .common import shared_path
 
 
@@ -98,4 +98,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have none: a fitted classifier, a genetic algorithm, graph components, chunk digests, sampling and
+    tokenizers aren't expressible in SQL, and are tested against brute force, round trips or held-out texts."""
+    return {
+        "op2_license_scan": oracles.license_sql(),
+        "op4_line_dedup": oracles.LINE_DEDUP,
+        "op8_url_filter": oracles.url_filter_sql(EPOCH, LIST_EVENTS),
+        "op9_decontamination": oracles.DECONTAMINATION,
+    }
