@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts, values
-from ..operators import documents, longitudinal, matching, metrics, relational
+from ..operators import documents, longitudinal, matching, metrics, relational, state
 from ..sources.tables import measurements, people, readings, reports, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -454,7 +454,7 @@ def doc_skip_fold(spark, d):
 
 
 @query("""
-SELECT event_id AS reading_id, 'glucose' AS name, value, CAST(5 AS DOUBLE) AS low, CAST(30 AS DOUBLE) AS high, value < 5 OR value > 30 AS is_abnormal FROM events WHERE event_type = 'click'""")
+SELECT event_id AS reading_id, 'Glucose' AS name, value, CAST(5 AS DOUBLE) AS low, CAST(30 AS DOUBLE) AS high, value < 5 OR value > 30 AS is_abnormal FROM events WHERE event_type = 'click'""")
 def extract_roundtrip(spark, d):
     e = readings(spark, d).where("name = 'click'")
     said = e.select("reading_id", F.format_string("Report. Fasting Glucose (serum): %.2f mg/dL (5-30)\nnext", "value").alias("text"))
@@ -590,3 +590,79 @@ def content_hash_dups(spark, d):
 @query()
 def person_summary(spark, d):
     return longitudinal.summary_text(readings(spark, d), "person_id")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, """ + _ASCII + r""" AS t FROM documents)
+SELECT doc_id, round(CAST(least(0.99, 0.5 + CASE WHEN regexp_matches(t, '(?:\|[^|]+\|[^|]+\|)|(?:[^\t]+\t[^\t]+\t[^\t]+)') THEN 0.1 ELSE 0 END
+ + CASE WHEN regexp_matches(t, '(?i)\b(?:TEST|RESULT|REFERENCE RANGE)\b') THEN 0.05 ELSE 0 END
+ + CASE WHEN regexp_matches(t, '(?i)\b(?:HIGH|LOW|ABNORMAL|NORMAL|H|L|A|N)\b') THEN 0.05 ELSE 0 END) AS DOUBLE), 6) AS confidence FROM t""")
+def doc_boosters(spark, d):
+    return _docs(spark, d).select("doc_id", r6(state.boosted(F.col("text"), F.lit(0.5), "legacy")).alias("confidence"))
+
+
+@query("""
+SELECT user_id AS person_id, event_type AS name, max(event_id) AS page, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
+def context_merge(spark, d):
+    known = readings(spark, d).withColumnRenamed("reading_id", "page")
+    return state.merge_contexts(known, "person_id", "name", "page", "value")
+
+
+@query("""
+WITH g AS (SELECT user_id AS person_id, lag(event_id) OVER w AS before, event_id AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ b AS (SELECT *, after - before AS gap FROM g WHERE after - before > 100)
+SELECT person_id, before, after, gap, row_number() OVER (PARTITION BY person_id ORDER BY gap DESC, before) = 1 AS largest FROM b""")
+def gap_analysis(spark, d):
+    return state.gaps(readings(spark, d), ["person_id"], "reading_id", 100)
+
+
+@query("""
+WITH p AS (SELECT user_id AS person_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT person_id, strftime(day, '%Y-%m-%d') AS day, array_to_string(list(n) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ' ') AS last_three,
+ round(avg(n) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS mean_of_two, round(avg(n) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS mean_so_far
+FROM p WINDOW w AS (PARTITION BY person_id ORDER BY day)""")
+def discovery_rates(spark, d):
+    p = readings(spark, d).groupBy("person_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    f = state.discovery(p, ["person_id"], "day", "n")
+    return f.select("person_id", day("day").alias("day"), F.array_join(F.transform("last_three", lambda x: x.cast("string")), " ").alias("last_three"),
+                    r6("mean_of_two").alias("mean_of_two"), r6("mean_so_far").alias("mean_so_far"))
+
+
+@query("""
+SELECT event_id AS reading_id FROM (SELECT *, max(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events WHERE value >= 5)
+WHERE b IS NULL OR value > b""")
+def new_or_surer(spark, d):
+    return state.new_or_surer(readings(spark, d), ["person_id"], "name", "reading_id", "value", 5).select("reading_id")
+
+
+@query("""
+SELECT name, frequency, round(success, 6) AS success FROM (SELECT event_type || user_id AS name, count(*) AS frequency, avg(value) / 100 AS success FROM events GROUP BY 1)
+ORDER BY frequency * success DESC, name LIMIT 62""")
+def pattern_eviction(spark, d):
+    p = readings(spark, d).groupBy(F.concat("name", F.col("person_id").cast("string")).alias("name")).agg(F.count("*").alias("frequency"), (F.avg("value") / 100).alias("success"))
+    return state.evict(p, 90).select("name", "frequency", r6("success").alias("success"))
+
+
+@query("""
+WITH t AS (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events)
+SELECT event_id AS reading_id, round(CAST(greatest(0.0, least(1.0, 0.7 + CASE WHEN event_type <> 'error' THEN 0.1 ELSE -0.2 END + CASE WHEN event_id % 2 = 0 THEN 0.05 ELSE 0 END
+ - CASE WHEN k = value THEN 0.1 WHEN abs(k - value) / nullif(greatest(k, value), 0) > 0.5 THEN 0.15 ELSE 0 END)) AS DOUBLE), 6) AS confidence FROM t""")
+def context_confidence(spark, d):
+    w = Window.partitionBy("person_id", "name").orderBy("reading_id")
+    e = readings(spark, d).withColumn("known", F.lag("value").over(w))
+    c = state.context_confidence(F.col("name") != "error", F.col("reading_id") % 2 == 0, F.lit(False), F.col("value"), F.col("known"))
+    return e.select("reading_id", r6(c).alias("confidence"))
+
+
+@query("""
+SELECT o_orderkey AS report_id, round(CAST(least(0.95, (sum(0.5 + CASE WHEN l_linenumber = 1 THEN 0.2 ELSE 0 END + CASE WHEN l_quantity > 25 THEN 0.1 ELSE 0 END) + 1.2) / (count(*) + 1)
+ + least(0.2, sum(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) * 0.05)) AS DOUBLE), 6) AS confidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def layout_confidence(spark, d):
+    pages = measurements(spark, d).select("report_id", F.when(F.col("line") == 1, 1).otherwise(0).alias("tables"), F.when(F.col("quantity") > 25, 0.8).otherwise(0.1).alias("content_confidence"), F.lit(0.6).alias("type_confidence"))
+    return state.structure_confidence(pages, "report_id").select("report_id", r6("confidence").alias("confidence"))
+
+
+@query()
+def dense_zone_chunks(spark, d):
+    docs = table(spark, d, "documents").where("length(text) > 0")
+    return docs.select("doc_id", F.posexplode(state.dense_chunks(F.col("text"), 400)).alias("ord", "text")).select("doc_id", "ord", F.sha2("text", 256).alias("text_sha256"))

@@ -131,3 +131,28 @@ def test_changes_with_nulls(spark):
     assert relational.delete_keys(df, df.where("id < 3"), "id").count() == 2
     new = relational.insert_absent(df, spark.createDataFrame([(4, "z"), (5, "y")], "id long, key string"), "id")
     assert sorted(r.id for r in new.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_learning_moves_success_and_takes_new_names(spark):
+    from assaykit.operators import state
+
+    known = spark.createDataFrame([("glucose", "mg/dL", 3, 0.9, 70.0, 99.0, 0.9)], "name string, unit string, frequency int, success double, low double, high double, threshold double")
+    seen = spark.createDataFrame([("Glucose", "mg/dL", 90.0, 0.5, 1), ("Glucose", "mg/dL", 91.0, 1.0, 2), ("New One", "U/L", 10.0, 0.6, 3), ("New One", "U/L", 20.0, 0.8, 4),
+                                  ("Weak", "U/L", 1.0, 0.1, 5)], "name string, unit string, value double, confidence double, ord int")
+    got = {r.name: r for r in state.learn_patterns(known, seen).collect()}
+    assert set(got) == {"glucose", "new_one"}
+    assert got["glucose"].frequency == 5 and abs(got["glucose"].success - ((0.9 * 0.9 + 0.05) * 0.9 + 0.1)) < 1e-9
+    assert (got["new_one"].low, got["new_one"].high, got["new_one"].frequency) == (10.0, 40.0, 1)
+    assert state.learn_patterns(known, seen, 1).count() == 1
+
+
+def test_text_helpers(spark):
+    from assaykit.operators import state
+
+    r = spark.range(1).select(
+        state.prepared_text(F.lit("Glucose 95\n mg/dL  (70 - 99)\x00")).alias("a"), state.table_text(F.lit("x\n| a | b | c | d |\ny")).alias("b"),
+        state.sections(F.lit("Overview: fine\nAdvice: walk"), ["Overview", "Advice", "Other"]).alias("c"), state.bullets(F.lit("hi\n• one\n - two\nend")).alias("d"),
+        texts.shape_reply(F.lit("A sentence. " * 100)).alias("e"), state.table_text(F.lit(None).cast("string")).alias("f"),
+    ).first()
+    assert r.a == "Glucose 95 mg/dL (70-99)" and r.b.startswith("| a |") and tuple(r.c) == ("fine", "walk", None) and r.d == ["one", "two"]
+    assert len(r.e) <= 800 and r.e.endswith(".") and r.f == ""
