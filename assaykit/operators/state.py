@@ -177,7 +177,7 @@ def sections(text: Column, markers: list[str]) -> Column:
 
 def bullets(text: Column) -> Column:
     """Bullet lines of a summary, without their marks."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
     return F.transform(F.filter(lines, lambda s: s.rlike("^[•*-]")), lambda s: F.trim(F.regexp_replace(s, "^[•*-]+", "")))
 
 
