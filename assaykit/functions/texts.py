@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
+
 # Patterns of measurements and their weights, for the confidence of a text.
 SCORE_PATTERNS = [
     (r"\b\d+[\.,]?\d*\s*(?:mg/[dD][lL]|g/[dD][lL]|mmol/L|U/L|IU/L|ng/m[lL]|pg/m[lL]|μg/[dD][lL]|mcg/[dD][lL]|%|mEq/L)", 2),
@@ -121,12 +123,16 @@ def chat_tokens(text: Column) -> Column:
 def confidence(text: Column) -> Column:
     """Confidence that a text holds measurements, from weighted pattern hits per 100 characters and section headers."""
     density = _total([hits(text, p) * w for p, w in SCORE_PATTERNS]) / (F.length(text) / 100)
-    base = F.when(density > SCORE_STEPS[0][0], SCORE_STEPS[0][1])
-    for least, value in SCORE_STEPS[1:]:
-        base = base.when(density > least, value)
-    score = base.otherwise(0.2)
-    for header in SCORE_HEADERS:
-        score = F.when(hits(text, header) > 0, F.least(F.lit(0.99), score + 0.15)).otherwise(score)
+
+    def stepped(d: Column) -> Column:
+        base = F.when(d > SCORE_STEPS[0][0], SCORE_STEPS[0][1])
+        for least, value in SCORE_STEPS[1:]:
+            base = base.when(d > least, value)
+        return base.otherwise(0.2)
+
+    headers = _total([F.when(hits(text, h) > 0, 1).otherwise(0) for h in SCORE_HEADERS])
+    found = F.struct(density.alias("d"), headers.alias("h"))
+    score = bind(found, lambda s: F.when(s["h"] > 0, F.least(F.lit(0.99), stepped(s["d"]) + 0.15 * s["h"])).otherwise(stepped(s["d"])))
     return F.when(F.coalesce(F.length(text), F.lit(0)) < 10, 0.0).otherwise(score)
 
 
@@ -147,11 +153,17 @@ def _escape(word: str) -> str:
 def screen(text: Column) -> Column:
     """What the quick screen finds, whatever has been kept before: struct(short, lab, patterns, admin, confidence)."""
     lower = F.lower(text)
-    lab = _total([hits(lower, p) for p in SCREEN_LAB])
-    patterns = _total([hits(text, p) * w for p, w in SCREEN_PATTERNS])
-    admin = _total([hits(lower, p) for p in SCREEN_ADMIN])
-    density = patterns / (F.length(text) / 100)
-    short = F.coalesce(F.length(F.trim(text)), F.lit(0)) < 20
+    counts = F.struct(
+        _total([hits(lower, p) for p in SCREEN_LAB]).alias("lab"), _total([hits(text, p) * w for p, w in SCREEN_PATTERNS]).alias("patterns"),
+        _total([hits(lower, p) for p in SCREEN_ADMIN]).alias("admin"), F.length(text).alias("size"),
+        (F.coalesce(F.length(F.trim(text)), F.lit(0)) < 20).alias("short"),
+    )
+    return bind(counts, _screened)
+
+
+def _screened(c: Column) -> Column:
+    lab, patterns, admin, short = c["lab"], c["patterns"], c["admin"], c["short"]
+    density = patterns / (c["size"] / 100)
     score = (
         F.when(short, 0.0).when(lab >= 1, F.least(F.lit(0.95), 0.7 + lab * 0.1)).when((admin >= 3) & (patterns == 0), 0.1)
         .when(density >= 2, 0.9).when(density >= 1, 0.8).when(density >= 0.5, 0.6).when(patterns >= 3, 0.7).when(patterns >= 1, 0.5)
@@ -188,7 +200,7 @@ def compress_legacy(text: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, r"[-_*=]{5,}", " "), r"\|{3,}", "|")
     t = F.regexp_replace(F.regexp_replace(t, r"(\d+),(\d{3})", "$1$2"), r"(\d+)\.0+\b", "$1")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    return F.when(F.coalesce(text, F.lit("")) == "", "").when(tokens(t) >= tokens(text), text).otherwise(t)
+    return bind(t, lambda s: F.when(F.coalesce(text, F.lit("")) == "", "").when(tokens(s) >= tokens(text), text).otherwise(s))
 
 
 def compress_balanced(text: Column) -> Column:
@@ -197,8 +209,8 @@ def compress_balanced(text: Column) -> Column:
     for p in BALANCED_REMOVALS:
         t = F.regexp_replace(t, f"(?i){p}", "")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    spoiled = (tokens(t) < tokens(text) * 0.7) | (tokens(t) >= tokens(text))
-    return F.when(F.coalesce(text, F.lit("")) == "", "").when(spoiled, text).otherwise(t)
+    spoiled = lambda s: (tokens(s) < tokens(text) * 0.7) | (tokens(s) >= tokens(text))
+    return bind(t, lambda s: F.when(F.coalesce(text, F.lit("")) == "", "").when(spoiled(s), text).otherwise(s))
 
 
 def lab_votes(text: Column) -> Column:
@@ -207,9 +219,9 @@ def lab_votes(text: Column) -> Column:
         F.struct(_total([(hits(text, p) > 0).cast("int") for p in ps]).alias("votes"), F.lit(-i).alias("place"), F.lit(lab).alias("lab"))
         for i, (lab, ps) in enumerate(LAB_NAMES)
     ])
-    best = F.array_max(votes)
-    n = best.getField("votes")
-    return F.struct(F.when(n > 0, best.getField("lab")).alias("lab"), n.alias("votes"), F.when(n > 0, F.least(F.lit(0.95), 0.6 + n * 0.1)).otherwise(0.0).alias("confidence"))
+    return bind(F.array_max(votes), lambda b: F.struct(
+        F.when(b["votes"] > 0, b["lab"]).alias("lab"), b["votes"].alias("votes"),
+        F.when(b["votes"] > 0, F.least(F.lit(0.95), 0.6 + b["votes"] * 0.1)).otherwise(0.0).alias("confidence")))
 
 
 def shape_reply(text: Column, most: int = 800) -> Column:

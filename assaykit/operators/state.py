@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind
 from ..functions.texts import confidence, hits, tokens
 from .documents import pack
 
-_TABLE = r"(?:\|[^|]+\|[^|]+\|)|(?:[^\t]+\t[^\t]+\t[^\t]+)"
+#: Cells between bars, or between tabs; a single character on either side is enough, which keeps matching linear.
+_TABLE = r"(?:\|[^|]+\|[^|]+\|)|(?:[^\t]\t[^\t]+\t[^\t])"
 _UNITS = r"\b\d+[\.,]?\d*\s*(?:mg/[dD][lL]|g/[dD][lL]|mmol/L|U/L|IU/L|ng/m[lL]|pg/m[lL]|μg/[dD][lL]|mcg/[dD][lL]|%)"
 _NAMES = ["glucose", "cholesterol", "triglycerides", "hdl", "ldl", "hemoglobin", "hematocrit", "tsh", "creatinine", "albumin", "sodium", "potassium"]
 
@@ -137,8 +139,8 @@ def dense_chunks(text: Column, limit: int = 4000, confident: float = 0.7) -> Col
     paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
     scored = F.transform(paragraphs, lambda p, i: F.struct((-confidence(p)).alias("c"), i.alias("i"), p.alias("p")))
     ordered = F.array_sort(F.filter(scored, lambda s: (s["c"] <= -0.3) | (tokens(s["p"]) <= 100)))
-    part = lambda test: pack(F.transform(F.filter(ordered, test), lambda s: s["p"]), limit, "\n\n")
-    return F.concat(part(lambda s: s["c"] <= -confident), part(lambda s: s["c"] > -confident))
+    part = lambda rows, test: pack(F.transform(F.filter(rows, test), lambda s: s["p"]), limit, "\n\n")
+    return bind(ordered, lambda rows: F.concat(part(rows, lambda s: s["c"] <= -confident), part(rows, lambda s: s["c"] > -confident)))
 
 
 def table_text(text: Column) -> Column:

@@ -594,7 +594,7 @@ def person_summary(spark, d):
 
 @query(r"""
 WITH t AS (SELECT doc_id, """ + _ASCII + r""" AS t FROM documents)
-SELECT doc_id, round(CAST(least(0.99, 0.5 + CASE WHEN regexp_matches(t, '(?:\|[^|]+\|[^|]+\|)|(?:[^\t]+\t[^\t]+\t[^\t]+)') THEN 0.1 ELSE 0 END
+SELECT doc_id, round(CAST(least(0.99, 0.5 + CASE WHEN regexp_matches(t, '(?:\|[^|]+\|[^|]+\|)|(?:[^\t]\t[^\t]+\t[^\t])') THEN 0.1 ELSE 0 END
  + CASE WHEN regexp_matches(t, '(?i)\b(?:TEST|RESULT|REFERENCE RANGE)\b') THEN 0.05 ELSE 0 END
  + CASE WHEN regexp_matches(t, '(?i)\b(?:HIGH|LOW|ABNORMAL|NORMAL|H|L|A|N)\b') THEN 0.05 ELSE 0 END) AS DOUBLE), 6) AS confidence FROM t""")
 def doc_boosters(spark, d):
