@@ -54,9 +54,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """``df``, in a session whose Arrow batches have at most ``rows`` rows: whole texts of any length go to Python, and a
+    batch is held several times on its way."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def text_frame(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text as bytes (no decoding in Python), and further columns."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *more)
+    return small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"), *more)
 
 
 def id_splits(docs: DataFrame, parts: int) -> list[int]:

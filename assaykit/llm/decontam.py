@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, materialize
+from .common import alnum_words, materialize, small_batches
 
 #: The operator's struct column.
 RESULT = "contamination"
@@ -52,7 +52,7 @@ def _rarity(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
             [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
         )
 
-    found = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = small_batches(docs).select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in found.collect()}
 
 

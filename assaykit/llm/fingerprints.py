@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_range, id_splits, text_partitions
+from .common import id_range, id_splits, small_batches, text_frame, text_partitions
 
 #: Chunk sizes in bytes: none below the least but the last, the usual one, none above the most.
 LEAST, NORMAL, MOST = 12, 32, 128
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], ["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return text_frame(docs).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         known = F.create_map(*[F.lit(x) for kv in also.items() for x in kv])
         to = F.element_at(known, key)
         targets = F.when(to.isNotNull(), F.array(place, F.struct(to.alias("part"), F.lit(1).alias("extra")))).otherwise(targets)
-    rows = docs.select("doc_id", key.alias("key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.explode(targets).alias("to"))
+    rows = small_batches(docs).select("doc_id", key.alias("key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.explode(targets).alias("to"))
     ordered = (
         rows.select("doc_id", "key", "text", "to.part", "to.extra")
         .repartitionById(max(parts, len(splits) + 1), F.col("part"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, materialize
+from .common import FOLD, materialize, small_batches
 
 #: The operator's struct column.
 RESULT = "quality_evidence"
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, ridge: float
 
     # the sample has max_rows rows at most, so sending it to all executors is bounded
     found = (
-        docs.join(F.broadcast(sample), "doc_id")
+        small_batches(docs).join(F.broadcast(sample), "doc_id")
         .select(F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y"))
         .mapInArrow(run, "x array<double>, y int")
         .limit(2 * max_rows)
@@ -113,7 +113,7 @@ def _evidence(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.float64())], [*b.schema.names[:-1], "__logit"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__logit", T.DoubleType())])
-    return docs.withColumn("__bytes", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return small_batches(docs).withColumn("__bytes", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def _strength(sites: DataFrame, prior: F.Column) -> float:

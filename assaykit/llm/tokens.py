@@ -20,7 +20,7 @@ _SPLITS = {
     "bytes": f" ?[{_L}]+|{_CONTRACTIONS}| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+",
     "words": f" ?[{_L}]+| ?(?:{_CONTRACTIONS})| ?[{_N}]| ?[^\\s{_L}{_N}]+|\\s+",
 }
-_CACHE_PIECES = 200_000
+_CACHE_PIECES = 400_000
 _JOINED, _AT_ONCE = 128, 128
 _loaded: dict[str, Encoder] = {}
 
