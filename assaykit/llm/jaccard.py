@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank_words, materialize
+from .common import blank_words, materialize, small_batches, text_frame
 from .components import connected_components
 
 #: Counters of the frequency table (2 bytes each: 8 MB for any corpus), and the rows in which it is added up.
@@ -82,7 +82,7 @@ def frequency_table(docs: DataFrame, size: int) -> np.ndarray:
             [pa.array([k], pa.int32()), pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], ["slice", "counts"]
         )
 
-    parts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "slice int, counts binary")
+    parts = small_batches(docs).select(F.col("text").cast("binary")).mapInArrow(count, "slice int, counts binary")
     summed = parts.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary")
     table = np.zeros(1 << _TABLE_BITS, "<u2")
     for r in summed.collect():  # 8 MB
@@ -126,19 +126,29 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
             cols = [b.column(0), pa.array(n, pa.int64()), *longs, pa.array(first, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "p1", "p2", "prefix", "sketch"])
 
-    frame = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return frame.mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, p1 long, p2 long, prefix array<long>, sketch array<long>")
+    return text_frame(docs).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, p1 long, p2 long, prefix array<long>, sketch array<long>")
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """Size, positional and sketch bounds of two structs (v, n, pos, sketch) that share the token at pos."""
+def _need(na: Column, nb: Column, percent: int) -> Column:
+    return F.floor((percent * (na + nb) + (100 + percent - 1)) / (100 + percent))
+
+
+def may_share(a: str, b: str, percent: int) -> Column:
+    """Size and positional bounds of two structs (v, n, pos) that share the token at pos."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.floor((percent * (na + nb) + (100 + percent - 1)) / (100 + percent))
     rest = 1 + F.least(na - F.col(f"{a}.pos") - 1, nb - F.col(f"{b}.pos") - 1)
-    bits = F.aggregate(
-        F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (rest >= need) & (bits <= na + nb - 2 * need)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (rest >= _need(na, nb, percent))
+
+
+def may_differ(na: str, nb: str, a: str, b: str, percent: int) -> Column:
+    """Sketch bound: two sketches differ in no more bits than the sets may in shingles."""
+    bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return bits <= F.col(na) + F.col(nb) - 2 * _need(F.col(na), F.col(nb), percent)
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """All bounds of two structs (v, n, pos, sketch)."""
+    return may_share(a, b, percent) & may_differ(f"{a}.n", f"{b}.n", f"{a}.sketch", f"{b}.sketch", percent)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, broadcast_ids: int = 1_000_000) -> DataFrame:
@@ -174,7 +184,7 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, list_size: int = 16, tries: int = 4) -> DataFrame:
+def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, list_size: int = 16, tries: int = 4, rounds: int = 1, most_prior: int = 32) -> DataFrame:
     """doc_id, n_shingles and component_id of each row: the smallest doc_id reachable by links, itself included.
 
     Two documents link when the Jaccard similarity of their sets of ``size``-word shingles is ``percent`` hundredths or
@@ -183,10 +193,11 @@ def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, list_size: in
     verified on whole sets.
 
     Components are wanted, so pairs inside a known component needn't be looked at, and thousands of near copies
-    don't make millions of pairs. First each group meets the first of a salted part of each token's list (parts of about
-    ``list_size``; ``tries`` candidates for a document) and each member its group's first; the links of these are
-    contracted. Then, exactly and without any cap, every candidate pair of different components is verified: a token's
-    members outside its largest component meet all members of other components.
+    don't make millions of pairs. First, in ``rounds`` rounds, each group meets the first of a salted part of each token's
+    list (parts of about ``list_size``, dealt anew each round; ``tries`` candidates of other components for a document)
+    and each member its group's first; the links of these are contracted. Then, exactly and without any cap, every candidate pair of different components is verified: a token's
+    members outside its largest component meet all members of other components, a pair at its first common token (if that is
+    among the first ``most_prior``; later ones may bring a pair again).
 
     Null and empty texts have no shingles, link with nothing and are their own component. Rows with one doc_id are one
     document. Rows with null doc_id make no links; their component is that of an equal set, or null. An empty table
@@ -209,26 +220,41 @@ def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, list_size: in
     lists = postings.groupBy("t").agg(F.sum("members").alias("length")).where("length > 1")
     shared = materialize(postings.join(lists, "t").select("t", "v", "n", "pos", "length"), "postings")
     sketches = reps.select("v", "sketch")
-
-    at = F.struct("v", "n", "pos", "sketch")
-    salt = F.pmod(F.xxhash64("v", "t"), F.ceil(F.col("length") / list_size))
-    part = Window.partitionBy("t", "salt").orderBy(F.xxhash64("t", "v"), "v")
-    met = shared.join(sketches, "v").withColumn("salt", salt).select("t", "salt", "v", at.alias("a")).withColumn("b", F.first("a").over(part))
-    met = met.where((F.col("a.v") != F.col("b.v")) & may_link("a", "b", percent)).select(F.col("a.v").alias("u"), F.col("b.v").alias("v")).distinct()
-    few = met.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v"))).where(F.col("k") <= tries)
-    tried = few.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(members.where("v != g").select(F.col("g").alias("u"), "v"))
-    tried = materialize(tried.distinct(), "tried")
-    known = materialize(connected_components(verify(docs, tried, size, percent)), "known")
-
-    # members of the lists with their components; then the pairs of different ones
-    one = shared.join(members.select(F.col("g").alias("v"), F.col("v").alias("member")), "v", "left")
-    one = one.select("t", F.coalesce("member", "v").alias("v"), "n", "pos").join(known, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    one = materialize(one, "placed")
+    known = reps.select("v", F.col("v").alias("component")).limit(0)
+    for k in range(rounds):
+        # the first of a part of each list, by light rows; sketches join the pairs
+        salt = F.pmod(F.xxhash64("v", "t", F.lit(k)), F.ceil(F.col("length") / list_size))
+        part = Window.partitionBy("t", "salt").orderBy(F.xxhash64("t", "v", F.lit(k)), "v")
+        row = shared.join(known, "v", "left").select("t", salt.alias("salt"), "v", "n", "pos", F.coalesce("component", "v").alias("c"))
+        met = row.withColumn("b", F.first(F.struct("v", "n", "pos", "c")).over(part)).where(F.col("c") != F.col("b.c"))
+        met = met.select(F.struct("v", "n", "pos").alias("a"), "b").where(may_share("a", "b", percent))
+        met = met.select(F.col("a.v").alias("u"), F.col("b.v").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).distinct()
+        left, right = (sketches.select(F.col("v").alias(x), F.struct("sketch").alias(f"s{x}")) for x in "uv")
+        near = met.join(left, "u").join(right, "v").where(may_differ("nu", "nv", "su.sketch", "sv.sketch", percent))
+        few = near.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v"))).where(F.col("k") <= tries)
+        tried = few.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        if k == 0:
+            tried = tried.union(members.where("v != g").select(F.col("g").alias("u"), "v"))
+        tried = materialize(tried.distinct(), "tried")
+        links = verify(docs, tried, size, percent).union(known.select(F.col("component").alias("u"), "v"))
+        known = small(materialize(connected_components(links), "known"))
+
+    # members of the lists with their components, and the lists that hold several
+    one = shared.join(members.select(F.col("g").alias("v"), F.col("v").alias("member")), "v", "left").select("t", F.coalesce("member", "v").alias("v"), "n", "pos")
+    one = materialize(one.join(known, "v", "left").withColumn("component", F.coalesce("component", "v")), "placed")
     split = one.groupBy("t", "component").agg(F.count("*").alias("k")).groupBy("t").agg(
         F.count("*").alias("components"), F.max(F.struct("k", "component")).alias("most")
     )
-    split = split.where("components > 1").select("t", F.col("most.component").alias("most"))
-    both = materialize(one.join(split, "t").join(sketches, "v").select("t", "component", "most", at.alias("a")), "open")
+    split = small(materialize(split.where("components > 1").select("t", F.col("most.component").alias("most")), "split"))
+    both = one.join(split, "t")
+    if not reps.groupBy("v").count().where("count > 1").isEmpty():  # texts that share a doc_id share tokens in no order
+        most_prior = 0
+    # the tokens before each, where they are few: a pair is met at its first common token only
+    before = Window.partitionBy("v").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    prior = F.when(F.row_number().over(Window.partitionBy("v").orderBy("pos")) <= most_prior, F.collect_list("t").over(before))
+    both = both.withColumn("prior", F.coalesce(prior, F.array().cast("array<long>"))).join(sketches, "v")
+    at = F.struct("v", "n", "pos", "sketch", "prior")
+    both = materialize(both.select("t", "component", "most", at.alias("a")), "open")
     other = both.select("t", F.col("component").alias("c2"), F.col("a").alias("b"))
     pairs = (
         both.where("component != most")
@@ -236,6 +262,7 @@ def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, list_size: in
         .where(
             (F.col("component") != F.col("c2"))
             & ((F.col("c2") == F.col("most")) | (F.col("a.v") < F.col("b.v")))
+            & ~F.arrays_overlap("a.prior", "b.prior")
             & may_link("a", "b", percent)
         )
         .select(F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v"))

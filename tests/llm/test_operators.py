@@ -216,6 +216,13 @@ def test_members_of_one_prefix_group(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_different_texts_of_one_doc_id(spark):
+    a, b = ([f"{x}{i}" for i in range(30)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:29], "z"])), (3, " ".join(["y", *b[1:]])), (4, " ".join(a[15:] + b[15:]))]
+    got = jaccard.link_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_bounds_lose_nothing():
     rng = np.random.default_rng(1)
     for _ in range(300):
