@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blank_words, materialize
+from .common import blank_words, materialize, small_batches
 
 #: The operator's struct column.
 RESULT = "line_dedup"
@@ -70,7 +70,7 @@ def context(sizes: list[int], least: int, pos: int) -> tuple[int, int]:
 
 def _identity(docs: DataFrame) -> DataFrame:
     """The order of documents: doc_id (null first), then a hash of the text."""
-    return docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__h": F.xxhash64("text")})
+    return small_batches(docs).withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__h": F.xxhash64("text")})
 
 
 def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
@@ -104,7 +104,8 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
     found = materialize(found, "minima")
     # repeated: the hash stands in more than one place
     places = found.groupBy("fp").agg(F.min(F.struct("k", "h", "pos")).alias("a"), F.max(F.struct("k", "h", "pos")).alias("b"))
-    shared = found.join(places.where(F.col("a") != F.col("b")).select("fp"), "fp", "left_semi")
+    places = materialize(places.where(F.col("a") != F.col("b")).select("fp"), "repeated")
+    shared = found.join(places, "fp", "left_semi")  # a join of two written tables, of which AQE splits hot hashes
 
     def extend(batches):
         for b in batches:
@@ -122,7 +123,7 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
     wins = materialize(shared.mapInArrow(extend, "fp long, win long, k long, h long, start int, end int"), "stretches")
     here = F.struct("k", "h", "start")
     firsts = wins.groupBy("fp", "win").agg(F.min(here).alias("src"), F.max(here).alias("last"))
-    firsts = firsts.where(F.col("src") != F.col("last")).select("fp", "win", "src")
+    firsts = materialize(firsts.where(F.col("src") != F.col("last")).select("fp", "win", "src"), "firsts")
     later = wins.join(firsts, ["fp", "win"]).where(here > F.col("src")).select("k", "h", "start", "end")
     later = materialize(later, "later")
     return later.groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
