@@ -2,20 +2,20 @@
 
 Every context has a restaurant, whose dishes are the words seen after it; all contexts share one parent, the restaurant
 of words without context, and that one falls back on the uniform distribution over the training words and one unknown
-word. Contexts are the frequent words themselves (a bounded number of them), classes of rare words by their ending, and
-the start of a text. Seatings are sampled by Gibbs, a dish of a restaurant at a time; predictive probabilities are
-averaged over samples.
+word. Every training word is a context, and so is the start of a text; a word that no training text has leaves the parent.
+Seatings are sampled by Gibbs, a dish of a restaurant at a time; predictive probabilities are averaged over samples.
 
-How the work is spread: frequent words meet contexts in a table of fixed size. Rare words (all others) are dealt by their
-hash into buckets of bounded size, so all counts of a word are in one place; contexts' totals, of fixed size again, are
-all that buckets have to know of each other.
+How the work is spread: frequent words after frequent words are counted in a table of fixed size. Rare words (all others)
+are dealt by their hash into buckets, so all counts of a word are in one place; frequent words after rare ones are dealt
+by the hash of the rare one. Totals of frequent contexts and frequent words are of fixed size. Totals of a rare context
+are added up in the bucket of its hash: the buckets that meet it tell their share and are told the sum.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import blank_words, materialize, text_frame, text_partitions
 
-_CLASSES = 64
 _SLICE = 1 << 14
 _ROW = "part int, kind int, slice int, data binary"
-_RARE, _TABLE, _STATS = 0, 1, 2
+_RARE, _TABLE, _STATS, _AFTER, _AFTER_STATS, _SHARE, _TOLD, _OWN = range(8)
 
 
 @dataclass(frozen=True)
@@ -43,8 +42,8 @@ class Settings:
 
     @property
     def contexts(self) -> int:
-        """The start, the frequent words, the classes of rare ones."""
-        return 1 + self.hot + _CLASSES
+        """The start and the frequent words; rare words are contexts too, numbered from here on in each bucket."""
+        return 1 + self.hot
 
 
 def is_held_out(doc_id) -> bool:
@@ -53,10 +52,12 @@ def is_held_out(doc_id) -> bool:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Compressed byte plane by byte plane: high bytes of small numbers take next to nothing."""
     import zstandard
 
     head = np.array([len(arrays), *[len(a) * a.itemsize for a in arrays]], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
+    planes = [np.ascontiguousarray(a).view("u1").reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *planes]))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -66,11 +67,18 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     n = int(np.frombuffer(data, "<i8", 1)[0])
     at, out = 8 * (n + 1), []
     for size, kind in zip(np.frombuffer(data, "<i8", n, 8).tolist(), kinds):
-        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, "u1", size, at).reshape(width, size // width)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += size
     return out
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending hashes; ``np.cumsum`` gives the hashes back."""
+    return np.diff(ascending, prepend=np.zeros(1, ascending.dtype))
+
+
 def frequent_words(docs: DataFrame, most: int) -> tuple[list[bytes], int]:
     """About the ``most`` most frequent words of the training texts, and the number of tokens of all texts.
 
@@ -97,25 +105,24 @@ def frequent_words(docs: DataFrame, most: int) -> tuple[list[bytes], int]:
 
 
 class Reader:
-    """Texts to numbers: contexts of all tokens, places of frequent words and the end, hashes of rare words."""
+    """Texts to numbers: contexts of all tokens, places of frequent words and the end; the rare words."""
 
     def __init__(self, hot: list[bytes], s: Settings):
         self.hot, self.s = {w: i for i, w in enumerate(hot)}, s
 
     def tokens(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(word number or -1 for rare, context) of each token, the end being number ``hot``; the rare words."""
+        """(word number or -1 for rare, context or -1 for rare) of each token, the end being number ``hot``; the rare words."""
         words = blank_words(text)
         get = self.hot.get
         w = np.array([get(x, -1) for x in words] + [self.s.hot], "i4")
         rare = [x for x, k in zip(words, w.tolist()) if k < 0]
-        own = w[:-1] + 1
-        if rare:
-            own[own == 0] = [1 + self.s.hot + (x[-1] * 7 + (x[-2] if len(x) > 1 else 0)) % _CLASSES for x in rare]
-        return w, np.r_[np.zeros(1, "i4"), own], rare
+        own = w[:-1]
+        return w, np.r_[np.zeros(1, "i4"), np.where(own < 0, -1, own + 1)].astype("i4"), rare
 
 
 def _count(docs: DataFrame, hot: list[bytes], buckets: int, s: Settings) -> DataFrame:
-    """One row for each bucket of rare tokens, the table's slices, and each bucket's statistics."""
+    """Rows for each bucket of rare tokens, each bucket of frequent tokens after rare words, their statistics, and the
+    table's slices."""
     width = (s.hot + 2) * s.contexts
     slices = -(-width // _SLICE)
     held = docs.sparkSession.sparkContext.broadcast(Reader(hot, s))
@@ -125,26 +132,42 @@ def _count(docs: DataFrame, hot: list[bytes], buckets: int, s: Settings) -> Data
 
         reader, digest = held.value, xxhash.xxh3_64_intdigest
         table = np.zeros(slices * _SLICE, "i8")
-        docs_, hashes, at, ctxs, cells, n = [], [], [], [], [], 0
+        docs_, hashes, words, ctxs, cells, n = [], [], [], [], [], 0
+
+        def dealt(kind, h, d, other, docs_of, pack_other):
+            part = (h % np.uint64(buckets)).astype("i4")
+            order = np.lexsort((h, part))
+            h, d, other, part = h[order], d[order], [x[order] for x in other], part[order]
+            cuts = np.searchsorted(part, np.arange(buckets + 1))
+            for k in range(buckets):
+                i, j = cuts[k], cuts[k + 1]
+                if i < j:
+                    who, local = np.unique(d[i:j], return_inverse=True)
+                    yield k, kind, 0, _pack(*[x[who] for x in docs_of], _steps(h[i:j]), local.astype("<u4"), *pack_other(*[x[i:j] for x in other]))
+
+        def contexts_of(c, before):
+            seen, own = np.unique(before[c < 0], return_inverse=True)
+            c = c.astype("<u4")
+            c[c == np.uint32(0xFFFFFFFF)] = s.contexts + own
+            return c, _steps(seen)
 
         def rows():
-            nonlocal docs_, hashes, at, ctxs, cells, n
+            nonlocal docs_, hashes, words, ctxs, cells, n
             if cells:
                 table[:width] += np.bincount(np.concatenate(cells), minlength=width)
             out = []
-            if n:
-                h, d, c = np.array(hashes, "u8"), np.concatenate(at), np.concatenate(ctxs)
-                part = (h % np.uint64(buckets)).astype("i4")
-                order = np.lexsort((h, part))
-                h, d, c, part = h[order], d[order], c[order], part[order]
-                cuts = np.searchsorted(part, np.arange(buckets + 1))
-                ids, texts, train = (np.array([x[k] for x in docs_], t) for k, t in enumerate(("<i8", "<u4", "u1")))
-                for k in range(buckets):
-                    i, j = cuts[k], cuts[k + 1]
-                    if i < j:
-                        who, local = np.unique(d[i:j], return_inverse=True)
-                        out.append((k, _RARE, 0, _pack(ids[who], texts[who], train[who], h[i:j], local.astype("<u4"), c[i:j].astype("<u2"))))
-            docs_, hashes, at, ctxs, cells, n = [], [], [], [], [], 0
+            if words:
+                w, c = np.concatenate(words), np.concatenate(ctxs)
+                d = np.repeat(np.arange(len(words), dtype="u4"), [len(x) for x in words])
+                h = np.zeros(len(w), "u8")
+                h[w < 0] = np.array(hashes, "u8")
+                before = np.r_[np.zeros(1, "u8"), h[:-1]]
+                of = [np.array([x[k] for x in docs_], t) for k, t in enumerate(("<i8", "<u4", "u1"))]
+                i = np.flatnonzero(w < 0)
+                out += dealt(_RARE, h[i], d[i], [c[i], before[i]], of, contexts_of)
+                i = np.flatnonzero((w >= 0) & (c < 0))
+                out += dealt(_AFTER, before[i], d[i], [w[i].astype("<u4")], of, lambda x: (x, np.zeros(0, "<u8")))
+            docs_, hashes, words, ctxs, cells, n = [], [], [], [], [], 0
             return out
 
         for b in batches:
@@ -152,21 +175,22 @@ def _count(docs: DataFrame, hot: list[bytes], buckets: int, s: Settings) -> Data
                 w, ctx, rare = reader.tokens(text)
                 train = not is_held_out(doc)
                 if train:
-                    own = w >= 0
-                    cells += [w[own] * s.contexts + ctx[own], (s.hot + 1) * s.contexts + ctx]
+                    near = ctx >= 0
+                    own = near & (w >= 0)
+                    cells += [w[own] * s.contexts + ctx[own], (s.hot + 1) * s.contexts + ctx[near]]
                 if rare:
-                    at.append(np.full(len(rare), len(docs_), "u4"))
-                    ctxs.append(ctx[w < 0])
                     hashes += map(digest, rare)
+                    docs_.append((_doc_number(doc), zlib.crc32(text or b""), train))
+                    words.append(w)
+                    ctxs.append(ctx)
                     n += len(rare)
-                docs_.append((_doc_number(doc), zlib.crc32(text or b""), train))
                 if n >= 2_000_000 or len(cells) >= 100_000:
                     yield _batch(rows())
         yield _batch(rows())
         yield _batch([(k % buckets, _TABLE, k, _pack(table[k * _SLICE : (k + 1) * _SLICE])) for k in range(slices)])
 
     def merge(batches):
-        table, parts, bucket = {}, [], None
+        table, parts, bucket = {}, {_RARE: [], _AFTER: []}, None
         for b in batches:
             for row in b.to_pylist():
                 if row["kind"] == _TABLE:
@@ -174,28 +198,47 @@ def _count(docs: DataFrame, hot: list[bytes], buckets: int, s: Settings) -> Data
                     table[row["slice"]] = table[row["slice"]] + found if row["slice"] in table else found
                 else:
                     bucket = row["part"]
-                    parts.append(_unpack(row["data"], "<i8", "<u4", "u1", "<u8", "<u4", "<u2"))
+                    parts[row["kind"]].append(_unpack(row["data"], "<i8", "<u4", "u1", "<u8", "<u4", "<u4", "<u8"))
         yield _batch([(0, _TABLE, k, _pack(t)) for k, t in table.items()])
-        if not parts:
-            return
+        for kind in (_RARE, _AFTER):
+            if parts[kind]:
+                yield _batch(grouped(kind, bucket, parts.pop(kind)))
+
+    def grouped(kind, bucket, parts):
+        """Tokens sorted by what they were dealt by (key) and the other word, and what the bucket adds to the totals."""
         ends = np.cumsum([0] + [len(p[0]) for p in parts])
         ids, texts, train = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        h = np.concatenate([p[3] for p in parts])
+        h = np.concatenate([np.cumsum(p[3], dtype="u8") for p in parts])
         d = np.concatenate([p[4].astype("i8") + e for p, e in zip(parts, ends)])
-        c = np.concatenate([p[5] for p in parts])
+        rare, place = np.unique(np.concatenate([np.cumsum(p[6], dtype="u8") for p in parts]), return_inverse=True)
+        starts = np.cumsum([0] + [len(p[6]) for p in parts])
+        c = []
+        for p, e in zip(parts, starts):
+            x = p[5].astype("i8")
+            if len(p[6]):
+                far = x >= s.contexts
+                x[far] = s.contexts + place[e + x[far] - s.contexts]
+            c.append(x)
+        c = np.concatenate(c)
         del parts
         order = np.lexsort((c, h))
         h, d, c = h[order], d[order], c[order]
-        word = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
-        pair_new = np.r_[True, (word[1:] != word[:-1]) | (c[1:] != c[:-1])]
+        new = np.r_[True, h[1:] != h[:-1]]
+        key = np.cumsum(new) - 1
+        pair_new = new | np.r_[True, c[1:] != c[:-1]]
         pair = np.cumsum(pair_new) - 1
         counts = np.bincount(pair[train[d] > 0], minlength=pair[-1] + 1)
         first = np.flatnonzero(pair_new)
-        data = _pack(ids, texts, word[first].astype("<u4"), c[first], counts.astype("<i8"), pair.astype("<u4"), d.astype("<u4"))
-        by_word = np.bincount(word[first], weights=counts)
-        stats = [by_word > 0, counts == 1, counts == 2, by_word == 1, by_word == 2]
-        seen = np.bincount(c[first][counts > 0], minlength=s.contexts)
-        yield _batch([(bucket, _RARE, 0, data), (bucket, _STATS, 0, _pack(np.array([x.sum() for x in stats], "i8"), seen.astype("i8")))])
+        kept = rare if kind == _RARE else h[new]  # the rare contexts' hashes
+        data = _pack(ids, texts, key[first].astype("<u4"), c[first].astype("<u4"), counts.astype("<i8"), _steps(pair).astype("<u4"), d.astype("<u4"), _steps(kept))
+        by_key, own = np.bincount(key[first], weights=counts), c[first]
+        if kind == _RARE:
+            stats = np.array([(by_key > 0).sum(), (counts == 1).sum(), (counts == 2).sum(), (by_key == 1).sum(), (by_key == 2).sum(), counts.sum(), (counts > 0).sum()], "i8")
+            seen = np.bincount(own[(counts > 0) & (own < s.contexts)], minlength=s.contexts)
+            return [(bucket, _RARE, 0, data), (bucket, _STATS, 0, _pack(stats, seen.astype("i8")))]
+        stats = np.array([(counts == 1).sum(), (counts == 2).sum()], "i8")
+        seen, total = (np.bincount(own, weights=x, minlength=s.hot + 1).astype("i8") for x in (counts > 0, counts))
+        return [(bucket, _AFTER, 0, data), (bucket, _AFTER_STATS, 0, _pack(stats, seen, total))]
 
     rows = text_frame(docs).mapInArrow(split, _ROW)
     return materialize(rows.repartitionById(buckets, F.col("part")).mapInArrow(merge, _ROW), "counts")
@@ -255,39 +298,139 @@ class Totals:
         return (customers - self.root_discount * tables + fall_back) / (s.root_strength + self.root_customers)
 
 
-def sample(word: np.ndarray, ctx: np.ndarray, counts: np.ndarray, t: Totals, s: Settings, seed: int):
-    """Gibbs sweeps over all dishes here: yields (tables of each pair, root customers, root tables of each word)."""
+def sample(word: np.ndarray, ctx: np.ndarray, counts: np.ndarray, t: Totals, s: Settings, seed: int, more: np.ndarray | None = None):
+    """Gibbs sweeps over all dishes here: yields (tables of each pair, root customers, root tables of each word).
+
+    ``more``: root customers of each word that come from pairs elsewhere.
+    """
     rng = np.random.default_rng(seed)
-    n = int(word.max()) + 1 if len(word) else 0
+    n = len(more) if more is not None else int(word.max()) + 1 if len(word) else 0
+    more = np.zeros(n) if more is None else more
     tables = (counts > 0).astype("f8")
-    customers = np.bincount(word, weights=tables, minlength=n)
+    customers = np.bincount(word, weights=tables, minlength=n) + more
     root_tables = (customers > 0).astype("f8")
     back = s.strength + t.discount * t.context_tables[ctx]
     fall_back = np.full(n, (s.root_strength + t.root_discount * t.root_tables) / (t.vocabulary + 1))
     while True:
         p = t.root(customers, root_tables, s)
         tables = seat(counts, back * p[word], t.discount, rng)
-        customers = np.bincount(word, weights=tables, minlength=n)
+        customers = np.bincount(word, weights=tables, minlength=n) + more
         root_tables = seat(customers, fall_back, t.root_discount, rng)
         yield tables, customers, root_tables
 
 
-def predict(word, ctx, counts, t: Totals, s: Settings, seed: int) -> np.ndarray:
-    """log10 of the probability of each (word, context) pair, averaged over samples after the burn-in."""
-    total = np.zeros(len(word))
-    for k, (tables, customers, root_tables) in zip(range(s.burn_in + s.samples), sample(word, ctx, counts, t, s, seed)):
+def sample_below(p: np.ndarray, ctx: np.ndarray, counts: np.ndarray, t: Totals, s: Settings, seed: int):
+    """Gibbs sweeps where the parent's probability ``p`` of each pair's word is known: yields the tables of each pair."""
+    rng = np.random.default_rng(seed)
+    back = s.strength + t.discount * t.context_tables[ctx]
+    while True:
+        yield seat(counts, back * p, t.discount, rng)
+
+
+def _mean(found, ctx, counts, t: Totals, s: Settings) -> np.ndarray:
+    """log10 of the mean, over samples after the burn-in, of what (tables, parent's probability) of each pair predict."""
+    total = np.zeros(len(counts))
+    back = s.strength + t.discount * t.context_tables[ctx]
+    for k, (tables, p) in zip(range(s.burn_in + s.samples), found):
         if k >= s.burn_in:
-            p = t.root(customers, root_tables, s)[word]
-            back = s.strength + t.discount * t.context_tables[ctx]
             total += (counts - t.discount * tables + back * p) / (s.strength + t.context_counts[ctx])
     return np.log10(total / max(1, s.samples))
 
 
-def _tables_of(word, ctx, counts, t: Totals, s: Settings, seed: int):
-    """After the burn-in: tables by context, root customers, root tables."""
-    for _, (tables, customers, root_tables) in zip(range(s.burn_in), sample(word, ctx, counts, t, s, seed)):
+def predict(word, ctx, counts, t: Totals, s: Settings, seed: int, more: np.ndarray | None = None) -> np.ndarray:
+    """log10 of the probability of each (word, context) pair, averaged over samples after the burn-in."""
+    found = ((tables, t.root(customers, root, s)[word]) for tables, customers, root in sample(word, ctx, counts, t, s, seed, more))
+    return _mean(found, ctx, counts, t, s)
+
+
+def predict_below(p, ctx, counts, t: Totals, s: Settings, seed: int) -> np.ndarray:
+    """The same where the parent's probability ``p`` of each pair's word is known."""
+    return _mean(((tables, p) for tables in sample_below(p, ctx, counts, t, s, seed)), ctx, counts, t, s)
+
+
+def _tables_of(word, ctx, counts, t: Totals, s: Settings, seed: int, more: np.ndarray | None = None):
+    """After the burn-in: tables by context, root customers and root tables of each word."""
+    for _, (tables, customers, root_tables) in zip(range(s.burn_in), sample(word, ctx, counts, t, s, seed, more)):
         pass
-    return np.bincount(ctx, weights=tables, minlength=s.contexts), customers.sum(), root_tables.sum()
+    return np.bincount(ctx, weights=tables, minlength=len(t.context_tables)), customers, root_tables
+
+
+def _with_rare(t: Totals, counts: np.ndarray, tables: np.ndarray) -> Totals:
+    """The totals with those of a bucket's rare contexts behind the frequent ones."""
+    return replace(t, context_counts=np.r_[t.context_counts, counts], context_tables=np.r_[t.context_tables, tables])
+
+
+_BUCKET = ("<i8", "<u4", "<u4", "<u4", "<i8", "<u4", "<u4", "<u8")
+
+
+def _bucket(data: bytes) -> list[np.ndarray]:
+    """Of a bucket: doc_ids, text hashes, (key, other word, count) of each pair, (pair, text) of each token, rare contexts."""
+    *head, pair, d, rare = _unpack(data, *_BUCKET)
+    return [*head, np.cumsum(pair), d, np.cumsum(rare, dtype="u8")]
+
+
+def _by_bucket(rare: np.ndarray, buckets: int):
+    """(bucket, places in ``rare``) of rare contexts, dealt by their hash."""
+    part = (rare % np.uint64(buckets)).astype("i8")
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]) if len(order) else order
+    return zip(part[order[at]].tolist(), np.split(order, at[1:]) if len(order) else [])
+
+
+def _sweep(counted: DataFrame, buckets: int, start: Totals, hot_p: np.ndarray, s: Settings) -> DataFrame:
+    """The first sweeps of all buckets, and rare contexts' totals after them, told to each bucket that meets them."""
+    held = counted.sparkSession.sparkContext.broadcast((start, hot_p))
+
+    def shares(batches):
+        t = held.value[0]
+        for b in batches:
+            for r in b.to_pylist():
+                w, c, n, _, _, rare = _bucket(r["data"])[2:]
+                # a rare context starts with the tables that this bucket sees itself
+                here = [np.bincount(c, weights=x, minlength=s.contexts + len(rare))[s.contexts :] for x in (n, n > 0)]
+                by_context, customers, tables = _tables_of(w.astype("i8"), c, n, _with_rare(t, *here), s, s.seed * 1_000_003 + r["part"])
+                rows = [(r["part"], _STATS, 0, _pack(by_context[: s.contexts], np.array([customers.sum(), tables.sum()])))]
+                own = by_context[s.contexts :]
+                for k, i in _by_bucket(rare, buckets):
+                    rows.append((k, _SHARE, r["part"], _pack(_steps(rare[i]), own[i].astype("<u4"), here[0][i].astype("<u8"))))
+                yield _batch(rows)
+
+    def totals(batches):
+        t, p = held.value
+        told, after, bucket = [], None, None
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] == _STATS:
+                    yield _batch([(r["part"], _STATS, 0, r["data"])])
+                    continue
+                bucket = r["part"]
+                if r["kind"] == _SHARE:
+                    share, *sums = _unpack(r["data"], "<u8", "<u4", "<u8")
+                    told.append((r["slice"], np.cumsum(share, dtype="u8"), *sums))
+                else:
+                    after = _bucket(r["data"])
+        if bucket is None:
+            return
+        mine = after[7] if after else np.zeros(0, "<u8")
+        all_ = np.unique(np.concatenate([mine, *[x[1] for x in told]]))
+        tables, counts = np.zeros(len(all_)), np.zeros(len(all_))
+        places = [np.searchsorted(all_, x[1]) for x in told]
+        for at, (_, _, k, n) in zip(places, told):
+            tables[at] += k
+            counts[at] += n
+        if after:
+            at = np.searchsorted(all_, mine)
+            c, w, n = after[2:5]
+            counts[at] += np.bincount(c, weights=n, minlength=len(mine))
+            here = replace(t, context_tables=tables[at] + np.bincount(c, weights=n > 0, minlength=len(mine)))
+            for _, found in zip(range(s.burn_in), sample_below(p[w], c, n, here, s, s.seed * 1_000_003 + bucket + 250_007)):
+                pass
+            tables[at] += np.bincount(c, weights=found, minlength=len(mine))
+            yield _batch([(bucket, _OWN, 0, _pack(tables[at], counts[at])), (bucket, _AFTER_STATS, 0, _pack(np.bincount(w, weights=found, minlength=s.hot + 1)))])
+        yield _batch([(to, _TOLD, bucket, _pack(tables[at].astype("<u8"), counts[at].astype("<u8"))) for at, (to, *_) in zip(places, told)])
+
+    rows = counted.where(F.col("kind") == _RARE).mapInArrow(shares, _ROW).union(counted.where(F.col("kind") == _AFTER))
+    return materialize(rows.repartitionById(buckets, F.col("part")).mapInArrow(totals, _ROW), "totals")
 
 
 def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -298,8 +441,8 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     Null and empty texts have the end token only. Null doc_ids train. Repeated rows are counted and scored each; rows
     of one doc_id with different texts are told apart. An empty table gives an empty one, and without training texts
-    all words are unknown. Passes over the texts: frequent words, counts, scores. Rare tokens are shuffled once
-    (about 9 bytes each), bucket by bucket of about ``bucket_tokens``; a frequent word never is.
+    all words are unknown. Passes over the texts: frequent words, counts, scores. Tokens that are rare or follow a rare
+    word are shuffled twice, bucket by bucket of about ``bucket_tokens``; frequent words after frequent ones never are.
     """
     s = settings or Settings()
     spark = docs.sparkSession
@@ -313,51 +456,55 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
         table[r.slice * _SLICE : (r.slice + 1) * _SLICE] += _unpack(r.data, "<i8")[0]
     table = table[:width].reshape(s.hot + 2, s.contexts)
     context_counts, table = table[-1], table[:-1]
-    stats, seen = np.zeros(5, "i8"), (table > 0).sum(0)
-    for r in counted.where(F.col("kind") == _STATS).select("data").collect():  # a few KB for each bucket
-        one, ctx = _unpack(r.data, "<i8", "<i8")
-        stats, seen = stats + one, seen + ctx
-    by_word = table.sum(1)
+    stats, seen = np.zeros(7, "i8"), (table > 0).sum(0)
+    after, after_seen, after_count = np.zeros(2, "i8"), np.zeros(s.hot + 1, "i8"), np.zeros(s.hot + 1, "i8")
+    for r in counted.where(F.col("kind").isin(_STATS, _AFTER_STATS)).select("kind", "data").collect():  # a few KB for each bucket
+        if r.kind == _STATS:
+            one, ctx = _unpack(r.data, "<i8", "<i8")
+            stats, seen = stats + one, seen + ctx
+        else:
+            one, types, count = _unpack(r.data, "<i8", "<i8", "<i8")
+            after, after_seen, after_count = after + one, after_seen + types, after_count + count
+    by_word = table.sum(1) + after_count
     vocabulary = int(stats[0] + (by_word > 0).sum())
-    n_train = int(context_counts.sum())
-    ones, twos = stats[1] + (table == 1).sum(), stats[2] + (table == 2).sum()
+    n_train = int(by_word.sum() + stats[5])
+    ones, twos = stats[1] + after[0] + (table == 1).sum(), stats[2] + after[1] + (table == 2).sum()
+    types = float((table > 0).sum() + after_seen.sum() + stats[6])
     share = lambda a, b: float(min(0.95, max(0.05, a / (a + 2 * b)))) if a else 0.5
     start = Totals(
-        context_counts.astype("f8"), seen.astype("f8"), float(seen.sum()), float(vocabulary), vocabulary,
+        context_counts.astype("f8"), seen.astype("f8"), types, float(vocabulary), vocabulary,
         share(ones, twos), share(stats[3], stats[4]),
     )
     word, ctx = np.nonzero(table)
     counts = table[word, ctx]
     word_c, ctx_c = np.divmod(np.arange(table.size), s.contexts)
 
-    def sweep(batches):
-        t = first.value
-        for b in batches:
-            for r in b.to_pylist():
-                w, c, n = _unpack(r["data"], "<i8", "<u4", "<u4", "<u2", "<i8")[2:]
-                by_context, customers, tables = _tables_of(w.astype("i8"), c, n, t, s, s.seed * 1_000_003 + r["part"])
-                yield _batch([(r["part"], _STATS, 0, _pack(by_context, np.array([customers, tables])))])
-
-    first = spark.sparkContext.broadcast(start)
-    rare = counted.where(F.col("kind") == _RARE)
-    by_context, customers, tables = _tables_of(word, ctx, counts, start, s, s.seed) if len(word) else (np.zeros(s.contexts), 0.0, 0.0)
-    for r in rare.mapInArrow(sweep, _ROW).select("data").collect():  # a few KB for each bucket
-        one, root = _unpack(r.data, "<f8", "<f8")
-        by_context, customers, tables = by_context + one, customers + root[0], tables + root[1]
-    totals = Totals(start.context_counts, by_context, customers, tables, vocabulary, start.discount, start.root_discount)
-    hot_scores = predict(word_c, ctx_c, table.ravel(), totals, s, s.seed + 1).reshape(table.shape)
-    return _scores(docs, rare, hot, hot_scores, by_word, totals, n_train, s)
+    met = (table > 0).sum(1) + after_seen
+    told = _sweep(counted, buckets, start, start.root(met, met > 0, s), s)
+    after_tables, by_context, root = np.zeros(s.hot + 1), np.zeros(s.contexts), np.zeros(2)
+    for r in told.where(F.col("kind").isin(_STATS, _AFTER_STATS)).select("kind", "data").collect():  # a few KB for each bucket
+        if r.kind == _STATS:
+            one, two = _unpack(r.data, "<f8", "<f8")
+            by_context, root = by_context + one, root + two
+        else:
+            after_tables = after_tables + _unpack(r.data, "<f8")[0]
+    own, customers, tables = _tables_of(word, ctx, counts, start, s, s.seed, after_tables)
+    totals = Totals(start.context_counts, by_context + own, root[0] + customers.sum(), root[1] + tables.sum(), vocabulary, start.discount, start.root_discount)
+    hot_scores = predict(word_c, ctx_c, table.ravel(), totals, s, s.seed + 1, after_tables).reshape(table.shape)
+    buckets_rows = counted.where(F.col("kind").isin(_RARE, _AFTER)).union(told.where(F.col("kind").isin(_TOLD, _OWN)))
+    hot_p = totals.root(customers, tables, s)
+    return _scores(docs, buckets_rows.repartitionById(buckets, F.col("part")), buckets, hot, hot_scores, hot_p, by_word, totals, n_train, s)
 
 
 _SUM = [("doc", "<i8"), ("text", "<u4"), ("rows", "<i4"), ("tokens", "<i8"), ("known", "<i8"), ("ones", "<f8"), ("score", "<f8")]
 
 
-def _scores(docs, rare, hot, hot_scores, by_word, totals: Totals, n_train: int, s: Settings) -> DataFrame:
+def _scores(docs, rare, buckets: int, hot, hot_scores, hot_p, by_word, totals: Totals, n_train: int, s: Settings) -> DataFrame:
     """Sums of frequent and rare tokens for each document, dealt by document and added up."""
     parts = text_partitions(docs)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((Reader(hot, s), hot_scores, np.log10(by_word + 1.0), by_word > 0))
-    held = sc.broadcast(totals)
+    held = sc.broadcast((totals, hot_p))
 
     def deal(sums: dict[str, np.ndarray]):
         part = ((sums["doc"].astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
@@ -376,23 +523,43 @@ def _scores(docs, rare, hot, hot_scores, by_word, totals: Totals, n_train: int,
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w, ctx, _ = reader.tokens(text)
-                own = w >= 0
-                k = w[own]
-                out.append((_doc_number(doc), zlib.crc32(text or b""), 1, len(w), is_known[k].sum(), log_counts[k].sum(), scores[k, ctx[own]].sum()))
+                k = w[w >= 0]
+                own = (w >= 0) & (ctx >= 0)
+                out.append((_doc_number(doc), zlib.crc32(text or b""), 1, len(w), is_known[k].sum(), log_counts[k].sum(), scores[w[own], ctx[own]].sum()))
             if out:
                 yield deal({n: np.array([r[i] for r in out], t) for i, (n, t) in enumerate(_SUM)})
 
     def from_rare(batches):
+        t, p = held.value
+        of, told, own, bucket = {}, {}, None, None
         for b in batches:
             for r in b.to_pylist():
-                ids, texts, w, c, n, pair, d = _unpack(r["data"], "<i8", "<u4", "<u4", "<u2", "<i8", "<u4", "<u4")
-                w = w.astype("i8")
+                bucket = r["part"]
+                if r["kind"] == _TOLD:
+                    told[r["slice"]] = _unpack(r["data"], "<u8", "<u8")
+                elif r["kind"] == _OWN:
+                    own = _unpack(r["data"], "<f8", "<f8")
+                else:
+                    of[r["kind"]] = r["data"]
+        for kind, data in of.items():
+            ids, texts, key, other, n, pair, d, rare = _bucket(data)
+            seed = s.seed * 1_000_003 + bucket
+            size = len(ids)
+            add = lambda x: np.bincount(d, weights=x[pair], minlength=size)  # noqa: B023, E731
+            zero = np.zeros(size, "i8")
+            if kind == _RARE:
+                tables, counts = np.zeros(len(rare)), np.zeros(len(rare))
+                for k, at in _by_bucket(rare, buckets):
+                    tables[at], counts[at] = told[k]
+                w = key.astype("i8")
                 by = np.bincount(w, weights=n)[w]
-                score = predict(w, c, n, held.value, s, s.seed * 1_000_003 + r["part"] + 500_009)
-                size = len(ids)
-                add = lambda x: np.bincount(d, weights=x[pair], minlength=size)  # noqa: B023, E731
-                zero = np.zeros(size, "i8")
-                yield deal({"doc": ids, "text": texts, "rows": zero, "tokens": zero, "known": add((by > 0) * 1.0), "ones": add(np.log10(by + 1)), "score": add(score)})
+                score = add(predict(w, other, n, _with_rare(t, counts, tables), s, seed + 500_009))
+                known, ones = add((by > 0) * 1.0), add(np.log10(by + 1))
+            else:
+                here = replace(t, context_tables=own[0], context_counts=own[1])
+                score = add(predict_below(p[other], key, n, here, s, seed + 750_019))
+                known = ones = zero
+            yield deal({"doc": ids, "text": texts, "rows": zero, "tokens": zero, "known": known, "ones": ones, "score": score})
 
     norm = np.log10(n_train + totals.vocabulary + 1.0)
 

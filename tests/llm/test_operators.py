@@ -301,6 +301,20 @@ def test_model_beats_base_on_held_out_texts(spark, small):
     assert got[0] > got[1]
 
 
+def test_rare_words_are_contexts(spark):
+    """Rare words of one ending keep their own followers, and the table of frequent words is a fast path only."""
+    rng = np.random.default_rng(4)
+    pairs = [(f"first{i}xy", f"second{i}") for i in range(30)]
+    texts = [" ".join(w for _ in range(20) for w in ("the", *pairs[rng.integers(30)])) for _ in range(300)]
+    right, wrong = " ".join(f"the {a} {b}" for a, b in pairs), " ".join(f"the {a} {pairs[i - 1][1]}" for i, (a, _) in enumerate(pairs))
+    held = [i for i in range(1000, 1100) if lm.is_held_out(i)][:2]
+    docs = spark.createDataFrame([*enumerate(texts), (held[0], right), (held[1], wrong)], "doc_id long, text string").repartition(3)
+    few, many = ({r.doc_id: r for r in lm.score_documents(docs, lm.Settings(hot=h, least_buckets=4)).collect()} for h in (2, 100))
+    assert few[held[0]].score > few[held[1]].score + 30  # more than a digit a pair
+    assert all(abs(few[i].score - many[i].score) < 0.1 * abs(many[i].score) for i in few)  # by sampling; pairs never seen differ most
+    assert all(math.isclose(few[i].base_score, many[i].base_score) and few[i].n_known == many[i].n_known for i in few)
+
+
 def test_predictions_sum_to_one():
     """Over all words and the unknown one, in every context."""
     s = lm.Settings(hot=1)
