@@ -1,10 +1,13 @@
 """Golden values of the Column functions, with nulls, ties and odd spellings."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from assaykit.functions import texts, values
 from assaykit.operators import documents, matching, relational
+from assaykit.plans import catalogue
 
 
 def one(spark, column, value):
@@ -115,6 +118,39 @@ def test_matching_needs_a_shared_block(spark):
     assert [(r.person_id, round(r.score, 3)) for r in got] == [("7", 1.0)]
 
 
+def test_ratios_of_many_pairs():
+    rng = random.Random(3)
+    texts = ["", "a\0", "é" * 64, "b" * 65, *("".join(rng.choices("abcd 01é", k=rng.choice((1, 9, 30, 63, 64, 70)))) for _ in range(60))]
+    pairs = [(a, b) for a in texts for b in texts]
+    assert matching.indel_ratios(*map(list, zip(*pairs))).tolist() == [matching.indel_ratio(*p) for p in pairs]
+
+
+def test_all_customers_are_matched(spark, small):
+    """Each one is found by its own swapped name, and as many pairs as brute force over each tenant finds."""
+    rows = catalogue.people(spark, small).collect()
+    tokens = lambda x: " ".join(sorted(x.lower().replace("#", " ").split()))
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a.tenant_id == b.tenant_id:
+                own = None if a.person_id % 3 == 0 else f"{a.person_id}1"
+                got = 0.5 * matching.indel_ratio(tokens(a.name), tokens(b.name)) / 100 + 0.1 * (a.segment == b.segment)
+                got = got / 0.6 if own is None else got + 0.4 * matching.indel_ratio(own, str(b.person_id)) / 100
+                if got >= 0.8:
+                    want.add((a.person_id, b.person_id))
+    found = [(r.row_id, r.person_id) for r in catalogue.match_profiles(spark, small).collect()]
+    assert sorted(found) == sorted(want) and {a for a, b in found if a == b} == {r.person_id for r in rows}
+
+
+def test_matching_of_one_tenant_in_pieces(spark):
+    """Pairs count without any common beginning or id: ids off by one character and no name, or other first letters."""
+    kind = "row_id int, tenant int, name string, dob string, gender string, id string"
+    seen = [(1, 1, None, "1990-01-01", "f", "x123456"), (2, 1, "Xnna Yee", "1990-01-01", "f", "x12345"), (3, 2, None, None, "F", None)]
+    have = [(1, 1, "Anna Lee", "1990-01-01", "f", "y123456"), (2, 1, "Bob Ray", "1980-02-02", "m", "77"), (3, 2, "Eve", None, "f", None), (4, 1, "Bob Ray", "1980-02-02", "m", "77")]
+    found = matching.match_people(spark.createDataFrame(seen, kind), spark.createDataFrame(have, kind).withColumnRenamed("row_id", "person_id"), side=1).collect()
+    assert sorted((r.row_id, r.person_id) for r in found) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_lists(spark):
     r = spark.range(1).select(
         relational.first_position_removed(F.array(*map(F.lit, "abab")), F.lit("b")).alias("a"), relational.appended_if_absent(F.lit(None).cast("array<string>"), F.lit("x")).alias("b"),
