@@ -456,8 +456,8 @@ def doc_skip_fold(spark, d):
 @query("""
 SELECT event_id AS reading_id, 'Glucose' AS name, value, CAST(5 AS DOUBLE) AS low, CAST(30 AS DOUBLE) AS high, value < 5 OR value > 30 AS is_abnormal FROM events WHERE event_type = 'click'""")
 def extract_roundtrip(spark, d):
-    e = readings(spark, d).where("name = 'click'")
-    said = e.select("reading_id", F.format_string("Report. Fasting Glucose (serum): %.2f mg/dL (5-30)\nnext", "value").alias("text"))
+    name = F.when(F.col("name") == "click", "Fasting Glucose").otherwise(F.col("name"))  # the others' names aren't known
+    said = readings(spark, d).select("reading_id", F.format_string("Report. %s (serum): %.2f mg/dL (5-30)\nnext", name, "value").alias("text"))
     return documents.known_measurements(said, "reading_id").select("reading_id", "name", "value", "low", "high", "is_abnormal")
 
 

@@ -151,6 +151,15 @@ def test_matching_of_one_tenant_in_pieces(spark):
     assert sorted((r.row_id, r.person_id) for r in found) == [(1, 1), (2, 1), (3, 3)]
 
 
+def test_all_events_are_parsed(spark, small, monkeypatch):
+    """The parser, not a filter before it, refuses events of unknown names."""
+    given, parse = [], documents.known_measurements
+    monkeypatch.setattr(documents, "known_measurements", lambda docs, key: given.append(docs.count()) or parse(docs, key))
+    events = spark.read.parquet(f"{small}/events.parquet")
+    assert catalogue.extract_roundtrip(spark, small).count() == events.where("event_type = 'click'").count()
+    assert given == [events.count()]
+
+
 def test_lists(spark):
     r = spark.range(1).select(
         relational.first_position_removed(F.array(*map(F.lit, "abab")), F.lit("b")).alias("a"), relational.appended_if_absent(F.lit(None).cast("array<string>"), F.lit("x")).alias("b"),
