@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .bind import bind
 
+#: A digit, among the words of which a pattern needs one.
+DIGIT = "0-9"
+
 # Patterns of measurements and their weights, for the confidence of a text.
 SCORE_PATTERNS = [
     (r"\b\d+[\.,]?\d*\s*(?:mg/[dD][lL]|g/[dD][lL]|mmol/L|U/L|IU/L|ng/m[lL]|pg/m[lL]|μg/[dD][lL]|mcg/[dD][lL]|%|mEq/L)", 2),
@@ -28,6 +31,13 @@ SCORE_HEADERS = [
     r"\b(?:hematology\s+panel|hematology\s+results|blood\s+panel)\b",
     r"\b(?:lipid\s+panel|metabolic\s+panel|liver\s+panel|kidney\s+panel)\b",
 ]
+# What a text needs to have, in lower case, for a pattern to match: one word of each group. Looking for words is much cheaper
+# than matching, and most texts lack them.
+_LAB_NAMES = "glucose cholesterol triglycerides hdl ldl alt ast tsh t4 hemoglobin a1c creatinine sodium potassium calcium vitamin".split()
+SCORE_NEEDS = [
+    [[DIGIT]], [[DIGIT], [":"]], [[DIGIT], ["("]], [["high", "low", "normal", "positive", "negative"]], [["range"]], [[DIGIT]], [[DIGIT], _LAB_NAMES],
+]
+HEADER_NEEDS = [[["results"]], [["chemistry"]], [["hematology", "panel"]], [["panel"]]]
 # Density steps of the confidence.
 SCORE_STEPS = [(5, 0.95), (2, 0.85), (1, 0.75), (0.5, 0.6), (0.2, 0.4)]
 
@@ -64,6 +74,21 @@ SCREEN_ADMIN = [
     r"\bbilling|invoice|payment|insurance|copay|deductible\b",
     r"\blegal|disclaimer|confidential|hipaa|privacy\b",
 ]
+_SCREEN_NAMES = "glucose cholesterol triglycerides hdl ldl hemoglobin hematocrit tsh alt ast creatinine sodium potassium vitamin".split()
+_BLOOD_NAMES = ["hemoglobin", "hb", "rbc", "wbc", "platelet"]
+SCREEN_LAB_NEEDS = [
+    [["report", "pathology", "results"]], [["labs", "diagnostics"]], [["diagnostics", "labcorp", "thyrocare", "path"]], [["ology", "chemistry"]],
+    [["count", "cbc", "profile", "function"]], [["report", "reference"]],
+]
+SCREEN_NEEDS = [
+    [[DIGIT]], [[DIGIT], _SCREEN_NAMES], [[DIGIT], _SCREEN_NAMES], [[DIGIT], _BLOOD_NAMES], [[DIGIT], _BLOOD_NAMES], [["high", "low", "normal"]], [[DIGIT]], [[DIGIT]],
+    [[DIGIT], ["("]], [[DIGIT]], [["chemistry", "hematology", "panel"]],
+]
+SCREEN_ADMIN_NEEDS = [
+    [["fax", "phone", "tel", "email", "website", "www.", ".com", ".org", ".edu"]], [["street", "avenue", "road", "suite", "building", "floor", "zip", "state", "city"]],
+    [[DIGIT]], [["page"], [DIGIT]], [["continued"]], [["printed"]], [["generated"]],
+    [["billing", "invoice", "payment", "insurance", "copay", "deductible"]], [["legal", "disclaimer", "confidential", "hipaa", "privacy"]],
+]
 # Thresholds of the screen once so many chunks are kept.
 SCREEN_LEVELS = [(0, 0.3), (1, 0.3), (10, 0.4), (15, 0.4), (20, 0.5)]
 
@@ -79,8 +104,33 @@ BALANCED_REMOVALS = [
     r"pg\. \d+", r"version \d+\.\d+[\.\d]*", r"v\d+\.\d+[\.\d]*", r"ver\. \d+\.\d+", r"[-=_*]{5,}", r"\.{5,}", r"\|{3,}",
 ]
 
+# What legacy compression rewrites: rules, empty cells, thousands commas, trailing zeros.
+LEGACY_REPLACEMENTS = [(r"[-_*=]{5,}", " "), (r"\|{3,}", "|"), (r"(\d+),(\d{3})", "$1$2"), (r"(\d+)\.0+\b", "$1")]
+# What the conservative cleanup takes out.
+FOOTERS = [
+    r"Page \d+ of \d+", r"©\s*\d{4}.*?(?:\n|$)", r"All rights reserved.*?(?:\n|$)", r"Confidential.*?(?:\n|$)", r"www\.[a-zA-Z0-9.-]+\.[a-zA-Z]{2,4}", r"http[s]?://[^\s]+",
+]
+# Lines about a report's handling, and what makes a line worth keeping all the same.
+ADMIN_LINES = [
+    r"^printed\s+on\s+\d", r"^generated\s+on\s+\d", r"^report\s+date\s*:", r"^specimen\s+received\s*:", r"^collected\s+on\s*:",
+    r"^accession\s*(number|#|id)\s*:", r"^lab\s+(id|code|number)\s*:", r"^order\s+(id|number)\s*:", r"^requisition\s*#?\s*:", r"^client\s+(id|code)\s*:",
+    r"^\s*for\s+questions", r"^\s*please\s+contact", r"^\s*reference\s+ranges?\s+may\s+vary", r"^\s*normal\s+values?\s+may\s+vary",
+]
+KEPT_LINES = [
+    r"\d+[\.,]?\d*\s*(?:mg|g|dl|ml|l|mmol|mol|iu|u|pg|ng|μg|mcg|%|mEq)", r"\d+[\.,]?\d*\s*/\s*(?:dl|ml|l|min|m2|kg)",
+    r"(?:high|low|normal|abnormal|positive|negative|elevated|decreased)\b", r"reference\s+range", r"normal\s+range", r"\breference\s*:", r"\bnormal\s*:",
+]
+# Signs of measurements on a page.
+INDICATORS = [
+    r"\b\d+\.?\d*\s*(?:mg/dL|g/dL|mmol/L|mol/L|U/L|IU/L|ng/mL|pg/mL|mIU/L|μIU/mL|μg/dL|mcg/dL|%|mEq/L)", r"\bnormal\s*range", r"\breference\s*range", r"\brange",
+    r"\bvalue", r"\bresult", r"\blow\b|\bhigh\b", r"\bpositive\b|\bnegative\b", r"\bchemistry\b", r"\bhematology\b", r"\btest\b|\btests\b",
+]
+# Beginnings of a reply that talk about the reply.
+META_PHRASES = ["Here is a concise response", "Here is some advice", "This is a response", "I'll provide", "Let me help you"]
+
 # Units behind a number that make a page relevant.
 RELEVANT_UNITS = r"(?i)\b\d+(\.\d+)?\s*(mg/dL|g/dL|%|mmol/L|U/L|IU/L|ng/mL|pg/mL|mIU/L|μIU/mL|μg/dL|ug/dL|mEq/L|meq/L|K/μL|K/uL|M/μL|M/uL|fL|pg|mm/hr)\b"
+# A line that looks like a table's row.
 TABLE_LINE = r"^\s*[\w\s\(\)\-\+,/]+(\s{2,}|\t)[\d\.<>\-\s]+"
 
 # Patterns that name a laboratory.
@@ -102,6 +152,18 @@ def hits(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"(?i){pattern}")), F.lit(0))
 
 
+def _seen(text: Column) -> Column:
+    """struct(lower, digit): what ``_hits_where`` looks at."""
+    return F.struct(F.lower(text).alias("lower"), text.rlike("[0-9]").alias("digit"))
+
+
+def _hits_where(text: Column, seen: Column, pattern: str, needs: list[list[str]]) -> Column:
+    """``hits``, counted only in a text that has what the pattern needs."""
+    has = lambda w: seen["digit"] if w == DIGIT else F.contains(seen["lower"], F.lit(w))
+    groups = [reduce(lambda a, b: a | b, [has(w) for w in g]) for g in needs]
+    return F.when(reduce(lambda a, b: a & b, groups), hits(text, pattern)).otherwise(0)
+
+
 def _total(counts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, counts)
 
@@ -122,7 +184,10 @@ def chat_tokens(text: Column) -> Column:
 
 def confidence(text: Column) -> Column:
     """Confidence that a text holds measurements, from weighted pattern hits per 100 characters and section headers."""
-    density = _total([hits(text, p) * w for p, w in SCORE_PATTERNS]) / (F.length(text) / 100)
+    def counted(seen: Column) -> Column:
+        density = _total([_hits_where(text, seen, p, n) * w for (p, w), n in zip(SCORE_PATTERNS, SCORE_NEEDS)]) / (F.length(text) / 100)
+        headers = _total([F.when(_hits_where(text, seen, h, n) > 0, 1).otherwise(0) for h, n in zip(SCORE_HEADERS, HEADER_NEEDS)])
+        return F.struct(density.alias("d"), headers.alias("h"))
 
     def stepped(d: Column) -> Column:
         base = F.when(d > SCORE_STEPS[0][0], SCORE_STEPS[0][1])
@@ -130,9 +195,7 @@ def confidence(text: Column) -> Column:
             base = base.when(d > least, value)
         return base.otherwise(0.2)
 
-    headers = _total([F.when(hits(text, h) > 0, 1).otherwise(0) for h in SCORE_HEADERS])
-    found = F.struct(density.alias("d"), headers.alias("h"))
-    score = bind(found, lambda s: F.when(s["h"] > 0, F.least(F.lit(0.99), stepped(s["d"]) + 0.15 * s["h"])).otherwise(stepped(s["d"])))
+    score = bind(bind(_seen(text), counted), lambda s: F.when(s["h"] > 0, F.least(F.lit(0.99), stepped(s["d"]) + 0.15 * s["h"])).otherwise(stepped(s["d"])))
     return F.when(F.coalesce(F.length(text), F.lit(0)) < 10, 0.0).otherwise(score)
 
 
@@ -152,13 +215,16 @@ def _escape(word: str) -> str:
 
 def screen(text: Column) -> Column:
     """What the quick screen finds, whatever has been kept before: struct(short, lab, patterns, admin, confidence)."""
-    lower = F.lower(text)
-    counts = F.struct(
-        _total([hits(lower, p) for p in SCREEN_LAB]).alias("lab"), _total([hits(text, p) * w for p, w in SCREEN_PATTERNS]).alias("patterns"),
-        _total([hits(lower, p) for p in SCREEN_ADMIN]).alias("admin"), F.length(text).alias("size"),
-        (F.coalesce(F.length(F.trim(text)), F.lit(0)) < 20).alias("short"),
-    )
-    return bind(counts, _screened)
+    def counted(seen: Column) -> Column:
+        lower = seen["lower"]
+        return F.struct(
+            _total([_hits_where(lower, seen, p, n) for p, n in zip(SCREEN_LAB, SCREEN_LAB_NEEDS)]).alias("lab"),
+            _total([_hits_where(text, seen, p, n) * w for (p, w), n in zip(SCREEN_PATTERNS, SCREEN_NEEDS)]).alias("patterns"),
+            _total([_hits_where(lower, seen, p, n) for p, n in zip(SCREEN_ADMIN, SCREEN_ADMIN_NEEDS)]).alias("admin"), F.length(text).alias("size"),
+            (F.coalesce(F.length(F.trim(text)), F.lit(0)) < 20).alias("short"),
+        )
+
+    return bind(bind(_seen(text), counted), _screened)
 
 
 def _screened(c: Column) -> Column:
@@ -192,23 +258,71 @@ def accepts(s: Column, kept: int) -> Column:
     return F.when(refused, False).when(lab >= 1, True).otherwise(passed)
 
 
+def screen_reason(s: Column, kept: int) -> Column:
+    """Why a screened text is processed or skipped once ``kept`` others are."""
+    lab, patterns, admin, c = s.getField("lab"), s.getField("patterns"), s.getField("admin"), s.getField("confidence")
+    threshold = max(v for n, v in SCREEN_LEVELS if n <= kept)
+    by_density = F.when(c == 0.9, "high_biomarker_density").when(c == 0.8, "medium_biomarker_density").when(c == 0.6, "low_biomarker_density").when(
+        c == 0.7, "multiple_biomarker_patterns").otherwise("some_biomarker_patterns")
+    alone = F.when(admin >= 1, F.lit("administrative_content_with_sufficient_biomarkers" if kept >= 10 else "administrative_content_detected")).otherwise(
+        F.lit("minimal_indicators_with_many_biomarkers" if kept >= 15 else "minimal_biomarker_indicators"))
+    reason = F.when(c < threshold, f"below_threshold_{threshold}").when(patterns > 0, by_density).otherwise(alone)
+    if kept == 0:
+        reason = F.when(c >= 0.2, "safety_fallback_no_biomarkers_found").otherwise(reason)
+    return (
+        F.when(s.getField("short"), "empty_or_too_short").when(lab >= 1, F.concat(F.lit("lab_report_indicators_found_"), lab.cast("string")))
+        .when((admin >= 3) & (patterns == 0), F.concat(F.lit("pure_administrative_content_matches_"), admin.cast("string"))).otherwise(reason)
+    )
+
+
+def indicates_measurements(text: Column) -> Column:
+    """Whether a page has any sign of measurements: a value with unit, or a word that results come with."""
+    return F.coalesce(reduce(lambda a, b: a | b, [text.rlike(f"(?i){p}") for p in INDICATORS]), F.lit(False))
+
+
+def conservative_cleanup(text: Column) -> Column:
+    """Page footers, notices, addresses and long rules out, white space reduced; paragraphs stay."""
+    t = F.regexp_replace(text, r"\n\s*\n\s*\n+", "\n\n")
+    for p in FOOTERS:
+        t = F.regexp_replace(t, f"(?i){p}", "")
+    t = F.regexp_replace(t, r"([_=\-])\1{10,}", "$1$1$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"\n\s*\n\s*\n+", "\n\n"), r"[ \t]+", " ")
+    return F.coalesce(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit(""))
+
+
 def compress_legacy(text: Column) -> Column:
     """White space, boilerplate, separators and number spellings reduced; the original where that saves no tokens."""
     t = F.regexp_replace(text, r"\s+", " ")
     for p in LEGACY_REMOVALS:
         t = F.regexp_replace(t, f"(?i){p}", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"[-_*=]{5,}", " "), r"\|{3,}", "|")
-    t = F.regexp_replace(F.regexp_replace(t, r"(\d+),(\d{3})", "$1$2"), r"(\d+)\.0+\b", "$1")
+    for p, to in LEGACY_REPLACEMENTS:
+        t = F.regexp_replace(t, p, to)
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
     return bind(t, lambda s: F.when(F.coalesce(text, F.lit("")) == "", "").when(tokens(s) >= tokens(text), text).otherwise(s))
 
 
-def compress_balanced(text: Column) -> Column:
-    """Boilerplate out and white space collapsed; the original where that saves nothing, or more than 30 per cent."""
+def _administrative(line: Column) -> Column:
+    """Whether a line is about the report's handling, and holds nothing that looks like a measurement."""
+    lower = F.lower(F.trim(line))
+    return lower.rlike("|".join(f"(?:{p})" for p in ADMIN_LINES)) & ~lower.rlike("|".join(f"(?:{p})" for p in KEPT_LINES))
+
+
+def compress_balanced(text: Column, line_aware: bool = False) -> Column:
+    """Boilerplate out and white space collapsed; the original where that saves nothing, or more than 30 per cent.
+
+    White space is collapsed before administrative lines are looked for, so a text is one line then, and goes as a whole or
+    not at all (and as a whole is more than 30 per cent). ``line_aware`` keeps lines apart and drops each administrative one.
+    """
     t = text
     for p in BALANCED_REMOVALS:
         t = F.regexp_replace(t, f"(?i){p}", "")
-    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    if line_aware:
+        lines = F.filter(F.split(t, "\n"), lambda s: (F.trim(s) != "") & ~_administrative(s))
+        t = F.regexp_replace(F.array_join(lines, "\n"), r"[^\S\n]+", " ")
+        t = F.regexp_replace(t, r"^\s+|\s+$", "")
+    else:
+        t = F.trim(F.regexp_replace(t, r"\s+", " "))
+        t = bind(t, lambda s: F.when(_administrative(s), "").otherwise(s))
     spoiled = lambda s: (tokens(s) < tokens(text) * 0.7) | (tokens(s) >= tokens(text))
     return bind(t, lambda s: F.when(F.coalesce(text, F.lit("")) == "", "").when(spoiled(s), text).otherwise(s))
 
@@ -227,6 +341,20 @@ def lab_votes(text: Column) -> Column:
 def shape_reply(text: Column, most: int = 800) -> Column:
     """A reply cut at the last end of a sentence in its first ``most`` characters, or with an ellipsis."""
     t = F.trim(text)
+    for phrase in META_PHRASES:
+        t = bind(t, lambda s, phrase=phrase: _without_meta(s, phrase))
+    return bind(t, lambda s: _cut_reply(s, most))
+
+
+def _without_meta(t: Column, phrase: str) -> Column:
+    """A reply without its talk about itself, up to the first colon or period."""
+    after = F.regexp_extract(t, r"^.[^:.]*[:.]([\s\S]*)$", 1)
+    has = F.substring(t, F.lit(2), F.length(t)).rlike("[:.]")
+    rest = F.when(has, after).otherwise(F.substring(t, F.lit(len(phrase) + 2), F.length(t)))
+    return F.when(F.startswith(F.lower(t), F.lit(phrase.lower())), F.trim(rest)).otherwise(t)
+
+
+def _cut_reply(t: Column, most: int) -> Column:
     bullets = F.when(t.contains("•") & ~t.contains("\n"), F.replace(t, F.lit("•"), F.lit("\n•"))).otherwise(t)
     end = F.lower(F.right(bullets, F.lit(200)))
     limit = F.when(end.rlike("note:|consult|healthcare provider|medical advice"), F.least(F.length(bullets), F.lit(1000))).otherwise(most)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
+
 # Spellings of units and their standard form.
 UNIT_SPELLINGS = {
     "mg/dL": ["mg/dl", "mg / dl", "mg/deciliter", "mg per dl", "mg per deciliter"],
@@ -98,25 +100,26 @@ def reference_range(text: Column) -> Column:
 
 
 def display_range(text: Column) -> Column:
-    """struct(low, high) as dashboards read a range: thousands commas go; ``a-b`` or ``a to b``, ``<``, ``>``, ``up to``;
-    a lone number says nothing."""
+    """struct(low, high) as dashboards read a range: thousands commas go; ``a-b`` or ``a to b``, ``<`` or ``less than``, ``>`` or
+    ``greater than``, ``up to``; a lone number says nothing."""
     t = F.regexp_replace(F.trim(text), ",", "")
     num = r"([0-9]+(?:\.[0-9]+)?)"
     both = rf"{num}\s*[-–—to]+\s*{num}"
+    below, above = rf"(?i)(?:[<≤]\s*=?|less than)\s*{num}", rf"(?i)(?:[>≥]\s*=?|greater than)\s*{num}"
     none = F.lit(None).cast("double")
     pick = lambda p, g=1: number(F.nullif(F.regexp_extract(t, p, g), F.lit("")))
     pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
     return (
         F.when(t.rlike(both), pair(pick(both), pick(both, 2)))
-        .when(t.rlike(rf"[<≤]\s*=?\s*{num}"), pair(none, pick(rf"[<≤]\s*=?\s*{num}")))
-        .when(t.rlike(rf"[>≥]\s*=?\s*{num}"), pair(pick(rf"[>≥]\s*=?\s*{num}"), none))
+        .when(t.rlike(below), pair(none, pick(below)))
+        .when(t.rlike(above), pair(pick(above), none))
         .when(t.rlike(rf"(?i)up to\s*{num}"), pair(none, pick(rf"(?i)up to\s*{num}")))
         .otherwise(pair(none, none))
     )
 
 
 def strict_range(text: Column) -> Column:
-    """struct(low, high) where the whole text is ``a-b``, ``<a`` or ``>a``; else nulls."""
+    """struct(low, high) where the whole text is ``a-b``, ``<a``, ``<=a``, ``>a`` or ``>=a``; else nulls."""
     t, num = F.trim(text), r"(-?[0-9]+(?:\.[0-9]+)?)"
     none = F.lit(None).cast("double")
     pick = lambda p, g=1: number(F.nullif(F.regexp_extract(t, p, g), F.lit("")))
@@ -124,8 +127,8 @@ def strict_range(text: Column) -> Column:
     both = rf"^{num}\s*-\s*{num}$"
     return (
         F.when(t.rlike(both), pair(pick(both), pick(both, 2)))
-        .when(t.rlike(rf"^[<≤]\s*{num}$"), pair(none, pick(rf"^[<≤]\s*{num}$")))
-        .when(t.rlike(rf"^[>≥]\s*{num}$"), pair(pick(rf"^[>≥]\s*{num}$"), none))
+        .when(t.rlike(rf"^[<≤]\s*=?\s*{num}$"), pair(none, pick(rf"^[<≤]\s*=?\s*{num}$")))
+        .when(t.rlike(rf"^[>≥]\s*=?\s*{num}$"), pair(pick(rf"^[>≥]\s*=?\s*{num}$"), none))
         .otherwise(pair(none, none))
     )
 
@@ -160,9 +163,50 @@ def range_position(value: Column, low: Column, high: Column) -> Column:
     return F.when(low.isNull() | high.isNull() | value.isNull(), 50.0).otherwise(F.greatest(F.least(F.coalesce(at, F.lit(50.0)), F.lit(95.0)), F.lit(5.0)))
 
 
+def shown(n: Column) -> Column:
+    """A number as dashboards print it: without ``.0``."""
+    return F.regexp_replace(n.cast("string"), r"\.0$", "")
+
+
 def range_text(text: Column, low: Column, high: Column) -> Column:
     """The text, else ``low-high`` where both are known."""
-    return F.coalesce(F.nullif(text, F.lit("")), F.when(low.isNotNull() & high.isNotNull(), F.concat(low.cast("string"), F.lit("-"), high.cast("string"))))
+    return F.coalesce(F.nullif(text, F.lit("")), F.when(low.isNotNull() & high.isNotNull(), F.concat(shown(low), F.lit("-"), shown(high))))
+
+
+def range_of_object(v: Column) -> Column:
+    """struct(low, high, text) of a variant ``{low, high, unit}``. A bound that is no number takes the other with it; the text is
+    ``low-high unit``, ``> low``, ``< high``, or the object itself where there is no bound."""
+    raw = {k: F.try_variant_get(v, f"$.{k}", "string") for k in ("low", "high", "unit")}
+    read = {k: number(raw[k]) for k in ("low", "high")}
+    bad = (raw["low"].isNotNull() & read["low"].isNull()) | (raw["high"].isNotNull() & read["high"].isNull())
+    low, high = (F.when(~bad, read[k]) for k in ("low", "high"))
+    bounds = (
+        F.when(low.isNotNull() & high.isNotNull(), F.concat(low.cast("string"), F.lit("-"), high.cast("string")))
+        .when(low.isNotNull(), F.concat(F.lit("> "), low.cast("string"))).when(high.isNotNull(), F.concat(F.lit("< "), high.cast("string")))
+    )
+    text = F.coalesce(F.concat_ws(" ", F.nullif(bounds, F.lit("")), F.when(bounds.isNotNull(), F.nullif(raw["unit"], F.lit("")))), F.lit(""))
+    return F.when(v.isNotNull(), F.struct(low.alias("low"), high.alias("high"), F.when(text != "", text).otherwise(F.to_json(v)).alias("text")))
+
+
+def effective_date(*dates: Column) -> Column:
+    """The first date that is known: of the report, else of its upload, else of the row."""
+    return F.coalesce(*dates)
+
+
+def base_name(path: Column) -> Column:
+    """File name without folder and extension; ``Unknown`` for a missing path."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(F.coalesce(path, F.lit("")) == "", "Unknown").otherwise(F.regexp_replace(name, r"\.[^.]+$", ""))
+
+
+#: Names that dashboards show under another one.
+SYNONYMS = {"25-Hydroxyvitamin D": "Vitamin D"}
+
+
+def canonical_name(name: Column, synonyms: dict[str, str] | None = None) -> Column:
+    """The name under which synonyms are shown; others stay."""
+    known = SYNONYMS if synonyms is None else synonyms
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), name), name) if known else name
 
 
 def confidence(text: Column) -> Column:
@@ -207,6 +251,42 @@ def json_object(text: Column) -> Column:
     return F.try_parse_json(F.regexp_extract(text, r"(\{[\s\S]*\})", 1))
 
 
+def filled_fields(fields: Column) -> Column:
+    """A map without its null and empty values."""
+    return F.map_filter(fields, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def _closed(text: Column) -> Column:
+    """The text with the brackets appended that it leaves open, innermost first."""
+
+    def step(still: Column, c: Column) -> Column:
+        done = F.substring(still, F.lit(1), F.lit(1)) == c
+        return F.when(c == "{", F.concat(F.lit("}"), still)).when(c == "[", F.concat(F.lit("]"), still)).when(
+            done, F.substring(still, F.lit(2), F.length(still))
+        ).otherwise(still)
+
+    marks = F.regexp_extract_all(F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', ""), F.lit(r"([\[\]{}])"), F.lit(1))
+    return F.concat(text, F.aggregate(marks, F.lit(""), step))
+
+
+def repaired_json(text: Column) -> Column:
+    """A language model's JSON object, mended: fences and words around it, comments, control characters, bare names, single
+    quotes, missing and trailing commas, open brackets. Where that isn't JSON yet, the complete named objects alone, and
+    without any an empty list: the result always parses."""
+    t = F.regexp_replace(text, "```json|```", "")
+    t = F.coalesce(F.nullif(F.regexp_extract(t, r"(\{[\s\S]*\})", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"(\{[\s\S]*)", 1), F.lit("")), t)
+    for pattern, to in (
+        (r"(?<![:\"'])//[^\n]*\n", ""), (r"/\*[\s\S]*?\*/", ""), (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""),
+        (r"([{,]\s*)([a-zA-Z_][a-zA-Z0-9_]*)(\s*:)", '$1"$2"$3'), (r"(?<!\\)'((?:\\.|[^\\'])*)'(?=\s*[,:}\]]|$)", '"$1"'),
+        (r"\}\s*\{", "},{"), (r'(true|false|null|"[^"]*"|\d|\}|\])\s+("[\w\s]+"\s*:)', "$1, $2"), (r",\s*([}\]])", "$1"),
+    ):
+        t = F.regexp_replace(t, pattern, to)
+    parses = lambda s: F.try_parse_json(s).isNotNull()
+    named = F.filter(F.regexp_extract_all(t, F.lit(r'(\{\s*"name"\s*:[^{}]*\})'), F.lit(1)), parses)
+    rest = F.concat(F.lit('{"biomarkers": ['), F.array_join(named, ","), F.lit('], "metadata": {}}'))
+    return bind(t, lambda s: F.when(parses(s), s).when(parses(_closed(s)), _closed(s)).otherwise(rest))
+
+
 def complete_objects(text: Column) -> Column:
     """The innermost complete ``{...}`` objects of a text that may be cut off."""
     return F.filter(F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), F.lit(1)), lambda s: F.try_parse_json(s).isNotNull())

@@ -42,6 +42,32 @@ def latest_previous(readings: DataFrame, keys: list[str], at: str = "ts", value:
     return two.select(*keys, F.col(value).alias("latest"), "previous", trend(F.col(value), F.col("previous")).alias("trend"))
 
 
+def abnormal_recent(readings: DataFrame, keys: list[str], at: str, abnormal: str, now: F.Column, days: int = 30) -> DataFrame:
+    """Measurements of each group, and how many abnormal ones there are of the last ``days`` days before ``now``."""
+    since = now - F.make_dt_interval(days=F.lit(days))
+    return readings.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(abnormal) & (F.col(at) >= since)).alias("abnormal_recent"))
+
+
+def tiles(readings: DataFrame, keys: list[str], abnormal: str, category: str) -> DataFrame:
+    """Measurements, abnormal ones and categories of each group; missing categories are one."""
+    named = F.count_distinct(category) + F.max(F.col(category).isNull().cast("int"))
+    return readings.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(abnormal).alias("abnormal"), named.alias("categories"))
+
+
+def chart_series(readings: DataFrame, keys: list[str], at: str, value: str, unit: str, low: str, high: str, category: str, row_id: str) -> DataFrame:
+    """What a chart of each series needs: times, values and ids in order, unit and range of the earliest row, the distinct
+    categories in order of appearance (a missing one reads Uncategorized, a missing unit N/A). Missing times come first."""
+    points = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(at).isNotNull(), F.lit(False)).alias("known"), F.col(at).alias("at"), F.col(row_id).alias("id"), F.col(value).alias("value"),
+                                                  F.col(unit).alias("unit"), F.col(low).alias("low"), F.col(high).alias("high"), F.col(category).alias("category"))))
+    one = readings.groupBy(*keys).agg(points.alias("p"))
+    first = F.element_at("p", 1)
+    return one.select(
+        *keys, F.transform("p", lambda p: p["at"]).alias("times"), F.transform("p", lambda p: p["value"]).alias("values"), F.transform("p", lambda p: p["id"]).alias("ids"),
+        F.coalesce(F.nullif(first["unit"], F.lit("")), F.lit("N/A")).alias("unit"), first["low"].alias("low"), first["high"].alias("high"),
+        F.array_distinct(F.transform("p", lambda p: F.coalesce(F.nullif(p["category"], F.lit("")), F.lit("Uncategorized")))).alias("categories"),
+    )
+
+
 def series(readings: DataFrame, keys: list[str], at: str = "ts", value: str = "value", tie: str = "reading_id", low: float = 0.0, high: float = 0.0) -> DataFrame:
     """Ordered values of each series, and the axis that shows them with their range."""
     points = F.array_sort(F.collect_list(F.struct(at, tie, value)))

@@ -88,12 +88,47 @@ def best_modes(modes: DataFrame, mode: str) -> DataFrame:
     )
 
 
-def counter_deltas(snapshots: DataFrame, order: str, *counters: str) -> DataFrame:
-    """What each counter gained since the snapshot before."""
-    w = Window.orderBy(order)
+def counter_deltas(snapshots: DataFrame, order: str, *counters: str, keys: list[str]) -> DataFrame:
+    """What each counter gained since the snapshot before, within ``keys`` (a cache, a run): series are told apart, and no task
+    gets all snapshots."""
+    w = Window.partitionBy(*keys).orderBy(order)
     return snapshots.withColumns({f"{c}_delta": F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)) for c in counters})
 
 
+def mean_confidence(reports: DataFrame, found: DataFrame, report: str, score: str) -> DataFrame:
+    """Reports with parsing_confidence: the mean of their measurements' scores, of which a missing one counts 0; 0 without any."""
+    mean = found.groupBy(report).agg(F.avg(F.coalesce(score, F.lit(0.0))).alias("parsing_confidence"))
+    return reports.join(mean, report, "left").withColumn("parsing_confidence", F.coalesce("parsing_confidence", F.lit(0.0)))
+
+
+def skip_report(chunks: DataFrame, keys: list[str], kept: str, reason: str, score: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """What a screen did: (totals and a histogram of scores for each group, skipped chunks of each reason)."""
+    gone = ~F.col(kept)
+    bucket = F.when(F.col(score) >= 0.8, "high").when(F.col(score) >= 0.6, "medium").when(F.col(score) >= 0.4, "low").otherwise("very_low")
+    totals = chunks.groupBy(*keys).agg(
+        F.count("*").alias("total_chunks"), F.count_if(gone).alias("skipped"), F.count_if(~gone).alias("processed"),
+        *[F.count_if(bucket == b).alias(b) for b in ("high", "medium", "low", "very_low")], F.coalesce(F.sum(F.when(gone, F.col(tokens))), F.lit(0)).cast("long").alias("token_savings"),
+    )
+    return totals, chunks.where(gone).groupBy(*keys, reason).agg(F.count("*").alias("n"))
+
+
+def lab_benchmark(runs: DataFrame, lab: str, reduction: str, accuracy: str, failed: str) -> DataFrame:
+    """Labs tested, failed, means of the others, and the labs of most and least reduction (the first of equals by name)."""
+    ok = ~F.col(failed)
+    good = lambda c: F.when(ok, F.col(c))
+    pick = lambda order: F.min_by(F.when(ok, F.col(lab)), F.when(ok, order))
+    return runs.agg(
+        F.count("*").alias("labs"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.coalesce(F.avg(good(reduction)), F.lit(0.0)).alias("mean_reduction"),
+        F.coalesce(F.avg(good(accuracy)), F.lit(0.0)).alias("mean_accuracy"), pick(F.struct(-F.col(reduction), F.col(lab))).alias("best_lab"), pick(F.struct(F.col(reduction), F.col(lab))).alias("worst_lab"),
+    )
+
+
+def bounded_history(points: DataFrame, keys: list[str], order: str, most: int = 1000) -> DataFrame:
+    """The newest ``most`` points of each series."""
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    return points.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")
+
+
 def cache_stats(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Hits count found patterns, so the hit rate of extractions (hit_patterns long, confidence double) may exceed 1."""
     hits = F.coalesce(F.sum("hit_patterns"), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import date_of, shown
+
 
 def search(df: DataFrame, term: str | None, *columns: str) -> DataFrame:
     """Rows where any column holds the term, case aside; ``%`` and ``_`` in the term are wildcards."""
@@ -24,6 +26,52 @@ def where_equal(df: DataFrame, **values) -> DataFrame:
     return df
 
 
+def point(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, or none. Files sorted by the key are pruned by their statistics."""
+    return df.where(F.col(key) == F.lit(value)).limit(1)
+
+
+def of_tenant(df: DataFrame, tenant, column: str = "tenant_id") -> DataFrame:
+    """What a tenant may see: its own rows; none without a tenant."""
+    return df.where(F.col(column) == F.lit(tenant)) if tenant is not None else df.limit(0)
+
+
+def search_fields(df: DataFrame, term: str, *columns: str) -> DataFrame:
+    """Rows where the term stands in any column, case aside and taken literally; numbers are read as they are shown."""
+    numeric = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    texts = [shown(F.col(c)) if c in numeric else F.col(c).cast("string") for c in columns]
+    return df.where(F.exists(F.array(*texts), lambda t: F.coalesce(F.contains(F.lower(t), F.lit(term.lower())), F.lit(False))))
+
+
+def history_filter(df: DataFrame, category: str = "All", abnormal: bool | None = None, report: str = "All") -> DataFrame:
+    """Rows of a category, a status and a report; a row without category is Uncategorized, without file of Unknown Report."""
+    if category != "All":
+        df = df.where(F.coalesce(F.nullif("category", F.lit("")), F.lit("Uncategorized")) == category)
+    if abnormal is not None:
+        df = df.where(F.col("is_abnormal").eqNullSafe(F.lit(abnormal)))
+    return df.where(F.coalesce(F.nullif("file_name", F.lit("")), F.lit("Unknown Report")) == report) if report != "All" else df
+
+
+def choices(*columns: DataFrame) -> DataFrame:
+    """choice, place: All, then the distinct values of all one-column tables; null and empty ones go."""
+    found = columns[0].toDF("choice")
+    for c in columns[1:]:
+        found = found.union(c.toDF("choice"))
+    found = found.where("choice != ''").distinct().select("choice", F.lit(1).alias("place"))
+    return found.sparkSession.range(1).select(F.lit("All").alias("choice"), F.lit(0).alias("place")).union(found.where("choice != 'All'"))
+
+
+def table_order(column: str, kind: str, ascending: bool = True, tie: str = "id") -> list[Column]:
+    """Order of a shown table: numbers by value, booleans false first, texts by their lower case with missing ones as ''."""
+    c = F.col(column) if kind in ("double", "float", "int", "bigint") else F.coalesce(F.col(column), F.lit(False)) if kind == "boolean" else F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    return [c.asc_nulls_first() if ascending else c.desc_nulls_last(), F.col(tie)]
+
+
+def page_number(df: DataFrame, order: list[Column], number: int, size: int = 10) -> DataFrame:
+    """The page of a 1-based number."""
+    return page(df, order, (max(1, number) - 1) * size, size)
+
+
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 100) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of an order that the caller makes total; limit is held within 1 and 1000."""
     return df.orderBy(*order).offset(max(0, offset)).limit(min(1000, max(1, limit)))
@@ -81,6 +129,33 @@ def fill_missing(df: DataFrame, column: str, value, empty: tuple[str, ...] = ())
     return df.withColumn(column, F.when(gone, F.lit(value)).otherwise(F.col(column)))
 
 
+def cascade_delete(parents: DataFrame, children: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Parents and children without those of the keys."""
+    return delete_keys(parents, keys, key), delete_keys(children, keys, key)
+
+
+def reset_status(df: DataFrame, when: Column, to: str = "pending", column: str = "status") -> DataFrame:
+    """Rows that got stuck start again."""
+    return df.withColumn(column, F.when(F.coalesce(when, F.lit(False)), to).otherwise(F.col(column)))
+
+
+def people_from_metadata(metadata: DataFrame) -> DataFrame:
+    """New persons from report metadata (patient_name, patient_dob, patient_gender, patient_id, tenant_id): a missing name reads
+    Unknown Profile, a blank one Default Profile; a birth date that fits no known format is left out."""
+    name = F.when(F.col("patient_name").isNull(), "Unknown Profile").when(F.trim("patient_name") == "", "Default Profile").otherwise(F.col("patient_name"))
+    return metadata.select(
+        name.alias("name"), date_of(F.col("patient_dob")).alias("date_of_birth"), F.col("patient_gender").alias("gender"), "patient_id", "tenant_id"
+    )
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """rows_a, rows_b, same: whether two tables hold the same rows, repeats included, by one pass over each: counts and sums of
+    row hashes, in any order of rows."""
+    digest = lambda df: df.select(F.xxhash64(*[F.col(c) for c in a.columns]).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s"))
+    x, y = digest(a).withColumnsRenamed({"n": "rows_a", "s": "sa"}), digest(b).withColumnsRenamed({"n": "rows_b", "s": "sb"})
+    return x.crossJoin(y).select("rows_a", "rows_b", ((F.col("rows_a") == F.col("rows_b")) & F.col("sa").eqNullSafe(F.col("sb"))).alias("same"))  # one row each
+
+
 def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_anti")
 
@@ -128,10 +203,61 @@ def moved(items: Column, from_: int, to: int) -> Column:
     return F.concat(F.slice(rest, 1, to), F.array(item), F.slice(rest, F.lit(to + 1), F.size(items)))
 
 
-def two_stage_match(wanted: DataFrame, people: DataFrame, key: str, id_col: str, name_col: str) -> DataFrame:
-    """Matches by equal id; rows without any match by names that contain the wanted one."""
-    p = people.select(F.col(key).alias("match"), F.col(id_col).alias("__id"), F.col(name_col).alias("__name"))
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters; the whole text where it is shorter."""
+    n = F.length(text)
+    return F.array_distinct(F.when(n <= size, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))))
+
+
+def two_stage_match(wanted: DataFrame, people: DataFrame, key: str, id_col: str, name_col: str, gram: int = 3) -> DataFrame:
+    """Matches by equal id; rows (wanted: their key) without any match by names that contain the wanted one, case aside.
+
+    A name that contains another has all its runs of ``gram`` characters, so the two meet by equality of the wanted name's rarest
+    run, and only those pairs are compared. Names shorter than a run meet all shorter runs of the people's names. Null and
+    empty names match by id only.
+    """
+    p = people.select(F.col(key).alias("match"), F.col(id_col).alias("__id"), F.lower(name_col).alias("__name"))
     by_id = wanted.join(p, F.col(id_col) == F.col("__id")).select(*wanted.columns, "match")
-    left = wanted.join(by_id.select("wanted").distinct(), "wanted", "left_anti")
-    by_name = left.join(p, F.lower("__name").contains(F.lower(name_col))).select(*wanted.columns, "match")
-    return by_id.unionByName(by_name)
+    left = wanted.join(by_id.select("wanted").distinct(), "wanted", "left_anti").withColumn("__w", F.lower(name_col)).where("__w != ''")
+    sizes = range(1, gram + 1)
+    runs = p.where("__name != ''").select("match", "__name", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("__name"), k) for k in sizes])))).alias("__g"))
+    counts = runs.groupBy("__g").agg(F.count("*").alias("__k"))
+    asked = left.select(*wanted.columns, "__w", F.explode(_grams(F.col("__w"), gram)).alias("__g")).join(counts, "__g", "left")
+    rarest = asked.groupBy("wanted").agg(F.min_by("__g", F.struct(F.coalesce("__k", F.lit(0)), "__g")).alias("__g"))
+    met = left.join(rarest, "wanted").join(runs, "__g").where(F.contains("__name", F.col("__w")))
+    return by_id.unionByName(met.select(*wanted.columns, "match"))
+
+
+def suggestions(df: DataFrame, category: str = "category", priority: str = "priority", text: str = "text", tie: str = "id") -> DataFrame:
+    """Questions of each category, by priority: category, place (1 first), text."""
+    w = Window.partitionBy(category).orderBy(priority, tie)
+    return df.select(category, F.row_number().over(w).alias("place"), text)
+
+
+def follow_ups(reply: Column, abnormal: Column, most: int = 3) -> Column:
+    """At most ``most`` follow-up questions to a reply: on food, on exercise, on how several abnormal values relate."""
+    lower = F.lower(reply)
+    return F.slice(F.array_compact(F.array(
+        F.when(lower.rlike("diet|nutrition"), "What specific foods should I focus on?"), F.when(lower.rlike("exercise"), "What type of exercise routine would you recommend?"),
+        F.when(abnormal > 1, "How are my abnormal biomarkers related to each other?"),
+    )), 1, most)
+
+
+def mentioned(texts: DataFrame, names: DataFrame, key: list[str], text: str = "text", name: str = "name", gram: int = 3) -> DataFrame:
+    """(key, name) of the names that a text contains, case aside. A text meets the names whose rarest run of ``gram`` characters it
+    has, by equality, and only those pairs are compared; null and empty names and texts meet nothing."""
+    named = names.select(F.col(name).alias("name"), F.lower(name).alias("__n")).where("__n != ''").distinct()
+    runs = texts.where(F.col(text) != "").select(*key, F.lower(text).alias("__t"))
+    sizes = range(1, gram + 1)
+    asked = named.select("name", "__n", F.explode(_grams(F.col("__n"), gram)).alias("__g"))
+    # rarity among the names: a run that few names have
+    few = asked.groupBy("__g").agg(F.count("*").alias("__k"))
+    best = asked.join(few, "__g").groupBy("name", "__n").agg(F.min_by("__g", F.struct("__k", "__g")).alias("__g"))
+    wanted = best.select("__g").distinct()
+    lists = runs.select(*key, "__t", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("__t"), k) for k in sizes])))).alias("__g"))
+    return lists.join(wanted, "__g", "left_semi").join(best, "__g").where(F.contains("__t", F.col("__n"))).select(*key, "name")
+
+
+def sources_without(chosen: Column, target: Column) -> Column:
+    """The persons to merge: those chosen but for the one that they go to, in their order."""
+    return F.filter(chosen, lambda c: ~c.eqNullSafe(target))

@@ -10,8 +10,9 @@ from ..functions.texts import confidence, hits, tokens
 from .documents import pack
 
 #: Cells between bars, or between tabs; a single character on either side is enough, which keeps matching linear.
-_TABLE = r"(?:\|[^|]+\|[^|]+\|)|(?:[^\t]\t[^\t]+\t[^\t])"
-_UNITS = r"\b\d+[\.,]?\d*\s*(?:mg/[dD][lL]|g/[dD][lL]|mmol/L|U/L|IU/L|ng/m[lL]|pg/m[lL]|μg/[dD][lL]|mcg/[dD][lL]|%)"
+TABLE_CELLS = r"(?:\|[^|]+\|[^|]+\|)|(?:[^\t]\t[^\t]+\t[^\t])"
+# A value with its unit, and names that raise a chunk's confidence.
+UNIT_VALUE = r"\b\d+[\.,]?\d*\s*(?:mg/[dD][lL]|g/[dD][lL]|mmol/L|U/L|IU/L|ng/m[lL]|pg/m[lL]|μg/[dD][lL]|mcg/[dD][lL]|%)"
 _NAMES = ["glucose", "cholesterol", "triglycerides", "hdl", "ldl", "hemoglobin", "hematocrit", "tsh", "creatinine", "albumin", "sodium", "potassium"]
 
 # Fixed values of each mode: table, units (least, boost), headings, reference words, flags (least, boost), names (least, boost), cap.
@@ -43,9 +44,9 @@ def boosted(text: Column, base: Column, mode: str = "balanced") -> Column:
     table, units, (heading, h), (reference, r), (flag, least, f), names, name_steps, cap = BOOSTS[mode]
     lower = F.lower(text)
     named = sum((F.contains(lower, F.lit(n)).cast("int") for n in names), F.lit(0))
-    case_hits = F.coalesce(F.regexp_count(text, F.lit(_UNITS)), F.lit(0))
+    case_hits = F.coalesce(F.regexp_count(text, F.lit(UNIT_VALUE)), F.lit(0))
     boost = (
-        F.when(text.rlike(_TABLE), table).otherwise(0.0) + _stepped(case_hits, units) + F.when(hits(text, heading) > 0, h).otherwise(0.0)
+        F.when(text.rlike(TABLE_CELLS), table).otherwise(0.0) + _stepped(case_hits, units) + F.when(hits(text, heading) > 0, h).otherwise(0.0)
         + F.when(hits(text, reference) > 0, r).otherwise(0.0) + F.when(hits(text, flag) >= least, f).otherwise(0.0) + _stepped(named, name_steps)
     )
     return F.least(F.lit(cap), base + boost)
@@ -61,6 +62,18 @@ def context_confidence(complete: Column, has_range: Column, in_table: Column, va
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+def confident(rows: DataFrame, score: Column, least: float = 0.6) -> DataFrame:
+    """Measurements with ``confidence``, of those that are sure enough in their context."""
+    return rows.withColumn("confidence", score).where(F.col("confidence") >= least)
+
+
+def prompt_level(calls: Column, tokens: Column, names: Column) -> Column:
+    """How terse the extractor's request is: 1, 2 from the third call, 3 from the seventh; one more where a name costs over 400 tokens."""
+    level = F.when(calls >= 7, 3).when(calls >= 3, 2).otherwise(1)
+    dear = F.coalesce(F.try_divide(tokens, names) > 400, F.lit(False))
+    return F.least(F.lit(3), level + dear.cast("int"))
+
+
 def merge_contexts(known: DataFrame, report: str, name: str, page: str, *fields: str) -> DataFrame:
     """What is known of each name in a report: the fields of its last page."""
     return known.groupBy(report, name).agg(F.max(page).alias(page), *[F.max_by(f, page).alias(f) for f in fields])

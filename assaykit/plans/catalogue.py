@@ -666,3 +666,6 @@ def layout_confidence(spark, d):
 def dense_zone_chunks(spark, d):
     docs = table(spark, d, "documents").where("length(text) > 0")
     return docs.select("doc_id", F.posexplode(state.dense_chunks(F.col("text"), 400)).alias("ord", "text")).select("doc_id", "ord", F.sha2("text", 256).alias("text_sha256"))
+
+
+from . import lookups, upkeep  # noqa: E402, F401  their queries register themselves
