@@ -12,8 +12,8 @@ import numpy as np
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Texts with other characters, or with what may be a special token, are encoded whole by the library.
-_OTHER = re.compile("[^\t\n\r -~\xa1-\xff]|<\\|")
+#: Texts with other characters are encoded whole by the library, and so are those with what may be a special token.
+_OTHER = "[^\t\n\r -~\xa1-\xff]"
 _BYTE_LEVEL = re.compile(f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 #: The same without the look-ahead, which only white space next to white space needs (see ``_loose``).
 _SPLITS = {
@@ -42,10 +42,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
             made = json.load(f)
         pre, norm = made["pre_tokenizer"] or {}, made["normalizer"] or {}
+        # the library finds added tokens before it splits a text, so a text that may hold one goes to it whole
+        starts = sorted({re.escape(t["content"].strip()[:2]) for t in made["added_tokens"]})
+        self.other = re.compile("|".join([_OTHER, *starts]), re.IGNORECASE)
         self.kind = None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.kind, mark = "bytes", lambda t: t.startswith("Ġ")
@@ -122,11 +124,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "words":
-            texts = [t.lower() if not _OTHER.search(t) else t for t in texts]
+            texts = [t.lower() if not self.other.search(t) else t for t in texts]
         out: list[bytes | None] = [None] * len(texts)
         plain = []
         for i, t in enumerate(texts):
-            if not self.kind or _OTHER.search(t):
+            if not self.kind or self.other.search(t):
                 out[i] = self._whole([t])[0]
             elif self.kind == "bytes" and _loose(t):
                 out[i] = b"".join(self._ids(_BYTE_LEVEL.findall(t)))
