@@ -1,11 +1,12 @@
-"""What several operators of this subpackage share: words, shared storage, doc_id ranges."""
+"""What several operators of this subpackage share: words, shared storage, doc_id ranges, memory of Python workers."""
 
 from __future__ import annotations
 
-import bisect
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,15 +55,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """``df``, in a session whose Arrow batches have at most ``rows`` rows: whole texts of any length go to Python, and a
-    batch is held several times on its way."""
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> DataFrame:
+    """``df``, in a session whose Arrow batches have at most ``rows`` rows and about ``size`` bytes: whole texts of any
+    length go to Python, and a batch is held several times on its way. Smaller settings of the session stay."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if int(conf.get(key).removesuffix("b")) not in range(1, most + 1):
+            conf.set(key, str(most))
     return df
 
 
+def give_back() -> None:
+    """Return this worker's free memory to the system: a worker stays for later tasks, and what Arrow and the C library
+    keep for themselves would count until then."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, after which the worker gives its free memory back, also if the task fails or its
+    consumer stops early."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(held, schema)
+
+
 def text_frame(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text as bytes (no decoding in Python), and further columns."""
     return small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"), *more)
@@ -75,20 +101,31 @@ def id_splits(docs: DataFrame, parts: int) -> list[int]:
     return sorted({int(x) for x in found})
 
 
+def longs(values: list[int]) -> F.Column:
+    """A constant array of numbers, as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def id_range(splits: list[int]) -> F.Column:
-    """Number of the doc_id range (0 for null): ranges ascend with doc_id; a doc_id is in one range only."""
+    """Number of the doc_id range (0 for null): ranges ascend with doc_id; a doc_id is in one range only.
+
+    A binary search over the bounds: a row costs a comparison for each doubling of the number of ranges.
+    """
     if not splits:
         return F.lit(0)
-    bounds = F.array(*[F.lit(int(s)).cast("long") for s in splits])
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(
-        F.aggregate(bounds, F.lit(0), lambda n, s: n + (F.col("doc_id") >= s).cast("int"))
-    )
+    bounds, key = longs(splits), F.col("doc_id").cast("long")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(key >= F.get(bounds, at + step - 1), at + step).otherwise(at))
 
 
-def range_of(splits: list[int], value: int) -> int:
-    return bisect.bisect_right(splits, value)
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` is read from, as far as Spark knows them before it runs; 0 for others."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)  # more means unknown
 
 
-def text_partitions(docs: DataFrame) -> int:
-    """Partitions for a shuffle of whole texts: the session's setting, which follows the cluster's data size."""
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def text_partitions(docs: DataFrame, size: int = 128 << 20) -> int:
+    """Partitions for a shuffle of whole texts: the session's number, or more where a partition would get over ``size``
+    bytes of the (compressed) input."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // size))

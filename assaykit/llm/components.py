@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_batches, materialize
 
 
 def _forest(batches):
@@ -38,7 +38,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     links do no harm; without links the result is empty.
     """
     vertex = links.where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    edges = materialize(vertex.select("u", "v").where("u != v").mapInArrow(_forest, "u long, v long").distinct(), "links")
+    edges = materialize(map_batches(vertex.select("u", "v").where("u != v"), _forest, "u long, v long").distinct(), "links")
     labels = None
     for k in range(most_rounds):
         if edges.isEmpty():
@@ -55,7 +55,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = materialize(labels, "labels")
         a, b = hook.select(F.col("x").alias("u"), F.col("hook").alias("hu")), hook.select(F.col("x").alias("v"), F.col("hook").alias("hv"))
         edges = edges.join(a, "u").join(b, "v").where("hu != hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v"))
-        edges = materialize(edges.distinct().mapInArrow(_forest, "u long, v long"), "links")
+        edges = materialize(map_batches(edges.distinct(), _forest, "u long, v long"), "links")
     else:
         raise RuntimeError("the links didn't contract")
     if labels is None:

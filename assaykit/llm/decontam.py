@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, materialize, small_batches
+from .common import alnum_words, map_batches, materialize, small_batches
 
 #: The operator's struct column.
 RESULT = "contamination"
@@ -31,9 +31,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary())], ["item_id", "win"])
 
     items = benchmark.where(F.col("item_id").isNotNull())
-    return items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).mapInArrow(
-        run, "item_id string, win binary"
-    ).distinct()
+    return map_batches(items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")), run, "item_id string, win binary").distinct()
 
 
 def _rarity(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
@@ -52,7 +50,7 @@ def _rarity(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
             [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
         )
 
-    found = small_batches(docs).select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = map_batches(small_batches(docs).select(F.col("text").cast("binary")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in found.collect()}
 
 
@@ -111,17 +109,16 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             index = held.value
             for b in batches:
                 out = []
-                for text, old in zip(b.column(b.num_columns - 1).to_pylist(), b.column(b.num_columns - 2).to_pylist()):
+                for text, old in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                     words = alnum_words(text)
                     hit, items = find_windows(words, index)
                     if old:
                         items.update(old["item_ids"])
                         hit = bytearray((np.frombuffer(hit, "u1") | np.frombuffer(old["hits"], "u1")).tobytes())
                     out.append({"n_words": len(words), "n_hit": hit.count(1), "item_ids": sorted(items), "hits": bytes(hit)})
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, arrow)], b.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, arrow)], b.schema.names)
 
-        schema = T.StructType([f for f in state.schema.fields])
-        state = state.withColumn("__bytes", F.col("text").cast("binary")).mapInArrow(run, schema)
+        state = map_batches(small_batches(state), run, T.StructType(state.schema.fields))
         if k < slices - 1:
             state = materialize(state, "marked")
     return state

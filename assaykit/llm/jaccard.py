@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank_words, materialize, small_batches, text_frame
+from .common import blank_words, map_batches, materialize, small_batches, text_frame
 from .components import connected_components
 
 #: Counters of the frequency table (2 bytes each: 8 MB for any corpus), and the rows in which it is added up.
@@ -82,8 +82,8 @@ def frequency_table(docs: DataFrame, size: int) -> np.ndarray:
             [pa.array([k], pa.int32()), pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], ["slice", "counts"]
         )
 
-    parts = small_batches(docs).select(F.col("text").cast("binary")).mapInArrow(count, "slice int, counts binary")
-    summed = parts.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary")
+    parts = map_batches(small_batches(docs).select(F.col("text").cast("binary")), count, "slice int, counts binary")
+    summed = map_batches(parts.repartition(_SLICES, "slice").sortWithinPartitions("slice"), add, "slice int, counts binary")
     table = np.zeros(1 << _TABLE_BITS, "<u2")
     for r in summed.collect():  # 8 MB
         width = len(table) // _SLICES
@@ -126,7 +126,7 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
             cols = [b.column(0), pa.array(n, pa.int64()), *longs, pa.array(first, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "p1", "p2", "prefix", "sketch"])
 
-    return text_frame(docs).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, p1 long, p2 long, prefix array<long>, sketch array<long>")
+    return map_batches(text_frame(docs), run, f"doc_id {kind}, n long, d1 long, d2 long, p1 long, p2 long, prefix array<long>, sketch array<long>")
 
 
 def _need(na: Column, nb: Column, percent: int) -> Column:
@@ -173,10 +173,10 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, broadcast
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = materialize(texts.join(asked, "doc_id", "left_semi").mapInArrow(make, "x long, set binary"), "sets")
+    sets = materialize(map_batches(texts.join(asked, "doc_id", "left_semi"), make, "x long, set binary"), "sets")
     left, right = sets.select(F.col("x").alias("u"), F.col("set").alias("a")), sets.select(F.col("x").alias("v"), F.col("set").alias("b"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return materialize(both.mapInArrow(compare, "u long, v long"), "links")
+    return materialize(map_batches(both, compare, "u long, v long"), "links")
 
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import alnum_words, text_frame
+from .common import alnum_words, map_batches, text_frame
 
 #: Phrases whose consecutive words carry a base label.
 BASE_PHRASES = {
@@ -228,9 +228,9 @@ def scan_licenses(docs: DataFrame, templates=None, phrases=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *names])
 
     frame = text_frame(docs)
-    return frame.mapInArrow(
-        run,
+    return map_batches(
+        frame, run,
         f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, "
         "last_word long, base_labels string, labels string, score double, "
         "matches array<struct<label:string,start:long,end:long>>",
-    )
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blank_words, materialize, small_batches
+from .common import blank_words, map_batches, materialize, small_batches
 
 #: The operator's struct column.
 RESULT = "line_dedup"
@@ -96,11 +96,8 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
             names = ["fp", "k", "h", "pos", "first", "hashes", "sizes"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    found = (
-        _identity(docs)
-        .select("__k", "__h", F.col("text").cast("binary"))
-        .mapInArrow(minima, "fp long, k long, h long, pos int, first int, hashes array<long>, sizes array<int>")
-    )
+    texts = _identity(docs).select("__k", "__h", F.col("text").cast("binary"))
+    found = map_batches(texts, minima, "fp long, k long, h long, pos int, first int, hashes array<long>, sizes array<int>")
     found = materialize(found, "minima")
     # repeated: the hash stands in more than one place
     places = found.groupBy("fp").agg(F.min(F.struct("k", "h", "pos")).alias("a"), F.max(F.struct("k", "h", "pos")).alias("b"))
@@ -120,7 +117,7 @@ def repeated_runs(docs: DataFrame, least: int = 50) -> DataFrame:
                 [pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], ["fp", "win", "k", "h", "start", "end"]
             )
 
-    wins = materialize(shared.mapInArrow(extend, "fp long, win long, k long, h long, start int, end int"), "stretches")
+    wins = materialize(map_batches(shared, extend, "fp long, win long, k long, h long, start int, end int"), "stretches")
     here = F.struct("k", "h", "start")
     firsts = wins.groupBy("fp", "win").agg(F.min(here).alias("src"), F.max(here).alias("last"))
     firsts = materialize(firsts.where(F.col("src") != F.col("last")).select("fp", "win", "src"), "firsts")
@@ -161,14 +158,14 @@ def dedup_lines(docs: DataFrame, least: int = 50) -> DataFrame:
     def rewrite(batches):
         for b in batches:
             out = []
-            for text, cut in zip(b.column("__text").to_pylist(), b.column("__spans").to_pylist()):
+            for text, cut in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist()):
                 new, lines, gone = (None, 0, 0) if text is None else delete_spans(text, [(c["start"], c["end"]) for c in cut or []])
                 out.append({"text": new, "n_lines": lines, "n_deleted": gone})
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, arrow)], [*b.schema.names[:-2], RESULT])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, arrow)], [*b.schema.names[:-1], RESULT])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(RESULT, T._parse_datatype_string("text string, n_lines long, n_deleted long"))])
     joined = _identity(docs).join(spans.withColumnRenamed("spans", "__spans"), ["__k", "__h"], "left")
-    return joined.select(*docs.columns, F.col("text").alias("__text"), "__spans").mapInArrow(rewrite, schema)
+    return map_batches(joined.select(*docs.columns, "__spans"), rewrite, schema)
 
 
 def replace_text(deduped: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, materialize, text_frame, text_partitions
+from .common import blank_words, map_batches, materialize, text_frame, text_partitions
 
 _SLICE = 1 << 14
 _ROW = "part int, kind int, slice int, data binary"
@@ -99,7 +99,7 @@ def frequent_words(docs: DataFrame, most: int) -> tuple[list[bytes], int]:
         told = [(w, k) for w, k in count.items() if k * 5 * most >= n]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in told] + [None], pa.binary()), pa.array([k for _, k in told] + [n], pa.int64())], ["w", "n"])
 
-    found = text_frame(docs).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    found = map_batches(text_frame(docs), run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     found = found.orderBy(F.col("w").isNull().desc(), F.col("n").desc(), "w").limit(most + 1).collect()
     return [bytes(r.w) for r in found if r.w is not None], sum(r.n for r in found if r.w is None)
 
@@ -240,8 +240,8 @@ def _count(docs: DataFrame, hot: list[bytes], buckets: int, s: Settings) -> Data
         seen, total = (np.bincount(own, weights=x, minlength=s.hot + 1).astype("i8") for x in (counts > 0, counts))
         return [(bucket, _AFTER, 0, data), (bucket, _AFTER_STATS, 0, _pack(stats, seen, total))]
 
-    rows = text_frame(docs).mapInArrow(split, _ROW)
-    return materialize(rows.repartitionById(buckets, F.col("part")).mapInArrow(merge, _ROW), "counts")
+    rows = map_batches(text_frame(docs), split, _ROW)
+    return materialize(map_batches(rows.repartitionById(buckets, F.col("part")), merge, _ROW), "counts")
 
 
 def _doc_number(doc_id) -> int:
@@ -429,8 +429,8 @@ def _sweep(counted: DataFrame, buckets: int, start: Totals, hot_p: np.ndarray, s
             yield _batch([(bucket, _OWN, 0, _pack(tables[at], counts[at])), (bucket, _AFTER_STATS, 0, _pack(np.bincount(w, weights=found, minlength=s.hot + 1)))])
         yield _batch([(to, _TOLD, bucket, _pack(tables[at].astype("<u8"), counts[at].astype("<u8"))) for at, (to, *_) in zip(places, told)])
 
-    rows = counted.where(F.col("kind") == _RARE).mapInArrow(shares, _ROW).union(counted.where(F.col("kind") == _AFTER))
-    return materialize(rows.repartitionById(buckets, F.col("part")).mapInArrow(totals, _ROW), "totals")
+    rows = map_batches(counted.where(F.col("kind") == _RARE), shares, _ROW).union(counted.where(F.col("kind") == _AFTER))
+    return materialize(map_batches(rows.repartitionById(buckets, F.col("part")), totals, _ROW), "totals")
 
 
 def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -587,8 +587,8 @@ def _scores(docs, rare, buckets: int, hot, hot_scores, hot_p, by_word, totals: T
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    texts = text_frame(docs).mapInArrow(from_texts, _ROW)
-    dealt = texts.union(rare.mapInArrow(from_rare, _ROW)).repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(
-        total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    texts = map_batches(text_frame(docs), from_texts, _ROW)
+    dealt = texts.union(map_batches(rare, from_rare, _ROW)).repartitionById(parts, F.col("part"))
+    return map_batches(
+        dealt, total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_frame
-from .tokens import encode_batches, release
+from .common import map_batches, materialize, text_frame
+from .tokens import encode_batches, encoding
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -31,10 +31,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.int64()])]
             who = b.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([who, *cols], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        release(tokenizer)
 
-    return frame.mapInArrow(
-        run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    return map_batches(
+        frame, encoding(tokenizer, run), f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     )
 
 
@@ -168,7 +167,7 @@ def pack(
         .repartition(spread, "block", "island")
     )
     for k in range(epochs):
-        state = materialize(state.mapInArrow(epoch(k), kinds), "islands")
+        state = materialize(map_batches(state, epoch(k), kinds), "islands")
         if k < epochs - 1:
             moved = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("elite").alias("migrant"))
             state = state.drop("elite", "bins", "fit").join(moved, ["block", "island"]).repartition(spread, "block", "island")

@@ -20,7 +20,7 @@ _SPLITS = {
     "bytes": f" ?[{_L}]+|{_CONTRACTIONS}| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+",
     "words": f" ?[{_L}]+| ?(?:{_CONTRACTIONS})| ?[{_N}]| ?[^\\s{_L}{_N}]+|\\s+",
 }
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 200_000
 _JOINED, _AT_ONCE = 128, 128
 _loaded: dict[str, Encoder] = {}
 
@@ -147,7 +147,7 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def encode_batches(path: str, texts: list[bytes | None], end: bytes, most: int = 6_000_000):
+def encode_batches(path: str, texts: list[bytes | None], end: bytes, most: int = 3_000_000):
     """Ids with the end id for each text in turn, about ``most`` bytes of text at a time; null is empty."""
     enc, held, size = encoder(path), [], 0
     for k, text in enumerate(texts):
@@ -159,7 +159,14 @@ def encode_batches(path: str, texts: list[bytes | None], end: bytes, most: int =
             held, size = [], 0
 
 
-def release(path: str) -> None:
-    """Forget the pieces of a finished partition, so that idle workers hold little memory."""
-    if path in _loaded:
-        _loaded[path].new, _loaded[path].old = {}, {}
+def encoding(path: str, run):
+    """``run`` as a function of Arrow batches that forgets the known pieces when its partition is done or given up."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if path in _loaded:
+                _loaded[path].new, _loaded[path].old = {}, {}
+
+    return held

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_range, id_splits, text_frame, text_partitions
-from .tokens import encode_batches, release
+from .common import id_range, id_splits, map_batches, text_frame, text_partitions
+from .tokens import encode_batches, encoding
 
 _CHUNK = pa.struct([("first", pa.int64()), ("n", pa.int32()), ("bytes", pa.int64()), ("crc32", pa.int64())])
 _FIELDS = [
@@ -95,16 +95,14 @@ def write_token_store(
                     n = 0
         if held:
             yield flush()
-        release(tokenizer)
 
-    (
+    ordered = (
         text_frame(docs)
         .withColumn("shard", id_range(splits).cast("int"))
         .repartitionById(parts, F.col("shard"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(run, _SCHEMA)
-        .write.parquet(path)
     )
+    map_batches(ordered, encoding(tokenizer, run), _SCHEMA).write.parquet(path)
 
 
 def read_chunk_index(spark: SparkSession, path: str) -> DataFrame:
@@ -156,4 +154,4 @@ def read_token_store(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return store.mapInArrow(run, schema)
+    return map_batches(store, run, schema)
