@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_range, id_splits, small_batches, text_frame, text_partitions
+from .common import id_range, id_splits, longs, map_batches, small_batches, text_frame, text_partitions
 
 #: Chunk sizes in bytes: none below the least but the last, the usual one, none above the most.
 LEAST, NORMAL, MOST = 12, 32, 128
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], ["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return text_frame(docs).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return map_batches(text_frame(docs), run, f"doc_id {kind}, fingerprint string")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -100,13 +100,14 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     heads = {r.b: r.k for r in docs.groupBy(id_range(splits).alias("b")).agg(F.max(key).alias("k")).collect()}  # one row a range
     order = sorted(heads, reverse=True)
     # the head of each range also goes to the range before it, the first head to the last range
-    also = {heads[b]: order[i - 1] for i, b in enumerate(order)}
-    place = F.struct(id_range(splits).cast("int").alias("part"), F.lit(0).alias("extra"))
-    targets = F.array(place)
-    if also:
-        known = F.create_map(*[F.lit(x) for kv in also.items() for x in kv])
-        to = F.element_at(known, key)
-        targets = F.when(to.isNotNull(), F.array(place, F.struct(to.alias("part"), F.lit(1).alias("extra")))).otherwise(targets)
+    size = max(order, default=0) + 1
+    head, to = [0] * size, [-1] * size
+    for i, b in enumerate(order):
+        head[b], to[b] = heads[b], order[i - 1]
+    part = id_range(splits).cast("int")
+    place = F.struct(part.alias("part"), F.lit(0).alias("extra"))
+    also = F.struct(F.get(longs(to), part).cast("int").alias("part"), F.lit(1).alias("extra"))
+    targets = F.when(key == F.get(longs(head), part), F.array(place, also)).otherwise(F.array(place))
     rows = small_batches(docs).select("doc_id", key.alias("key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.explode(targets).alias("to"))
     ordered = (
         rows.select("doc_id", "key", "text", "to.part", "to.extra")
@@ -142,8 +143,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ordered.mapInArrow(
-        run,
+    return map_batches(
+        ordered, run,
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",
     )
