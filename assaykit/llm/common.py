@@ -48,10 +48,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as a table in the shared folder and read it again."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as a table in the shared folder and read it again. With ``by``, rows of one value of that column
+    lie apart, so that reading some of them leaves the others unread."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,9 @@
 Every context has a restaurant, whose dishes are the words seen after it; all contexts share one parent, the restaurant
 of words without context, and that one falls back on the uniform distribution over the training words and one unknown
 word. Every training word is a context, and so is the start of a text; a word that no training text has leaves the parent.
-Seatings are sampled by Gibbs, a dish of a restaurant at a time; predictive probabilities are averaged over samples.
+Seatings are sampled by Gibbs, a dish of a restaurant at a time; predictive probabilities are averaged over samples. Each
+sample is scored with its own totals: the sweeps are run once to add up what they seat, and again, with the same seeds and so
+the same seats, to score. So the probabilities of a sample add up to one in every context.
 
 How the work is spread: frequent words after frequent words are counted in a table of fixed size. Rare words (all others)
 are dealt by their hash into buckets, so all counts of a word are in one place; frequent words after rare ones are dealt
@@ -27,6 +29,8 @@ from .common import blank_words, map_batches, materialize, text_frame, text_part
 _SLICE = 1 << 14
 _ROW = "part int, kind int, slice int, data binary"
 _RARE, _TABLE, _STATS, _AFTER, _AFTER_STATS, _SHARE, _TOLD, _OWN = range(8)
+#: Seeds of the frequent words' table, and of a bucket's words after rare contexts.
+_TABLE_SEED, _AFTER_SEED = 1, 250_007
 
 
 @dataclass(frozen=True)
@@ -241,7 +245,7 @@ def _count(docs: DataFrame, hot: list[bytes], buckets: int, s: Settings) -> Data
         return [(bucket, _AFTER, 0, data), (bucket, _AFTER_STATS, 0, _pack(stats, seen, total))]
 
     rows = map_batches(text_frame(docs), split, _ROW)
-    return materialize(map_batches(rows.repartitionById(buckets, F.col("part")), merge, _ROW), "counts")
+    return materialize(map_batches(rows.repartitionById(buckets, F.col("part")), merge, _ROW), "counts", "kind").select("part", "kind", "slice", "data")
 
 
 def _doc_number(doc_id) -> int:
@@ -253,25 +257,27 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["part", "kind", "slice", "data"])
 
 
-def seat(counts: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def seat(counts: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator, own: np.ndarray | float = 0.0) -> np.ndarray:
     """Tables of each dish after all its customers have taken their seats again, one after the other.
 
-    ``new`` is the weight of a new table (mass of the parent for this dish). Customer i joins a table with weight
-    i - 1 - discount * tables. The first 32 customers are drawn one by one; after that the waiting time to the next new
-    table is drawn from its (power-law) distribution.
+    ``new`` is the weight of a new table as far as other dishes make it (mass of the parent for this dish), ``own`` what each
+    table of the dish itself adds to it. Customer i joins a table with weight i - 1 - discount * tables. The first 32 customers
+    are drawn one by one; after that the waiting time to the next new table is drawn from its (power-law) distribution.
     """
     tables = (counts > 0).astype("f8")
+    own = np.broadcast_to(own, counts.shape)
     live = np.flatnonzero(counts > 1)
     for i in range(1, 32):
         if not len(live):
             return tables
-        a = new[live]
-        tables[live] += rng.random(len(live)) * (a + i - discount * tables[live]) < a
+        t = tables[live]
+        a = new[live] + own[live] * t
+        tables[live] += rng.random(len(live)) * (a + i - discount * t) < a
         live = live[counts[live] > i + 1]
     seated = np.full(len(live), 32.0)
     while len(live):
         off = discount * tables[live]
-        a = np.maximum(new[live], 1e-12)
+        a = np.maximum(new[live] + own[live] * tables[live], 1e-12)
         with np.errstate(over="ignore"):
             seated = np.floor((seated - off) * rng.random(len(live)) ** (-1 / a) + off) + 1
         more = seated <= counts[live]
@@ -298,61 +304,81 @@ class Totals:
         return (customers - self.root_discount * tables + fall_back) / (s.root_strength + self.root_customers)
 
 
-def sample(word: np.ndarray, ctx: np.ndarray, counts: np.ndarray, t: Totals, s: Settings, seed: int, more: np.ndarray | None = None):
-    """Gibbs sweeps over all dishes here: yields (tables of each pair, root customers, root tables of each word).
+def _grown(ctx: np.ndarray, counts: np.ndarray, t: Totals):
+    """A function of the tables of the pairs here: mass that each pair's context sends to its parent, but for the pair's own
+    tables. A context's tables elsewhere are taken to grow as they do here."""
+    m = len(t.context_tables)
+    types = np.bincount(ctx, weights=counts > 0, minlength=m)
 
-    ``more``: root customers of each word that come from pairs elsewhere.
+    def back(tables: np.ndarray, s: Settings) -> np.ndarray:
+        growth = np.divide(np.bincount(ctx, weights=tables, minlength=m), types, out=np.ones(m), where=types > 0)
+        return s.strength + t.discount * np.maximum(0.0, (t.context_tables * growth)[ctx] - tables)
+
+    return back
+
+
+def sample(word: np.ndarray, ctx: np.ndarray, counts: np.ndarray, t: Totals, s: Settings, seed: int, more: list[np.ndarray] | None = None, met: float = 0.0, still: float = 0.0):
+    """Gibbs sweeps over all dishes here: yields (tables of each pair, root customers, root tables of each word) of each sample
+    after the burn-in. The same arguments give the same seats again. A dish is seated given the tables of all others: its own
+    count neither in its context nor in the parent.
+
+    ``t``: totals before the first sweep, when each dish has one table; what is elsewhere is taken to grow as it does here, but
+    for ``still`` root customers more. ``more``: for each sample, root customers of each word that come from pairs elsewhere, of
+    which there are ``met``.
     """
     rng = np.random.default_rng(seed)
-    n = len(more) if more is not None else int(word.max()) + 1 if len(word) else 0
-    more = np.zeros(n) if more is None else more
+    n = len(more[0]) if more else int(word.max()) + 1 if len(word) else 0
+    other = lambda k: more[max(0, k - s.burn_in)] if more else np.zeros(n)
     tables = (counts > 0).astype("f8")
-    customers = np.bincount(word, weights=tables, minlength=n) + more
+    back = _grown(ctx, counts, t)
+    first = max(1.0, tables.sum() + met)
+    customers = np.bincount(word, weights=tables, minlength=n) + other(0)
     root_tables = (customers > 0).astype("f8")
-    back = s.strength + t.discount * t.context_tables[ctx]
-    fall_back = np.full(n, (s.root_strength + t.root_discount * t.root_tables) / (t.vocabulary + 1))
-    while True:
-        p = t.root(customers, root_tables, s)
-        tables = seat(counts, back * p[word], t.discount, rng)
-        customers = np.bincount(word, weights=tables, minlength=n) + more
-        root_tables = seat(customers, fall_back, t.root_discount, rng)
-        yield tables, customers, root_tables
+    dishes, unseen = max(1.0, root_tables.sum()), t.vocabulary + 1
+    for k in range(s.burn_in + s.samples):
+        all_customers, all_tables = still + t.root_customers * customers.sum() / first, t.root_tables * root_tables.sum() / dishes
+        fall_back = (s.root_strength + t.root_discount * all_tables) / unseen
+        rest = customers[word] - tables
+        kept = root_tables[word] * rest / np.maximum(customers[word], 1.0)
+        p = (rest - t.root_discount * kept + fall_back) / (s.root_strength + np.maximum(rest, all_customers - tables))
+        tables = seat(counts, back(tables, s) * p, t.discount, rng, t.discount * p)
+        customers = np.bincount(word, weights=tables, minlength=n) + other(k)
+        root_tables = seat(customers, np.full(n, fall_back), t.root_discount, rng)
+        if k >= s.burn_in:
+            yield tables, customers, root_tables
 
 
 def sample_below(p: np.ndarray, ctx: np.ndarray, counts: np.ndarray, t: Totals, s: Settings, seed: int):
-    """Gibbs sweeps where the parent's probability ``p`` of each pair's word is known: yields the tables of each pair."""
+    """The same where the parent's probability ``p`` of each pair's word is known: yields the tables of each pair."""
     rng = np.random.default_rng(seed)
-    back = s.strength + t.discount * t.context_tables[ctx]
-    while True:
-        yield seat(counts, back * p, t.discount, rng)
-
-
-def _mean(found, ctx, counts, t: Totals, s: Settings) -> np.ndarray:
-    """log10 of the mean, over samples after the burn-in, of what (tables, parent's probability) of each pair predict."""
-    total = np.zeros(len(counts))
-    back = s.strength + t.discount * t.context_tables[ctx]
-    for k, (tables, p) in zip(range(s.burn_in + s.samples), found):
+    tables, back = (counts > 0).astype("f8"), _grown(ctx, counts, t)
+    for k in range(s.burn_in + s.samples):
+        tables = seat(counts, back(tables, s) * p, t.discount, rng, t.discount * p)
         if k >= s.burn_in:
-            total += (counts - t.discount * tables + back * p) / (s.strength + t.context_counts[ctx])
-    return np.log10(total / max(1, s.samples))
+            yield tables
 
 
-def predict(word, ctx, counts, t: Totals, s: Settings, seed: int, more: np.ndarray | None = None) -> np.ndarray:
-    """log10 of the probability of each (word, context) pair, averaged over samples after the burn-in."""
-    found = ((tables, t.root(customers, root, s)[word]) for tables, customers, root in sample(word, ctx, counts, t, s, seed, more))
-    return _mean(found, ctx, counts, t, s)
+def predict(found, word: np.ndarray, ctx: np.ndarray, counts: np.ndarray, totals: list[Totals], s: Settings) -> np.ndarray:
+    """log10 of the probability of each (word, context) pair, averaged over samples. ``found``: what ``sample`` yields; ``totals``:
+    those of each sample."""
+    total = np.zeros(len(counts))
+    for (tables, customers, root_tables), t in zip(found, totals, strict=True):
+        total += _predicted(tables, t.root(customers, root_tables, s)[word], ctx, counts, t, s)
+    return np.log10(total / len(totals))
 
 
-def predict_below(p, ctx, counts, t: Totals, s: Settings, seed: int) -> np.ndarray:
-    """The same where the parent's probability ``p`` of each pair's word is known."""
-    return _mean(((tables, p) for tables in sample_below(p, ctx, counts, t, s, seed)), ctx, counts, t, s)
+def _predicted(tables, p, ctx, counts, t: Totals, s: Settings) -> np.ndarray:
+    """Probability of each pair in one sample: what its tables say, and the parent's probability for the rest."""
+    back = s.strength + t.discount * t.context_tables[ctx]
+    return (counts - t.discount * tables + back * p) / (s.strength + t.context_counts[ctx])
 
 
-def _tables_of(word, ctx, counts, t: Totals, s: Settings, seed: int, more: np.ndarray | None = None):
-    """After the burn-in: tables by context, root customers and root tables of each word."""
-    for _, (tables, customers, root_tables) in zip(range(s.burn_in), sample(word, ctx, counts, t, s, seed, more)):
-        pass
-    return np.bincount(ctx, weights=tables, minlength=len(t.context_tables)), customers, root_tables
+def predict_below(found, p: list[np.ndarray], ctx: np.ndarray, counts: np.ndarray, totals: list[Totals], s: Settings) -> np.ndarray:
+    """The same where the parent's probabilities of each pair's word are known for each sample."""
+    total = np.zeros(len(counts))
+    for tables, q, t in zip(found, p, totals, strict=True):
+        total += _predicted(tables, q, ctx, counts, t, s)
+    return np.log10(total / len(totals))
 
 
 def _with_rare(t: Totals, counts: np.ndarray, tables: np.ndarray) -> Totals:
@@ -377,26 +403,58 @@ def _by_bucket(rare: np.ndarray, buckets: int):
     return zip(part[order[at]].tolist(), np.split(order, at[1:]) if len(order) else [])
 
 
-def _sweep(counted: DataFrame, buckets: int, start: Totals, hot_p: np.ndarray, s: Settings) -> DataFrame:
-    """The first sweeps of all buckets, and rare contexts' totals after them, told to each bucket that meets them."""
-    held = counted.sparkSession.sparkContext.broadcast((start, hot_p))
+def _settled(word, ctx, counts, after_seen, after_count, t: Totals, rare_types: float, s: Settings) -> tuple[np.ndarray, float]:
+    """Root probabilities of frequent words, and their root customers, once the sweeps have come to rest.
+
+    Rare contexts aren't known here, only how many of them a word follows and how often: it is taken to follow each as often.
+    """
+    rng, n, tries = np.random.default_rng(s.seed), len(after_seen), 32
+    mean = np.maximum(1, np.round(after_count / np.maximum(after_seen, 1))).astype("i8")
+    tables, far, back = (counts > 0).astype("f8"), np.ones(n), _grown(ctx, counts, t)
+    root_tables = (np.bincount(word, weights=tables, minlength=n) + after_seen > 0).astype("f8")
+    for _ in range(s.burn_in + s.samples):
+        customers = np.bincount(word, weights=tables, minlength=n) + after_seen * far
+        p = replace(t, root_customers=customers.sum() + rare_types).root(customers, root_tables, s)
+        tables = seat(counts, back(tables, s) * p[word], t.discount, rng, t.discount * p[word])
+        q = np.tile(p, tries)
+        far = seat(np.tile(mean, tries), s.strength * q, t.discount, rng, t.discount * q).reshape(tries, n).mean(0)
+        fall_back = np.full(n, (s.root_strength + t.root_discount * t.root_tables) / (t.vocabulary + 1))
+        root_tables = seat(np.round(customers).astype("i8"), fall_back, t.root_discount, rng)
+    return p, float(customers.sum())
+
+
+def _bucket_seed(s: Settings, bucket: int) -> int:
+    return s.seed * 1_000_003 + bucket
+
+
+def _own_start(c: np.ndarray, n: np.ndarray, contexts: int, rare: int) -> list[np.ndarray]:
+    """Customers and distinct words of a bucket's rare contexts, as far as the bucket sees them."""
+    return [np.bincount(c, weights=x, minlength=contexts + rare)[contexts:] for x in (n, n > 0)]
+
+
+def _sweep(counted: DataFrame, buckets: int, start: Totals, hot_p: np.ndarray, still: float, s: Settings) -> DataFrame:
+    """The sweeps of all buckets, and rare contexts' totals of each sample, told to each bucket that meets them."""
+    held = counted.sparkSession.sparkContext.broadcast((start, hot_p, still))
 
     def shares(batches):
-        t = held.value[0]
+        t, _, still = held.value
         for b in batches:
             for r in b.to_pylist():
                 w, c, n, _, _, rare = _bucket(r["data"])[2:]
                 # a rare context starts with the tables that this bucket sees itself
-                here = [np.bincount(c, weights=x, minlength=s.contexts + len(rare))[s.contexts :] for x in (n, n > 0)]
-                by_context, customers, tables = _tables_of(w.astype("i8"), c, n, _with_rare(t, *here), s, s.seed * 1_000_003 + r["part"])
-                rows = [(r["part"], _STATS, 0, _pack(by_context[: s.contexts], np.array([customers.sum(), tables.sum()])))]
-                own = by_context[s.contexts :]
+                here = _own_start(c, n, s.contexts, len(rare))
+                by_context, root = [], []
+                for tables, customers, root_tables in sample(w.astype("i8"), c, n, _with_rare(t, *here), s, _bucket_seed(s, r["part"]), still=still):
+                    by_context.append(np.bincount(c, weights=tables, minlength=s.contexts + len(rare)))
+                    root += [customers.sum(), root_tables.sum()]
+                rows = [(r["part"], _STATS, 0, _pack(np.concatenate([x[: s.contexts] for x in by_context]), np.array(root)))]
+                own = [x[s.contexts :].astype("<u4") for x in by_context]
                 for k, i in _by_bucket(rare, buckets):
-                    rows.append((k, _SHARE, r["part"], _pack(_steps(rare[i]), own[i].astype("<u4"), here[0][i].astype("<u8"))))
+                    rows.append((k, _SHARE, r["part"], _pack(_steps(rare[i]), here[0][i].astype("<u8"), here[1][i].astype("<u4"), *[x[i] for x in own])))
                 yield _batch(rows)
 
     def totals(batches):
-        t, p = held.value
+        t, p, _ = held.value
         told, after, bucket = [], None, None
         for b in batches:
             for r in b.to_pylist():
@@ -405,7 +463,7 @@ def _sweep(counted: DataFrame, buckets: int, start: Totals, hot_p: np.ndarray, s
                     continue
                 bucket = r["part"]
                 if r["kind"] == _SHARE:
-                    share, *sums = _unpack(r["data"], "<u8", "<u4", "<u8")
+                    share, *sums = _unpack(r["data"], "<u8", "<u8", "<u4", *["<u4"] * s.samples)
                     told.append((r["slice"], np.cumsum(share, dtype="u8"), *sums))
                 else:
                     after = _bucket(r["data"])
@@ -413,24 +471,45 @@ def _sweep(counted: DataFrame, buckets: int, start: Totals, hot_p: np.ndarray, s
             return
         mine = after[7] if after else np.zeros(0, "<u8")
         all_ = np.unique(np.concatenate([mine, *[x[1] for x in told]]))
-        tables, counts = np.zeros(len(all_)), np.zeros(len(all_))
+        counts, types, tables = np.zeros(len(all_)), np.zeros(len(all_)), np.zeros((s.samples, len(all_)))
         places = [np.searchsorted(all_, x[1]) for x in told]
-        for at, (_, _, k, n) in zip(places, told):
-            tables[at] += k
+        for at, (_, _, n, k, *sums) in zip(places, told):
             counts[at] += n
+            types[at] += k
+            for j, x in enumerate(sums):
+                tables[j, at] += x
         if after:
             at = np.searchsorted(all_, mine)
             c, w, n = after[2:5]
-            counts[at] += np.bincount(c, weights=n, minlength=len(mine))
-            here = replace(t, context_tables=tables[at] + np.bincount(c, weights=n > 0, minlength=len(mine)))
-            for _, found in zip(range(s.burn_in), sample_below(p[w], c, n, here, s, s.seed * 1_000_003 + bucket + 250_007)):
-                pass
-            tables[at] += np.bincount(c, weights=found, minlength=len(mine))
-            yield _batch([(bucket, _OWN, 0, _pack(tables[at], counts[at])), (bucket, _AFTER_STATS, 0, _pack(np.bincount(w, weights=found, minlength=s.hot + 1)))])
-        yield _batch([(to, _TOLD, bucket, _pack(tables[at].astype("<u8"), counts[at].astype("<u8"))) for at, (to, *_) in zip(places, told)])
+            for total, x in ((counts, n), (types, n > 0)):
+                total[at] += np.bincount(c, weights=x, minlength=len(mine))
+            by_word = []
+            found = sample_below(p[w], c, n, replace(t, context_tables=types[at]), s, _bucket_seed(s, bucket) + _AFTER_SEED)
+            for j, x in enumerate(found):
+                tables[j, at] += np.bincount(c, weights=x, minlength=len(mine))
+                by_word.append(np.bincount(w, weights=x, minlength=s.hot + 1))
+            yield _batch([(bucket, _OWN, 0, _pack(counts[at], types[at], *tables[:, at])), (bucket, _AFTER_STATS, 0, _pack(np.concatenate(by_word)))])
+        yield _batch([(to, _TOLD, bucket, _pack(counts[at].astype("<u8"), *tables[:, at].astype("<u8"))) for at, (to, *_) in zip(places, told)])
+
+    rows = map_batches(counted.where(F.col("kind") == _RARE), shares, _ROW).unionByName(counted.where(F.col("kind") == _AFTER))
+    return materialize(map_batches(rows.repartitionById(buckets, F.col("part")), totals, _ROW), "totals", "kind").select("part", "kind", "slice", "data")
+
+
+def _summed(rows: DataFrame, kind: int, *types: str) -> list[np.ndarray]:
+    """Sums of the arrays of all rows of a kind. They are added up where they lie, so the driver gets one row for each file
+    partition that is read; all have one (fixed) size."""
+
+    def add(batches):
+        total = None
+        for b in batches:
+            for data in b.column("data").to_pylist():
+                found = _unpack(data, *types)
+                total = found if total is None else [a + f for a, f in zip(total, found)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(*total)], pa.binary())], ["data"])
 
-    rows = map_batches(counted.where(F.col("kind") == _RARE), shares, _ROW).union(counted.where(F.col("kind") == _AFTER))
-    return materialize(map_batches(rows.repartitionById(buckets, F.col("part")), totals, _ROW), "totals")
+    found = [_unpack(r.data, *types) for r in map_batches(rows.where(F.col("kind") == kind).select("data"), add, "data binary").collect()]
+    return [sum(x) for x in zip(*found)]
 
 
 def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -458,13 +537,10 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
     context_counts, table = table[-1], table[:-1]
     stats, seen = np.zeros(7, "i8"), (table > 0).sum(0)
     after, after_seen, after_count = np.zeros(2, "i8"), np.zeros(s.hot + 1, "i8"), np.zeros(s.hot + 1, "i8")
-    for r in counted.where(F.col("kind").isin(_STATS, _AFTER_STATS)).select("kind", "data").collect():  # a few KB for each bucket
-        if r.kind == _STATS:
-            one, ctx = _unpack(r.data, "<i8", "<i8")
-            stats, seen = stats + one, seen + ctx
-        else:
-            one, types, count = _unpack(r.data, "<i8", "<i8", "<i8")
-            after, after_seen, after_count = after + one, after_seen + types, after_count + count
+    if found := _summed(counted, _STATS, "<i8", "<i8"):
+        stats, seen = found[0], seen + found[1]
+    if found := _summed(counted, _AFTER_STATS, "<i8", "<i8", "<i8"):
+        after, after_seen, after_count = found
     by_word = table.sum(1) + after_count
     vocabulary = int(stats[0] + (by_word > 0).sum())
     n_train = int(by_word.sum() + stats[5])
@@ -479,32 +555,40 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
     counts = table[word, ctx]
     word_c, ctx_c = np.divmod(np.arange(table.size), s.contexts)
 
-    met = (table > 0).sum(1) + after_seen
-    told = _sweep(counted, buckets, start, start.root(met, met > 0, s), s)
-    after_tables, by_context, root = np.zeros(s.hot + 1), np.zeros(s.contexts), np.zeros(2)
-    for r in told.where(F.col("kind").isin(_STATS, _AFTER_STATS)).select("kind", "data").collect():  # a few KB for each bucket
-        if r.kind == _STATS:
-            one, two = _unpack(r.data, "<f8", "<f8")
-            by_context, root = by_context + one, root + two
-        else:
-            after_tables = after_tables + _unpack(r.data, "<f8")[0]
-    own, customers, tables = _tables_of(word, ctx, counts, start, s, s.seed, after_tables)
-    totals = Totals(start.context_counts, by_context + own, root[0] + customers.sum(), root[1] + tables.sum(), vocabulary, start.discount, start.root_discount)
-    hot_scores = predict(word_c, ctx_c, table.ravel(), totals, s, s.seed + 1, after_tables).reshape(table.shape)
-    buckets_rows = counted.where(F.col("kind").isin(_RARE, _AFTER)).union(told.where(F.col("kind").isin(_TOLD, _OWN)))
-    hot_p = totals.root(customers, tables, s)
-    return _scores(docs, buckets_rows.repartitionById(buckets, F.col("part")), buckets, hot, hot_scores, hot_p, by_word, totals, n_train, s)
+    # frequent words' root customers are estimated first; rare words', of which each bucket has a share, grow from one for each pair
+    rare_types = float(stats[6])
+    start_p, still = _settled(word, ctx, counts, after_seen, after_count, start, rare_types, s)
+    of_rare, of_hot = replace(start, root_customers=rare_types), replace(start, root_customers=types - rare_types)
+    told = _sweep(counted, buckets, of_rare, start_p, still, s)
+    by_context, root = np.zeros((s.samples, s.contexts)), np.zeros((s.samples, 2))
+    if found := _summed(told, _STATS, "<f8", "<f8"):
+        by_context, root = found[0].reshape(s.samples, -1), found[1].reshape(s.samples, 2)
+    found = _summed(told, _AFTER_STATS, "<f8")
+    after_tables = list(found[0].reshape(s.samples, -1)) if found else [np.zeros(s.hot + 1)] * s.samples
+    totals, hot_p, seats = [], [], []
+    for k, (own, customers, root_tables) in enumerate(sample(word, ctx, counts, of_hot, s, s.seed + _TABLE_SEED, after_tables, float(after_seen.sum()), rare_types)):
+        totals.append(replace(
+            start, context_tables=by_context[k] + np.bincount(ctx, weights=own, minlength=s.contexts),
+            root_customers=root[k, 0] + customers.sum(), root_tables=root[k, 1] + root_tables.sum(),
+        ))
+        hot_p.append(totals[-1].root(customers, root_tables, s))
+        full = np.zeros(table.shape)
+        full[word, ctx] = own
+        seats.append((full.ravel(), customers, root_tables))
+    hot_scores = predict(seats, word_c, ctx_c, table.ravel(), totals, s).reshape(table.shape)
+    buckets_rows = counted.where(F.col("kind").isin(_RARE, _AFTER)).unionByName(told.where(F.col("kind").isin(_TOLD, _OWN)))
+    return _scores(docs, buckets_rows.repartitionById(buckets, F.col("part")), buckets, hot, hot_scores, (of_rare, start_p, still), hot_p, by_word, totals, n_train, s)
 
 
 _SUM = [("doc", "<i8"), ("text", "<u4"), ("rows", "<i4"), ("tokens", "<i8"), ("known", "<i8"), ("ones", "<f8"), ("score", "<f8")]
 
 
-def _scores(docs, rare, buckets: int, hot, hot_scores, hot_p, by_word, totals: Totals, n_train: int, s: Settings) -> DataFrame:
+def _scores(docs, rare, buckets: int, hot, hot_scores, begun, hot_p, by_word, totals: list[Totals], n_train: int, s: Settings) -> DataFrame:
     """Sums of frequent and rare tokens for each document, dealt by document and added up."""
     parts = text_partitions(docs)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((Reader(hot, s), hot_scores, np.log10(by_word + 1.0), by_word > 0))
-    held = sc.broadcast((totals, hot_p))
+    held = sc.broadcast((*begun, totals, hot_p))
 
     def deal(sums: dict[str, np.ndarray]):
         part = ((sums["doc"].astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
@@ -530,38 +614,40 @@ def _scores(docs, rare, buckets: int, hot, hot_scores, hot_p, by_word, totals: T
                 yield deal({n: np.array([r[i] for r in out], t) for i, (n, t) in enumerate(_SUM)})
 
     def from_rare(batches):
-        t, p = held.value
+        t, p, still, each, hot = held.value
         of, told, own, bucket = {}, {}, None, None
         for b in batches:
             for r in b.to_pylist():
                 bucket = r["part"]
                 if r["kind"] == _TOLD:
-                    told[r["slice"]] = _unpack(r["data"], "<u8", "<u8")
+                    told[r["slice"]] = _unpack(r["data"], *["<u8"] * (1 + s.samples))
                 elif r["kind"] == _OWN:
-                    own = _unpack(r["data"], "<f8", "<f8")
+                    own = _unpack(r["data"], *["<f8"] * (2 + s.samples))
                 else:
                     of[r["kind"]] = r["data"]
         for kind, data in of.items():
             ids, texts, key, other, n, pair, d, rare = _bucket(data)
-            seed = s.seed * 1_000_003 + bucket
-            size = len(ids)
+            seed, size = _bucket_seed(s, bucket), len(ids)
             add = lambda x: np.bincount(d, weights=x[pair], minlength=size)  # noqa: B023, E731
             zero = np.zeros(size, "i8")
             if kind == _RARE:
-                tables, counts = np.zeros(len(rare)), np.zeros(len(rare))
+                counts, tables = np.zeros(len(rare)), np.zeros((s.samples, len(rare)))
                 for k, at in _by_bucket(rare, buckets):
-                    tables[at], counts[at] = told[k]
+                    counts[at], *sums = told[k]
+                    tables[:, at] = sums
                 w = key.astype("i8")
                 by = np.bincount(w, weights=n)[w]
-                score = add(predict(w, other, n, _with_rare(t, counts, tables), s, seed + 500_009))
+                seats = sample(w, other, n, _with_rare(t, *_own_start(other, n, s.contexts, len(rare))), s, seed, still=still)
+                score = add(predict(seats, w, other, n, [_with_rare(x, counts, tables[k]) for k, x in enumerate(each)], s))
                 known, ones = add((by > 0) * 1.0), add(np.log10(by + 1))
             else:
-                here = replace(t, context_tables=own[0], context_counts=own[1])
-                score = add(predict_below(p[other], key, n, here, s, seed + 750_019))
+                counts, types, *tables = own
+                seats = sample_below(p[other], key, n, replace(t, context_tables=types), s, seed + _AFTER_SEED)
+                score = add(predict_below(seats, [x[other] for x in hot], key, n, [replace(x, context_tables=k, context_counts=counts) for x, k in zip(each, tables)], s))
                 known = ones = zero
             yield deal({"doc": ids, "text": texts, "rows": zero, "tokens": zero, "known": known, "ones": ones, "score": score})
 
-    norm = np.log10(n_train + totals.vocabulary + 1.0)
+    norm = np.log10(n_train + begun[0].vocabulary + 1.0)
 
     def total(batches):
         parts_ = [_unpack(x, *[t for _, t in _SUM]) for b in batches for x in b.column(3).to_pylist()]
@@ -588,7 +674,7 @@ def _scores(docs, rare, buckets: int, hot, hot_scores, hot_p, by_word, totals: T
         )
 
     texts = map_batches(text_frame(docs), from_texts, _ROW)
-    dealt = texts.union(map_batches(rare, from_rare, _ROW)).repartitionById(parts, F.col("part"))
+    dealt = texts.unionByName(map_batches(rare, from_rare, _ROW)).repartitionById(parts, F.col("part"))
     return map_batches(
         dealt, total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
