@@ -54,6 +54,23 @@ def best_fit(bins: list[list[int]], room: list[int], items: list[int], lengths:
         insort(free, (left - need, k))
 
 
+def fill_by_swaps(bins: list[list[int]], room: list[int], items: list[int], lengths: list[int]) -> None:
+    """Let bins with room exchange an item for a larger one of ``items`` that fills them better; what comes out takes its place.
+    Bins get fuller and the items that are left smaller, so they fit more gaps."""
+    left = sorted((lengths[i], i) for i in items)
+    for k in sorted(range(len(bins)), key=lambda k: room[k]):
+        for j, i in enumerate(bins[k]):
+            if not room[k]:
+                break
+            at = bisect_left(left, (lengths[i] + room[k] + 1, -1)) - 1
+            if at >= 0 and left[at][0] > lengths[i]:
+                size, other = left.pop(at)
+                bins[k][j] = other
+                room[k] -= size - lengths[i]
+                insort(left, (lengths[i], i))
+    items[:] = [i for _, i in left]
+
+
 def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> float:
     """Mean squared fill: the same items in fewer, fuller bins score higher."""
     return sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
@@ -72,6 +89,7 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capaci
     displaced += [i for x in opened for i in x]
     child = [list(x) for x in [*injected, *kept[len(opened) :]]]
     room = [capacity - sum(lengths[i] for i in x) for x in child]
+    fill_by_swaps(child, room, displaced, lengths)
     displaced.sort(key=lambda i: (-lengths[i], i))
     best_fit(child, room, displaced, lengths, capacity)
     return child
@@ -95,7 +113,9 @@ def _flat(bins: list[list[int]], n: int) -> bytes:
 
 
 def evolve(lengths: list[int], population: bytes | None, migrant: bytes | None, seed: int, capacity: int, size: int, generations: int):
-    """One epoch of one island: (population, best solution, its number of bins, its fitness)."""
+    """One epoch of one island: (population, best solution, its number of bins, its fitness). It ends early once the items can't
+    go into fewer bins."""
+    least = -(-sum(lengths) // capacity)
     rng, n = random.Random(seed), len(lengths)
     if population is None:
         order = sorted(range(n), key=lambda i: (-lengths[i], i))
@@ -112,6 +132,8 @@ def evolve(lengths: list[int], population: bytes | None, migrant: bytes | None,
     scored = [(len(p), -fitness(p, lengths, capacity), p) for p in people + (_read(migrant, n) if migrant else [])]
     scored = sorted(scored, key=lambda x: x[:2])[:size]
     for _ in range(generations if n > 1 else 0):
+        if scored[0][0] <= least:
+            break
         a, b = rng.sample(scored, 2) if len(scored) > 1 else scored * 2
         child = crossover(a[2], b[2], lengths, capacity, rng)
         scored.append((len(child), -fitness(child, lengths, capacity), child))
@@ -121,14 +143,14 @@ def evolve(lengths: list[int], population: bytes | None, migrant: bytes | None,
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, block_items: int = 2048, islands: int = 3,
+    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, block_items: int = 32768, block_sequences: int = 450, islands: int = 3,
     epochs: int = 2, population: int = 4, generations: int = 6,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` ids; one row per piece.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only documents longer than ``capacity`` are
-    cut. Full pieces are sequences of their own. The others are dealt by chance into blocks of about ``block_items``;
-    each block is evolved on ``islands`` islands (tasks of their own), whose elite moves to the next island after each
+    cut. Full pieces are sequences of their own. The others are dealt by chance into blocks of about ``block_sequences``
+    sequences (``block_items`` pieces at most, where they are very short); each block is evolved on ``islands`` islands (tasks of their own), whose elite moves to the next island after each
     epoch; the best island's packing is taken. A block wastes at most about one sequence more than a global packing.
 
     Null text: the end id alone. Repeated rows are packed each; doc_id may be null. Equal lengths are told apart by
@@ -136,7 +158,8 @@ def pack(
     """
     pieces = materialize(cut_pieces(docs, tokenizer, end_id, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     full, part = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
-    blocks = max(1, -(-part.count() // block_items))
+    size = part.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("ids")).first()
+    blocks = max(1, -(-size.ids // (capacity * block_sequences)), -(-size.n // block_items))
     problems = (
         part.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"), "length", "uid")
         .groupBy("block")
@@ -159,7 +182,7 @@ def pack(
 
         return run
 
-    # block_items pieces are bounded work, so a partition for each few islands spreads them over all cores
+    # a block is bounded work, so a partition for each few islands spreads them over all cores
     spread = max(1, min(blocks * islands, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     state = (
         problems.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.length").alias("lengths"))
