@@ -20,7 +20,7 @@ _SPLITS = {
     "bytes": f" ?[{_L}]+|{_CONTRACTIONS}| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+",
     "words": f" ?[{_L}]+| ?(?:{_CONTRACTIONS})| ?[{_N}]| ?[^\\s{_L}{_N}]+|\\s+",
 }
-_CACHE_PIECES = 200_000
+_CACHE_PIECES = 300_000
 _JOINED, _AT_ONCE = 128, 128
 _loaded: dict[str, Encoder] = {}
 
@@ -147,7 +147,7 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def encode_batches(path: str, texts: list[bytes | None], end: bytes, most: int = 3_000_000):
+def encode_batches(path: str, texts: list[bytes | None], end: bytes, most: int = 4_000_000):
     """Ids with the end id for each text in turn, about ``most`` bytes of text at a time; null is empty."""
     enc, held, size = encoder(path), [], 0
     for k, text in enumerate(texts):

@@ -1,6 +1,7 @@
 """Each operator against brute force on a corpus of awkward documents."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import re
@@ -57,6 +58,46 @@ def test_quality_posteriors_are_shrunk_sums(spark):
     assert got[None, None].host_posterior > got["b", "x"].host_posterior  # one document says less than forty
 
 
+def test_quality_score_equals_brute_force(spark):
+    """Scores from logits, posteriors by site and host, and the prior, worked out in plain Python by the method of moments."""
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel((0.0,) * 12, (1.0,) * 12, (3.0, 0.0, 0.0, 0.0, 0.0, 0.0, -4.0, *([0.0] * 18)))
+    rows = []
+    for i in range(400):
+        host, path = ("a", "b", "c", None)[i % 4], ("x", "y", None)[i % 3] if i % 50 else "rare"
+        noise = "#%" * 9 if rng.random() < {"a": 0.7, "b": 0.3, "c": 0.05, None: 0.5}[host] + 0.2 * (path == "x") else ""
+        rows.append((i, " ".join(["word"] + ["Other Words"] * int(rng.integers(0, 4)) + [noise]), host, path))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality.classify(docs, None, model=model).select("doc_id", "quality_evidence.*").collect()}
+    logit = {i: float(model.logits(np.array([quality.features(t.encode())]))[0]) for i, t, _, _ in rows}
+    p = {i: 1 / (1 + math.exp(-x)) for i, x in logit.items()}
+
+    def grouped(key):
+        out = collections.defaultdict(list)
+        for r in rows:
+            out[key(r)].append(p[r[0]])
+        return {k: (len(v), sum(v)) for k, v in out.items()}
+
+    def strength(sites, prior_of):
+        n = sum(k for k, _ in sites.values())
+        noise = sum(k * prior_of(s) * (1 - prior_of(s)) for s, (k, _) in sites.items()) / n
+        between = sum(k * (g / k - prior_of(s)) ** 2 for s, (k, g) in sites.items())
+        spread = (between - (len(sites) - 1) * noise) / (n - sum(k * k for k, _ in sites.values()) / n)
+        return 1e6 if spread <= 0 else min(1e6, max(1.0, noise / spread - 1))
+
+    hosts, paths, prior = grouped(lambda r: r[2]), grouped(lambda r: (r[2], r[3])), sum(p.values()) / len(p)
+    k = strength(hosts, lambda s: prior)
+    host = {h: (g + k * prior) / (n + k) for h, (n, g) in hosts.items()}
+    k = strength(paths, lambda s: host[s[0]])
+    path = {s: (g + k * host[s[0]]) / (n + k) for s, (n, g) in paths.items()}
+    odds = lambda x: math.log(x / (1 - x))
+    for i, _, h, lang in rows:
+        want = 1 / (1 + math.exp(-(logit[i] + odds(path[h, lang]) - odds(prior))))
+        assert math.isclose(got[i].score, want, rel_tol=1e-6) and got[i].keep == (got[i].score >= 0.5), i
+        assert math.isclose(got[i].host_posterior, host[h], rel_tol=1e-6) and math.isclose(got[i].path_posterior, path[h, lang], rel_tol=1e-6)
+    assert len({round(x, 3) for x in path.values()}) > 3
+
+
 def test_quality_keeps_rows_and_columns(docs, none, spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 0), (3, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
     q = quality.classify(docs, labels)
@@ -124,6 +165,28 @@ def test_crossover_keeps_items():
     assert packing.evolve([5], None, None, 1, 100, 4, 3)[2] == 1
 
 
+def test_evolution_saves_bins():
+    """Items of which three fill a bin, where best-fit decreasing leaves gaps; and a block that best-fit packs best already."""
+    import random
+
+    rng, lengths = random.Random(1), []
+    for _ in range(200):
+        a = rng.randint(1100, 1600)
+        b = rng.randint(1100, 4096 - a - 1100)
+        lengths += [a, b, 4096 - a - b]
+    start: list[list[int]] = []
+    packing.best_fit(start, [], sorted(range(600), key=lambda i: (-lengths[i], i)), lengths, 4096)
+    state, elite = [None] * 3, [None] * 3
+    for k in range(2):
+        found = [packing.evolve(lengths, state[i], elite[i], 1009 * i + k, 4096, 4, 6) for i in range(3)]
+        state, elite = [f[0] for f in found], [found[i - 1][1] for i in range(3)]
+    bins = min(f[2] for f in found)
+    assert 200 <= bins <= len(start) - 10
+    packed = packing._read(found[0][1], 600)[0]
+    assert sorted(i for x in packed for i in x) == list(range(600)) and all(sum(lengths[i] for i in x) <= 4096 for x in packed)
+    assert packing.evolve([1000] * 8, None, None, 1, 4000, 4, 6)[2] == 2
+
+
 # line dedup ----------------------------------------------------------------------------------------------------------
 
 
@@ -259,6 +322,39 @@ def test_edits_and_next_documents(docs, plain_rows):
     assert sorted(got) == sorted(want)
 
 
+def test_boundaries_equal_a_rolling_hash():
+    """The hash of the last 16 bytes, one byte after the other, as a gear hash shifts them in by two bits."""
+    rng = np.random.default_rng(5)
+    for size in (1, 5, 11, 12, 31, 40, 200, 5000):
+        data = bytes(rng.integers(97, 103 if size % 2 else 123, size).astype("u1"))
+        ends, start = [], 0
+        for i in range(size):
+            h = 0
+            for b in data[max(0, i - 15) : i + 1]:
+                h = ((h << 2) + int(fingerprints._GEAR[b])) & 0xFFFFFFFF
+            long = i + 1 - start
+            if long > fingerprints.MOST:
+                ends.append(start + fingerprints.MOST)
+                start += fingerprints.MOST
+                long = i + 1 - start
+            if long >= fingerprints.NORMAL and h < int(fingerprints._LOOSE) or long >= fingerprints.LEAST and h < int(fingerprints._STRICT):
+                ends.append(i + 1)
+                start = i + 1
+        while size - start > fingerprints.MOST:
+            start += fingerprints.MOST
+            ends.append(start)
+        assert fingerprints.boundaries(data) == (ends + [size] if start < size else ends), size
+
+
+def test_ranges_of_doc_ids(spark):
+    from assaykit.llm import common
+
+    rows = spark.createDataFrame([(i,) for i in [None, *range(-5, 40)]], "doc_id long")
+    for splits in ([], [3], [0, 7, 8, 20, 33], list(range(0, 38, 2))):
+        got = {r.doc_id: r.b for r in rows.select("doc_id", common.id_range(splits).alias("b")).collect()}
+        assert got == {d: 0 if d is None else sum(d >= s for s in splits) for d in [None, *range(-5, 40)]}
+
+
 def test_chunks_resist_shifts():
     rng = np.random.default_rng(2)
     text = bytes(rng.integers(97, 123, 20_000).astype("u1"))
@@ -314,24 +410,29 @@ def test_rare_words_are_contexts(spark):
     assert all(math.isclose(few[i].base_score, many[i].base_score) and few[i].n_known == many[i].n_known for i in few)
 
 
-def test_predictions_sum_to_one():
-    """Over all words and the unknown one, in every context."""
+@pytest.mark.parametrize("words, contexts", [(20, 2), (300, 60)])
+def test_predictions_sum_to_one(words, contexts):
+    """Over all words and the unknown one (the last), in every context, for the mean of the samples."""
     s = lm.Settings(hot=1)
     rng = np.random.default_rng(1)
-    word, ctx = np.divmod(np.arange(20 * s.contexts), s.contexts)
-    counts = rng.poisson(0.3, len(word)) * rng.integers(1, 9, len(word))
+    word, ctx = np.divmod(np.arange((words + 1) * contexts), contexts)
+    counts = rng.poisson(0.3, len(word)) * rng.integers(1, 9, len(word)) * (word < words)
     by_ctx, seen = np.bincount(ctx, weights=counts), np.bincount(word, weights=counts) > 0
-    t = lm.Totals(by_ctx, np.bincount(ctx, weights=counts > 0), 0.0, 0.0, int(seen.sum()), 0.6, 0.5)
-    tables, customers, root_tables = next(lm.sample(word, ctx, counts, t, s, 3))
-    assert (tables[counts > 0] >= 1).all() and (tables <= counts).all() and (root_tables <= customers).all()
-    t = lm.Totals(by_ctx, np.bincount(ctx, weights=tables), customers.sum(), root_tables.sum(), int(seen.sum()), 0.6, 0.5)
-    root = t.root(customers, root_tables, s)
-    unknown = t.root(np.zeros(1), np.zeros(1), s)[0]
-    assert math.isclose(root[seen].sum() + unknown, 1, rel_tol=1e-9)
-    back = s.strength + t.discount * t.context_tables[ctx]
-    p = (counts - t.discount * tables + back * root[word]) / (s.strength + by_ctx[ctx])
-    miss = (s.strength + t.discount * t.context_tables) * unknown / (s.strength + by_ctx)
-    assert np.allclose(np.bincount(ctx, weights=p * seen[word]) + miss, 1)
+    types = float((counts > 0).sum())
+    start = lm.Totals(by_ctx, np.bincount(ctx, weights=counts > 0), types, float(seen.sum()), int(seen.sum()), 0.6, 0.5)
+    found = list(lm.sample(word, ctx, counts, start, s, 3))
+    again = list(lm.sample(word, ctx, counts, start, s, 3))
+    assert len(found) == s.samples and all((x == y).all() for a, b in zip(found, again) for x, y in zip(a, b))  # the same seats again
+    totals = []
+    for tables, customers, root_tables in found:
+        assert (tables[counts > 0] >= 1).all() and (tables <= counts).all() and (root_tables <= customers).all()
+        totals.append(dataclasses.replace(start, context_tables=np.bincount(ctx, weights=tables), root_customers=customers.sum(), root_tables=root_tables.sum()))
+    p = 10 ** lm.predict(found, word, ctx, counts, totals, s)
+    known = seen.copy()
+    known[words] = True
+    assert np.allclose(np.bincount(ctx, weights=p * known[word]), 1, atol=1e-9)
+    parents = [t.root(c, k, s)[word] for t, (_, c, k) in zip(totals, found)]
+    assert np.allclose(10 ** lm.predict_below([x[0] for x in found], parents, ctx, counts, totals, s), p)
 
 
 def test_seating_grows_like_the_process():
