@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, materialize, small_batches
+from .common import FOLD, map_batches, materialize, small_batches
 
 #: The operator's struct column.
 RESULT = "quality_evidence"
@@ -77,13 +77,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, ridge: float
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
     # the sample has max_rows rows at most, so sending it to all executors is bounded
-    found = (
-        small_batches(docs).join(F.broadcast(sample), "doc_id")
-        .select(F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y"))
-        .mapInArrow(run, "x array<double>, y int")
-        .limit(2 * max_rows)
-        .toPandas()
-    )
+    texts = small_batches(docs).join(F.broadcast(sample), "doc_id").select(F.col("text").cast("binary").alias("text"), F.col("y").cast("int").alias("y"))
+    found = map_batches(texts, run, "x array<double>, y int").limit(2 * max_rows).toPandas()
     width = len(features(None))
     if not len(found):
         return QualityModel((0.0,) * width, (1.0,) * width, (0.0,) * (2 * width + 1))
@@ -103,17 +98,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, ridge: float
     return QualityModel(tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()))
 
 
-def _evidence(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with ``__logit``, the classifier's log odds."""
+def _evidence(docs: DataFrame, model: QualityModel, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns of ``docs`` with ``__logit``, the classifier's log odds."""
+    own = [c for c in carried if c != "text"]
 
     def run(batches):
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column("text").cast(pa.binary()).to_pylist()
             made = model.logits(np.array([features(t) for t in texts])) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.float64())], [*b.schema.names[:-1], "__logit"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], pa.array(made, pa.float64())], [*carried, "__logit"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__logit", T.DoubleType())])
-    return small_batches(docs).withColumn("__bytes", F.col("text").cast("binary")).mapInArrow(run, schema)
+    schema = T.StructType([*[docs.schema[c] for c in carried], T.StructField("__logit", T.DoubleType())])
+    return map_batches(small_batches(docs).select(*own, "text"), run, schema)
 
 
 def _strength(sites: DataFrame, prior: F.Column) -> float:
@@ -157,9 +153,10 @@ def site_posteriors(evidence: DataFrame, host: str, path: str) -> tuple[DataFram
 
 def classify(
     docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5,
-    max_rows: int = 20_000, broadcast_sites: int = 100_000, model: QualityModel | None = None,
+    max_rows: int = 20_000, broadcast_sites: int = 100_000, model: QualityModel | None = None, carried: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with a struct column ``quality_evidence``: logit, host_posterior, path_posterior, score, keep.
+    """``docs`` (or its columns ``carried``) with a struct column ``quality_evidence``: logit, host_posterior, path_posterior,
+    score, keep. Texts are judged once: the rows and their log odds are written, then summed by site and joined with the sums.
 
     score: the classifier's log odds plus the site's log odds against the global rate, as a probability; keep: score of
     ``threshold`` or more. A site without much evidence has its host's rate, a host without much the global one.
@@ -171,12 +168,14 @@ def classify(
     """
     docs = docs.drop(RESULT)
     model = model or fit(docs, labels, max_rows)
-    seen = _evidence(docs.select(F.col(host).alias("__host"), F.col(path).alias("__path"), "text"), model).select("__host", "__path", "__logit")
-    sites, prior = site_posteriors(seen, "__host", "__path")
+    kept = [c for c in docs.columns if carried is None or c in carried]
+    seen = docs.withColumns({"__host": F.col(host), "__path": F.col(path)})
+    scored = materialize(_evidence(seen, model, [*kept, "__host", "__path"]), "evidence")
+    sites, prior = site_posteriors(scored, "__host", "__path")
     sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("host_posterior").alias("__hp"), F.col("path_posterior").alias("__pp"))
     if sites.count() <= broadcast_sites:
         sites = F.broadcast(sites)
-    scored = _evidence(docs, model).join(sites, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p")), "left")
+    scored = scored.join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")), "left")
     odds = F.col("__logit") + F.log(F.col("__pp") / (1 - F.col("__pp"))) - F.lit(math.log(prior / (1 - prior)))
     score = 1 / (1 + F.exp(-odds))
     return scored.withColumn(
@@ -185,7 +184,7 @@ def classify(
             F.col("__logit").alias("logit"), F.col("__hp").alias("host_posterior"), F.col("__pp").alias("path_posterior"),
             score.alias("score"), (score >= threshold).alias("keep"),
         ),
-    ).select(*docs.columns, RESULT)
+    ).select(*kept, RESULT)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -22,7 +22,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    q = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carried=["doc_id", "source", "lang"])
     r = F.col(quality.RESULT)
     return q.select("doc_id", "source", "lang", r.logit.alias("logit"), r.host_posterior.alias("host_posterior"),
                     r.path_posterior.alias("path_posterior"), r.score.alias("score"), r.keep.alias("keep"))
