@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize
 
 
+#: Vertices that a task keeps in memory while it replaces links by stars.
+_MOST_VERTICES = 1_000_000
+
+
 def _forest(batches):
-    """Links of one partition to a spanning star of each of its components: fewer links, the same connection."""
+    """Links of one partition to spanning stars: fewer links, the same connection. After so many vertices the stars so far are
+    sent on and a new forest begins, so memory is bounded."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -18,15 +23,21 @@ def _forest(batches):
             parent[x] = x = parent[p] = parent.setdefault(p, p)
         return x
 
+    def stars():
+        found = [(x, root(x)) for x in list(parent)]
+        found = [(x, r) for x, r in found if x != r]
+        parent.clear()
+        for at in range(0, len(found), 100_000):
+            some = found[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in some], pa.int64()) for k in (0, 1)], ["u", "v"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if (ru := root(u)) != (rv := root(v)):
                 parent[max(ru, rv)] = min(ru, rv)
-    found = [(x, root(x)) for x in list(parent)]
-    found = [(x, r) for x, r in found if x != r]
-    for at in range(0, len(found), 100_000):
-        some = found[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in some], pa.int64()) for k in (0, 1)], ["u", "v"])
+        if len(parent) > _MOST_VERTICES:
+            yield from stars()
+    yield from stars()
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -307,6 +307,20 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_forests_of_few_vertices_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(components, "_MOST_VERTICES", 3)
+    links = [(i, i + 1) for i in range(20)] + [(3, 30), (40, 41)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in links[at : at + 4]], pa.int64()) for k in (0, 1)], ["u", "v"]) for at in range(0, len(links), 4)]
+    kept = [(u, v) for b in components._forest(iter(batches)) for u, v in zip(*(c.to_pylist() for c in b.columns))]
+    root = {x: x for link in links for x in link}
+    for _ in range(60):
+        for u, v in kept:
+            root[u] = root[v] = min(root[u], root[v])
+    assert root == {**dict.fromkeys([*range(21), 30], 0), 40: 40, 41: 40} and len(kept) < len(links) + 8
+
+
 # fingerprints --------------------------------------------------------------------------------------------------------
 
 
