@@ -113,9 +113,10 @@ def learn_patterns(patterns: DataFrame, extractions: DataFrame, capacity: int =
 
 def evict(patterns: DataFrame, capacity: int) -> DataFrame:
     """Above 80 per cent of the capacity, the best 70 per cent stay, by frequency times success."""
-    if patterns.count() <= capacity * 0.8:
-        return patterns
-    return patterns.orderBy((F.col("frequency") * F.col("success")).desc(), "name").limit(int(capacity * 0.7))
+    size = patterns.agg(F.count("*").alias("__n"))  # a row, which goes along with each pattern
+    best = patterns.orderBy((F.col("frequency") * F.col("success")).desc(), "name").limit(int(capacity * 0.7))
+    few, many = patterns.crossJoin(size).where(F.col("__n") <= capacity * 0.8), best.crossJoin(size).where(F.col("__n") > capacity * 0.8)
+    return few.unionByName(many).drop("__n")
 
 
 def top_patterns(patterns: DataFrame, n: int = 10) -> DataFrame:
@@ -130,6 +131,27 @@ def gaps(rows: DataFrame, keys: list[str], at: str, least: float) -> DataFrame:
     return found.withColumn("largest", F.row_number().over(best) == 1)
 
 
+def zone_cuts(words: DataFrame, keys: list[str], at: str, height: str) -> DataFrame:
+    """Where a page's header ends and its footer begins, by gaps in the places of its words: keys, header_end, content_start,
+    content_end, footer_start; null where a page has no such gap.
+
+    Gaps above 20 count, on pages of more than 10 words whose largest gap is above 30: the largest one if it begins in the top
+    three tenths ends the header, the largest one that begins in the bottom three tenths ends the content.
+    """
+    page = Window.partitionBy(*keys)
+    spaced = words.withColumns({"__n": F.count("*").over(page), "__before": F.lag(at).over(page.orderBy(at))})
+    found = spaced.where("__n > 10").withColumn("__gap", F.col(at) - F.col("__before")).where("__gap > 20")
+    order = F.struct(-F.col("__gap"), F.col("__before"))
+    edge = lambda when: F.min_by(F.when(when, F.struct("__gap", F.col("__before").alias("b"), F.col(at).alias("a"))), F.when(when, order))
+    low = F.col("__before") > F.col(height) * 0.7
+    page_cuts = found.groupBy(*keys).agg(edge(F.lit(True)).alias("top"), edge(low).alias("foot"), F.max(height).alias("__h")).where("top.__gap > 30")
+    head = F.col("top.b") < F.col("__h") * 0.3
+    return page_cuts.select(
+        *keys, F.when(head, F.col("top.b") + 5).alias("header_end"), F.when(head, F.col("top.a") - 5).alias("content_start"),
+        (F.col("foot.b") + 5).alias("content_end"), (F.col("foot.a") - 5).alias("footer_start"),
+    )
+
+
 def discovery(chunks: DataFrame, keys: list[str], order: str, found: str) -> DataFrame:
     """The last three counts, the mean of the last two, and the mean so far, for each chunk."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -156,6 +178,12 @@ def dense_chunks(text: Column, limit: int = 4000, confident: float = 0.7) -> Col
     return bind(ordered, lambda rows: F.concat(part(rows, lambda s: s["c"] <= -confident), part(rows, lambda s: s["c"] > -confident)))
 
 
+def zone_chunks(pages: DataFrame, report: str, page: str, text: str = "text", limit: int = 4000) -> DataFrame:
+    """The ``dense_chunks`` of each page: report, page, ord, text, estimated_tokens, confidence. Blank pages have none."""
+    parts = pages.select(report, page, F.posexplode(dense_chunks(F.col(text), limit)).alias("ord", "text"))
+    return parts.withColumns({"estimated_tokens": tokens(F.col("text")), "confidence": confidence(F.col("text"))})
+
+
 def table_text(text: Column) -> Column:
     """The part of a page that looks like a table, else its first 1000 characters."""
     shapes = [r"(\+[-+]+\+[\s\S]*?\+[-+]+\+)", r"(\|[^|]*\|[^|]*\|[\s\S]*?\|[^|]*\|)", r"((?:(?:TEST|RESULT|REFERENCE|UNITS|VALUE)(?:\s*\|\s*|\s{2,})){2,}[\s\S]*?(?:\n\s*\n|$))"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts, values
 from ..operators import documents, longitudinal, matching, metrics, relational, state
-from ..sources.tables import measurements, people, readings, reports, table
+from ..sources.tables import measurements, people, readings, reports, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,7 +351,7 @@ def category_rules(spark, d):
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", texts.plain_ascii(F.col("text")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", texts.plain_ascii(F.col("text")).alias("text"))
 
 
 _ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')"
@@ -443,13 +443,13 @@ def doc_compress_balanced(spark, d):
 
 @query()
 def doc_chunks(spark, d):
-    pages = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    pages = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.lit(1).alias("page"), "text")
     return documents.chunks(pages, "doc_id", "page", limit=300, overlap=40).select("doc_id", "ord", "estimated_tokens", r6("confidence").alias("confidence"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query()
 def doc_skip_fold(spark, d):
-    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 25).alias("report_id"), "doc_id", texts.plain_ascii(F.col("text")).alias("text"))
+    rows = _docs(spark, d).select(F.floor(F.col("doc_id") / 25).alias("report_id"), "doc_id", "text")
     return documents.skip_chunks(rows, "report_id", ["doc_id"]).select("report_id", "doc_id", "screen_confidence", "kept")
 
 
@@ -587,7 +587,12 @@ def content_hash_dups(spark, d):
     return relational.duplicate_groups(docs, ["file_id"], "doc_id")
 
 
-@query()
+@query(f"""
+WITH s AS ({_TREND}), l AS (SELECT person_id, string_agg(line, chr(10) ORDER BY line) AS trends FROM (SELECT person_id, printf('%s: %s (%.1f%%) over %d readings', name, direction, change_pct, n) AS line FROM s) GROUP BY 1),
+ p AS (SELECT user_id AS person_id, CAST(ts AS DATE) AS day, count(*) AS n, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS names FROM events GROUP BY 1, 2),
+ b AS (SELECT person_id, sum(n) AS n, max(day) AS newest, string_agg(printf('%s: %d (%s)', CAST(day AS VARCHAR), n, names), chr(10) ORDER BY day DESC) AS days FROM p GROUP BY 1)
+SELECT b.person_id, printf('Readings: %d, newest on %s', CAST(n AS BIGINT), CAST(newest AS VARCHAR)) || coalesce(chr(10) || chr(10) || 'Trends' || chr(10) || trends, '') || chr(10) || chr(10) || 'By day' || chr(10) || days AS summary
+FROM b LEFT JOIN l ON l.person_id = b.person_id""")
 def person_summary(spark, d):
     return longitudinal.summary_text(readings(spark, d), "person_id")
 
@@ -664,7 +669,7 @@ def layout_confidence(spark, d):
 
 @query()
 def dense_zone_chunks(spark, d):
-    docs = table(spark, d, "documents").where("length(text) > 0")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(state.dense_chunks(F.col("text"), 400)).alias("ord", "text")).select("doc_id", "ord", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -236,6 +236,28 @@ def extract_refused(spark, d):
     return found.select("reading_id", "name", r6("value").alias("value"), "confidence")
 
 
+@query("""
+SELECT event_id AS report_id, user_id AS profile_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'Unknown' END AS name, CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END AS value, '' AS unit, 'Other' AS category,
+ coalesce(CASE WHEN event_id % 4 = 0 THEN true END, false) AS is_abnormal FROM events""")
+def measurements_inserted(spark, d):
+    k = F.col("reading_id")
+    e = readings(spark, d).select(k, "person_id", "ts", F.when(k % 2 == 0, F.col("name")).alias("name"), F.when(k % 3 == 0, F.col("value")).alias("value"), F.when(k % 4 == 0, True).alias("is_abnormal"))
+    made = documents.with_defaults(e, k, F.col("person_id"), F.col("ts"))
+    return made.select("report_id", "profile_id", "name", "value", "unit", "category", "is_abnormal")
+
+
+@query("""
+WITH g AS (SELECT user_id, y, lag(y) OVER (PARTITION BY user_id ORDER BY y) AS b, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT user_id, value * 20 AS y FROM events)),
+ f AS (SELECT *, y - b AS gap FROM g WHERE n > 10 AND y - b > 20),
+ t AS (SELECT user_id, arg_min(b, {'g': -gap, 'b': b}) AS tb, arg_min(y, {'g': -gap, 'b': b}) AS ta, max(gap) AS largest, arg_min(b, {'g': -gap, 'b': b}) FILTER (b > 700) AS fb, arg_min(y, {'g': -gap, 'b': b}) FILTER (b > 700) AS fa FROM f GROUP BY 1)
+SELECT user_id AS person_id, round(CASE WHEN tb < 300 THEN tb + 5 END, 6) AS header_end, round(CASE WHEN tb < 300 THEN ta - 5 END, 6) AS content_start, round(fb + 5, 6) AS content_end, round(fa - 5, 6) AS footer_start
+FROM t WHERE largest > 30""")
+def zone_cuts(spark, d):
+    words = readings(spark, d).select("person_id", (F.col("value") * 20).alias("y"), F.lit(1000.0).alias("height"))
+    c = state.zone_cuts(words, ["person_id"], "y", "height")
+    return c.select("person_id", *[r6(x).alias(x) for x in ("header_end", "content_start", "content_end", "footer_start")])
+
+
 # pages and their texts ---------------------------------------------------------------------------------------------------
 
 _INDICATED = " OR ".join(f"regexp_matches(t, '(?i){p}')" for p in texts.INDICATORS)

@@ -50,6 +50,14 @@ def insert_absent(spark, d):
     return relational.insert_absent(p.where("person_id % 3 != 0"), p.withColumn("name", F.concat(F.lit("new "), "name")), "person_id")
 
 
+@query("""
+SELECT person_id, count(o_orderkey) AS reports FROM (SELECT c_custkey AS person_id FROM customer WHERE c_custkey % 3 <> 0 UNION SELECT -1) LEFT JOIN orders ON o_custkey = person_id GROUP BY 1""")
+def person_added(spark, d):
+    p = people(spark, d).select("person_id").where("person_id % 3 != 0")
+    added = relational.insert_absent(p, spark.createDataFrame([(-1,), (1,)], "person_id long"), "person_id")
+    return relational.child_counts(added, "person_id", reports=reports(spark, d))
+
+
 @query("""
 SELECT o_orderkey AS report_id, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'processed' ELSE 'pending' END AS status FROM orders""")
 def reset_stuck(spark, d):

@@ -54,6 +54,18 @@ def save_state(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A state table, or an empty one where none has been saved yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
+
+
+def save_report(df: DataFrame, path: str) -> None:
+    """A report of metrics as JSON lines, in place of the one before."""
+    df.write.mode("overwrite").json(path)
+
+
 def append_daily(df: DataFrame, path: str, day: str = "day") -> None:
     """Metrics log: rows are appended under their day."""
     df.write.mode("append").partitionBy(day).json(path)

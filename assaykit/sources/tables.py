@@ -10,6 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores where its files give fewer splits than there are: heavy expressions over a small file would
+    keep one core busy. Large tables have many splits and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def people(spark: SparkSession, folder: str) -> DataFrame:
     """customer as persons: person_id, name, segment, tenant_id."""
     return table(spark, folder, "customer").select(

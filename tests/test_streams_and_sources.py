@@ -60,3 +60,34 @@ def test_copy_and_state(spark, small, tmp_path):
     files.append_daily(spark.createDataFrame([("2024-01-01", 2)], "day string, n int"), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     assert "extra" in files.with_column_if_missing(spark.range(1), "extra", "string").columns
+
+
+def test_state_and_report(spark, tmp_path):
+    kind, path = "name string, frequency int", str(tmp_path / "state")
+    assert files.load_state(spark, path, kind).isEmpty()
+    for n in (1, 2):
+        files.save_state(spark.createDataFrame([("hdl", n)], kind), path)
+    assert [tuple(r) for r in files.load_state(spark, path, kind).collect()] == [("hdl", 2)]
+    for n in (1, 2):
+        files.save_report(spark.createDataFrame([("saved", n)], "what string, n int"), str(tmp_path / "report"))
+    assert [r.n for r in spark.read.json(str(tmp_path / "report")).collect()] == [2]
+
+
+def test_relational_database(spark, small, tmp_path):
+    """Read in ranges of a column; the embedded database that comes with Spark stands for a server."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    nation = table(spark, small, "nation").select("n_nationkey", "n_regionkey")
+    nation.coalesce(1).write.jdbc(url, "NATION", properties=driver)
+    read = files.jdbc_table(spark, url, "NATION", "n_nationkey", 0, 25, 4, **driver)
+    assert read.rdd.getNumPartitions() == 4 and sorted(map(tuple, read.collect())) == sorted(map(tuple, nation.collect()))
+
+
+def test_first_in_period_and_healing(spark, tmp_path):
+    rows = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP'2024-01-01'), (1, TIMESTAMP'2024-01-01 00:00:05'), (2, TIMESTAMP'2024-01-01') AS t(id, at)")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = flows.first_in_period(flows.table_stream(spark, str(tmp_path / "in"), rows), ["id"], "at", "1 hour")
+    q = stream.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.id for r in spark.table("firsts").collect()) == [1, 2]
+    status, confidence = flows.healed_status(F.lit("pending"), F.lit(20), F.lit(0.0))
+    assert tuple(spark.range(1).select(status, confidence).first()) == ("processed", 0.95)
