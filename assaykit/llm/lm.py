@@ -262,7 +262,8 @@ def seat(counts: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Ge
 
     ``new`` is the weight of a new table as far as other dishes make it (mass of the parent for this dish), ``own`` what each
     table of the dish itself adds to it. Customer i joins a table with weight i - 1 - discount * tables. The first 32 customers
-    are drawn one by one; after that the waiting time to the next new table is drawn from its (power-law) distribution.
+    are drawn one by one, those after them in groups of an eighth of the seated: how many of a group open tables is drawn at
+    once. So the work grows with the logarithm of a dish's customers.
     """
     tables = (counts > 0).astype("f8")
     own = np.broadcast_to(own, counts.shape)
@@ -274,15 +275,15 @@ def seat(counts: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Ge
         a = new[live] + own[live] * t
         tables[live] += rng.random(len(live)) * (a + i - discount * t) < a
         live = live[counts[live] > i + 1]
-    seated = np.full(len(live), 32.0)
+    seated = 32
     while len(live):
-        off = discount * tables[live]
-        a = np.maximum(new[live] + own[live] * tables[live], 1e-12)
-        with np.errstate(over="ignore"):
-            seated = np.floor((seated - off) * rng.random(len(live)) ** (-1 / a) + off) + 1
-        more = seated <= counts[live]
-        live, seated = live[more], seated[more]
-        tables[live] += 1
+        t, group = tables[live], np.minimum(counts[live] - seated, seated // 8).astype("i8")
+        a = new[live] + own[live] * t
+        joined = seated - discount * t
+        mean = a * np.log1p(group / (a + joined))  # the chance of a new table, added up over the group
+        tables[live] += rng.binomial(group, np.minimum(1.0, mean / group))
+        seated += seated // 8
+        live = live[counts[live] > seated]
     return tables
 
 
