@@ -125,7 +125,8 @@ INDICATORS = [
     r"\b\d+\.?\d*\s*(?:mg/dL|g/dL|mmol/L|mol/L|U/L|IU/L|ng/mL|pg/mL|mIU/L|μIU/mL|μg/dL|mcg/dL|%|mEq/L)", r"\bnormal\s*range", r"\breference\s*range", r"\brange",
     r"\bvalue", r"\bresult", r"\blow\b|\bhigh\b", r"\bpositive\b|\bnegative\b", r"\bchemistry\b", r"\bhematology\b", r"\btest\b|\btests\b",
 ]
-# Beginnings of a reply that talk about the reply.
+# Endings of a reply that are worth keeping, and beginnings that talk about the reply.
+IMPORTANT_ENDINGS = ["note:", "consult", "healthcare provider", "medical advice"]
 META_PHRASES = ["Here is a concise response", "Here is some advice", "This is a response", "I'll provide", "Let me help you"]
 
 # Units behind a number that make a page relevant.
@@ -357,7 +358,7 @@ def _without_meta(t: Column, phrase: str) -> Column:
 def _cut_reply(t: Column, most: int) -> Column:
     bullets = F.when(t.contains("•") & ~t.contains("\n"), F.replace(t, F.lit("•"), F.lit("\n•"))).otherwise(t)
     end = F.lower(F.right(bullets, F.lit(200)))
-    limit = F.when(end.rlike("note:|consult|healthcare provider|medical advice"), F.least(F.length(bullets), F.lit(1000))).otherwise(most)
+    limit = F.when(end.rlike("|".join(IMPORTANT_ENDINGS)), F.least(F.length(bullets), F.lit(1000))).otherwise(most)
     cut = F.substring(bullets, F.lit(1), limit)
     last = F.length(F.regexp_extract(cut, r"^([\s\S]*[.!?])", 1))
     shaped = F.when(last - 1 > limit * 0.7, F.substring(cut, F.lit(1), last)).otherwise(F.concat(F.substring(cut, F.lit(1), limit - 3), F.lit("...")))

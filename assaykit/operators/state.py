@@ -15,6 +15,15 @@ TABLE_CELLS = r"(?:\|[^|]+\|[^|]+\|)|(?:[^\t]\t[^\t]+\t[^\t])"
 UNIT_VALUE = r"\b\d+[\.,]?\d*\s*(?:mg/[dD][lL]|g/[dD][lL]|mmol/L|U/L|IU/L|ng/m[lL]|pg/m[lL]|μg/[dD][lL]|mcg/[dD][lL]|%)"
 _NAMES = ["glucose", "cholesterol", "triglycerides", "hdl", "ldl", "hemoglobin", "hematocrit", "tsh", "creatinine", "albumin", "sodium", "potassium"]
 
+# What a table looks like in a page's text.
+TABLE_SHAPES = [
+    r"(\+[-+]+\+[\s\S]*?\+[-+]+\+)", r"(\|[^|]*\|[^|]*\|[\s\S]*?\|[^|]*\|)", r"((?:(?:TEST|RESULT|REFERENCE|UNITS|VALUE)(?:\s*\|\s*|\s{2,})){2,}[\s\S]*?(?:\n\s*\n|$))",
+]
+# What is rewritten before a page is read: units below their values, white space, ranges, methods behind names.
+PREPARATIONS = [
+    (r"(\d+\.?\d*)\s*\n\s*([a-zA-Z/%]+)", "$1 $2"), (r"\s+", " "), (r"\((\d+\.?\d*)\s*-\s*(\d+\.?\d*)\)", "($1-$2)"),
+    *[(rf"\)\s+([\w\s]+{method})", ") [METHOD: $1]") for method in ("Kinetic", "Substrate", "Photometry")],
+]
 # Fixed values of each mode: table, units (least, boost), headings, reference words, flags (least, boost), names (least, boost), cap.
 BOOSTS = {
     "accuracy": (
@@ -186,19 +195,15 @@ def zone_chunks(pages: DataFrame, report: str, page: str, text: str = "text", li
 
 def table_text(text: Column) -> Column:
     """The part of a page that looks like a table, else its first 1000 characters."""
-    shapes = [r"(\+[-+]+\+[\s\S]*?\+[-+]+\+)", r"(\|[^|]*\|[^|]*\|[\s\S]*?\|[^|]*\|)", r"((?:(?:TEST|RESULT|REFERENCE|UNITS|VALUE)(?:\s*\|\s*|\s{2,})){2,}[\s\S]*?(?:\n\s*\n|$))"]
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in shapes]
+    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in TABLE_SHAPES]
     return F.coalesce(*found, F.substring(text, 1, 1000), F.lit(""))
 
 
 def prepared_text(text: Column) -> Column:
     """A page as the extractor reads it: no NULs, values and units on one line, single blanks, tight ranges, methods marked."""
     t = F.replace(text, F.lit("\0"), F.lit(""))
-    t = F.regexp_replace(t, r"(\d+\.?\d*)\s*\n\s*([a-zA-Z/%]+)", "$1 $2")
-    t = F.regexp_replace(t, r"\s+", " ")
-    t = F.regexp_replace(t, r"\((\d+\.?\d*)\s*-\s*(\d+\.?\d*)\)", "($1-$2)")
-    for method in ("Kinetic", "Substrate", "Photometry"):
-        t = F.regexp_replace(t, rf"\)\s+([\w\s]+{method})", ") [METHOD: $1]")
+    for pattern, to in PREPARATIONS:
+        t = F.regexp_replace(t, pattern, to)
     return t
 
 
