@@ -12,8 +12,8 @@ import numpy as np
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Texts with other characters are encoded whole by the library, and so are those with what may be a special token.
-_OTHER = "[^\t\n\r -~\xa1-\xff]"
+#: Latin-1 bytes of other characters: texts with these, or beyond Latin-1, are encoded whole by the library.
+_OTHER = bytes(c for c in range(256) if c not in b"\t\n\r" and not 32 <= c < 127 and c < 161)
 _BYTE_LEVEL = re.compile(f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 #: The same without the look-ahead, which only white space next to white space needs (see ``_loose``).
 _SPLITS = {
@@ -46,8 +46,8 @@ class Encoder:
             made = json.load(f)
         pre, norm = made["pre_tokenizer"] or {}, made["normalizer"] or {}
         # the library finds added tokens before it splits a text, so a text that may hold one goes to it whole
-        starts = sorted({re.escape(t["content"].strip()[:2]) for t in made["added_tokens"]})
-        self.other = re.compile("|".join([_OTHER, *starts]), re.IGNORECASE)
+        self.starts = sorted({t["content"].strip()[:2].lower() for t in made["added_tokens"]})
+        self.cased = any(s.upper() != s for s in self.starts)
         self.kind = None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.kind, mark = "bytes", lambda t: t.startswith("Ġ")
@@ -61,6 +61,17 @@ class Encoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _special(self, t: str) -> bool:
+        """Whether a text isn't all of known characters, or may hold an added token."""
+        try:
+            plain = t.encode("latin-1")
+        except UnicodeEncodeError:
+            return True
+        if len(plain.translate(None, _OTHER)) < len(plain):
+            return True
+        t = t.lower() if self.cased else t
+        return any(s in t for s in self.starts)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -123,12 +134,12 @@ class Encoder:
         return [bytes(view[s:e]) for s, e in zip(at, at[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "words":
-            texts = [t.lower() if not self.other.search(t) else t for t in texts]
         out: list[bytes | None] = [None] * len(texts)
-        plain = []
+        plain, special = [], [not self.kind or self._special(t) for t in texts]
+        if self.kind == "words":
+            texts = [t if odd else t.lower() for t, odd in zip(texts, special)]
         for i, t in enumerate(texts):
-            if not self.kind or self.other.search(t):
+            if special[i]:
                 out[i] = self._whole([t])[0]
             elif self.kind == "bytes" and _loose(t):
                 out[i] = b"".join(self._ids(_BYTE_LEVEL.findall(t)))
