@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts, values
 from ..operators import dictionary, documents, matching, relational, state
-from ..sources.tables import people, readings, table
+from ..sources.tables import people, readings, spread, table
 from .catalogue import _ASCII, _BALANCED, _count, _docs, _replaced, day, query, r6
 
 
@@ -221,7 +221,7 @@ SELECT *, value < low OR value > high AS is_abnormal FROM f""")
 def extract_shapes(spark, d):
     value = F.format_string("%.2f", "value")
     kinds = [F.concat(F.lit(a), value, F.lit(b)) for a, b in (s.split("%s") for s in _SHAPED)]
-    said = readings(spark, d).select("reading_id", F.concat(F.lit("Seen today.\n"), F.element_at(F.array(*kinds), (F.col("reading_id") % 10 + 1).cast("int")), F.lit("\nnext line")).alias("text"))
+    said = spread(readings(spark, d).select("reading_id", "value")).select("reading_id", F.concat(F.lit("Seen today.\n"), F.element_at(F.array(*kinds), (F.col("reading_id") % 10 + 1).cast("int")), F.lit("\nnext line")).alias("text"))
     return documents.known_measurements(said, "reading_id").select("reading_id", "name", "value", "low", "high", "is_abnormal")
 
 
