@@ -83,3 +83,37 @@ WITH ev(host, path, action, day) AS (VALUES {rows}),
           arg_max(since, {{'a': len(string_split(eh, '.')), 'b': CASE WHEN ep = '' THEN 0 ELSE len(string_split(ep, '/')) END, 'e': eh || '/' || ep}}) AS since FROM m GROUP BY page_id)
 SELECT c.page_id, host, strftime(DATE '{epoch}' + CAST(day AS INTEGER), '%Y-%m-%d') AS fetched, coalesce(n, 0) AS n_active, entry,
  strftime(DATE '{epoch}' + CAST(since AS INTEGER), '%Y-%m-%d') AS since, n IS NOT NULL AS blocked FROM c LEFT JOIN best USING (page_id)"""
+
+
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+HARD_NEGATIVES = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+ s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+       CAST(list_sum(list_transform(list_zip(a.p, b.p), lambda z: z[1] * z[2])) AS BIGINT) AS score
+       FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+         QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
+
+def zone_clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """One pair of tables a round: v's nearest centroids, and the centroids' new components."""
+    far = "list_sum(list_transform(list_zip(p, cp), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+ FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, p AS cp FROM v WHERE vec_id IS NOT NULL
+ QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT i, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT i, c, CAST({far} AS BIGINT) AS d FROM v, c{r}) GROUP BY i)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.cp, o.cp) AS cp FROM c{r} o LEFT JOIN (
+ SELECT c, list(m ORDER BY j) AS cp FROM (SELECT c, j, CAST(floor(sum(x) / count(*)) AS BIGINT) - CASE WHEN floor(sum(x) / count(*)) * count(*) > sum(x) THEN 1 ELSE 0 END AS m
+  FROM (SELECT c, unnest(p) AS x, generate_subscripts(p, 1) AS j FROM v JOIN a{r} USING (i)) GROUP BY c, j) GROUP BY c) n ON n.c = o.c)""")
+    return f"""WITH {', '.join(parts)}, t AS (SELECT c, sum(d) AS s FROM a{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(s) FROM t) AS BIGINT) AS inertia,
+ sha256(array_to_string(cp, ',')) AS centroid_sha256 FROM v JOIN a{rounds} USING (i) JOIN t USING (c) JOIN c{rounds} USING (c)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, licenses, linededup, lm, oracles, packing, quality, tokenstore, urlfilter
+from . import decontam, fingerprints, jaccard, licenses, linededup, lm, negatives, oracles, packing, quality, tokenstore, urlfilter, zonecluster
 from .common import shared_path
 
 
@@ -90,10 +90,20 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_token_store(spark, path, with_ids=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine_negatives(vectors)
+
+
+def op13_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonecluster.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_classifier, op2_license_scan, op3_best_fit_packing, op4_line_dedup, op5_jaccard_join, op6_fingerprints, op7_pitman_yor,
-        op8_url_filter, op9_decontamination, op10_token_planes,
+        op8_url_filter, op9_decontamination, op10_token_planes, op11_hard_negatives, op13_zone_clusters,
     )}
 
 
@@ -105,4 +115,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": oracles.LINE_DEDUP,
         "op8_url_filter": oracles.url_filter_sql(EPOCH, LIST_EVENTS),
         "op9_decontamination": oracles.DECONTAMINATION,
+        "op11_hard_negatives": oracles.HARD_NEGATIVES,
+        "op13_zone_clusters": oracles.zone_clusters_sql(),
     }
