@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, licenses, linededup, lm, negatives, oracles, packing, quality, tokenstore, urlfilter, zonecluster
+from . import decontam, fingerprints, hamming, jaccard, licenses, linededup, lm, negatives, oracles, packing, quality, tokenstore, urlfilter, zonecluster
 from .common import shared_path
 
 
@@ -96,6 +96,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_negatives(vectors)
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op13_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zonecluster.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -103,7 +107,7 @@ def op13_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_classifier, op2_license_scan, op3_best_fit_packing, op4_line_dedup, op5_jaccard_join, op6_fingerprints, op7_pitman_yor,
-        op8_url_filter, op9_decontamination, op10_token_planes, op11_hard_negatives, op13_zone_clusters,
+        op8_url_filter, op9_decontamination, op10_token_planes, op11_hard_negatives, op12_minhash_dedup, op13_zone_clusters,
     )}
 
 
