@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize
 
 
-#: Vertices that a task keeps in memory while it replaces links by stars.
+#: Vertices that a task keeps in memory while it replaces links by stars, and links that one task finishes alone: they have fewer.
 _MOST_VERTICES = 1_000_000
+_ONE_TASK = 400_000
 
 
 def _forest(batches):
@@ -40,19 +41,30 @@ def _forest(batches):
     yield from stars()
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _moved(labels: DataFrame, hook: DataFrame) -> DataFrame:
+    """The vertices with the roots that their roots hook to."""
+    return labels.join(hook, labels.root == hook.x, "left").select("v", F.coalesce("hook", "root").alias("root"))
+
+
+def connected_components(links: DataFrame, most_rounds: int = 60, one_task: int = _ONE_TASK) -> DataFrame:
     """(v, component) for each vertex that ``links`` (u, v: long) links with another; component is the smallest vertex it is connected with.
 
     Each round, partitions replace their links by spanning stars, every vertex hooks to its neighbour (or itself) that
     comes first in an order drawn anew, and the links between hooks go on. The order being random, a constant share of
-    vertices vanishes each round, also from long chains and large stars. Null ends are ignored; loops and repeated
-    links do no harm; without links the result is empty.
+    vertices vanishes each round, also from long chains and large stars. Once ``one_task`` links or fewer are left, one task makes stars
+    of all of them, which ends the rounds. Null ends are ignored; loops and repeated links do no harm; without links the result is empty.
     """
     vertex = links.where(F.col("u").isNotNull() & F.col("v").isNotNull())
     edges = materialize(map_batches(vertex.select("u", "v").where("u != v"), _forest, "u long, v long").distinct(), "links")
     labels = None
     for k in range(most_rounds):
-        if edges.isEmpty():
+        left = edges.count()
+        if not left:
+            break
+        if left <= one_task:
+            stars = materialize(map_batches(edges.coalesce(1), _forest, "u long, v long"), "stars")
+            hook = stars.select(F.col("u").alias("x"), F.col("v").alias("hook")).union(stars.select("v", "v").distinct())
+            labels = hook.select(F.col("x").alias("v"), F.col("hook").alias("root")) if labels is None else _moved(labels, hook)
             break
         order = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -62,7 +74,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if labels is None:
             labels = hook.select(F.col("x").alias("v"), F.col("hook").alias("root"))
         else:
-            labels = labels.join(hook, labels.root == hook.x, "left").select("v", F.coalesce("hook", "root").alias("root"))
+            labels = _moved(labels, hook)
         labels = materialize(labels, "labels")
         a, b = hook.select(F.col("x").alias("u"), F.col("hook").alias("hu")), hook.select(F.col("x").alias("v"), F.col("hook").alias("hv"))
         edges = edges.join(a, "u").join(b, "v").where("hu != hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v"))

@@ -300,9 +300,10 @@ def test_bounds_lose_nothing():
         assert bits <= len(a) + len(b) - 2 * jaccard.least_overlap(len(a), len(b), 85)
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("one_task", [0, 100, 10_000])
+def test_components_of_chains_stars_and_loops(spark, one_task):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (None, 1), (7, 6), (7, 6)]
-    got = {r.v: r.component for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {r.v: r.component for r in components.connected_components(spark.createDataFrame(links, "u long, v long"), one_task=one_task).collect()}
     assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1200), 1000)}
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
