@@ -129,7 +129,8 @@ def _strength(sites: DataFrame, prior: F.Column) -> float:
 
 
 def site_posteriors(evidence: DataFrame, host: str, path: str) -> tuple[DataFrame, float]:
-    """host, path, host_posterior and path_posterior for each site, and the global prior.
+    """host, path, host_posterior and path_posterior for each site, the sums behind them (n, good, host_n, host_good) with the strengths of
+    the priors (k_host, k_path), and the global prior.
 
     Paths shrink towards their host, hosts towards the global rate. Grouped sums with map-side combining, so a host with
     a third of all rows costs one row from each task.
@@ -144,11 +145,22 @@ def site_posteriors(evidence: DataFrame, host: str, path: str) -> tuple[DataFram
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     prior = min(1 - 1e-4, max(1e-4, total.good / total.n)) if total.n else 0.5
     k_host = _strength(hosts, F.lit(prior))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + k_host * prior) / (F.col("n") + k_host)).alias("host_posterior"))
+    hosts = hosts.select(
+        F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("good").alias("host_good"),
+        ((F.col("good") + k_host * prior) / (F.col("n") + k_host)).alias("host_posterior"), F.lit(k_host).alias("k_host"),
+    )
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     k_path = _strength(both, F.col("host_posterior"))
     posterior = (F.col("good") + k_path * F.col("host_posterior")) / (F.col("n") + k_path)
-    return materialize(both.select("host", "path", "host_posterior", posterior.alias("path_posterior")), "sites"), prior
+    sums = ["n", "good", "host_n", "host_good", "k_host", F.lit(k_path).alias("k_path")]
+    return materialize(both.select("host", "path", "host_posterior", posterior.alias("path_posterior"), *sums), "sites"), prior
+
+
+def _without(p: F.Column, prior: float) -> tuple[F.Column, F.Column]:
+    """Posteriors of a document's host and path as the other documents there make them: its own probability ``p`` is taken out."""
+    site = F.col("__site")
+    host = (site["host_good"] - p + site["k_host"] * prior) / (site["host_n"] - 1 + site["k_host"])
+    return host, (site["good"] - p + site["k_path"] * host) / (site["n"] - 1 + site["k_path"])
 
 
 def classify(
@@ -159,7 +171,8 @@ def classify(
     score, keep. Texts are judged once: the rows and their log odds are written, then summed by site and joined with the sums.
 
     score: the classifier's log odds plus the site's log odds against the global rate, as a probability; keep: score of
-    ``threshold`` or more. A site without much evidence has its host's rate, a host without much the global one.
+    ``threshold`` or more. A site without much evidence has its host's rate, a host without much the global one. What a
+    document says itself is taken out of its site's and its host's evidence, so that it counts once.
 
     Null text and empty text have the same features and are judged like others. Null hosts and paths are sites of their
     own. Rows are judged one by one, so repeated rows get equal scores; documents without labels are judged too; an
@@ -172,10 +185,13 @@ def classify(
     seen = docs.withColumns({"__host": F.col(host), "__path": F.col(path)})
     scored = materialize(_evidence(seen, model, [*kept, "__host", "__path"]), "evidence")
     sites, prior = site_posteriors(scored, "__host", "__path")
-    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("host_posterior").alias("__hp"), F.col("path_posterior").alias("__pp"))
+    sums = ["n", "good", "host_n", "host_good", "k_host", "k_path"]
+    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.struct(*sums).alias("__site"))
     if sites.count() <= broadcast_sites:
         sites = F.broadcast(sites)
     scored = scored.join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")), "left")
+    hp, pp = _without(1 / (1 + F.exp(-F.col("__logit"))), prior)
+    scored = scored.withColumn("__hp", hp).withColumn("__pp", pp)
     odds = F.col("__logit") + F.log(F.col("__pp") / (1 - F.col("__pp"))) - F.lit(math.log(prior / (1 - prior)))
     score = 1 / (1 + F.exp(-odds))
     return scored.withColumn(

@@ -59,7 +59,8 @@ def test_quality_posteriors_are_shrunk_sums(spark):
 
 
 def test_quality_score_equals_brute_force(spark):
-    """Scores from logits, posteriors by site and host, and the prior, worked out in plain Python by the method of moments."""
+    """Scores from logits, posteriors by site and host without the document itself, and the prior, worked out in plain Python by the
+    method of moments."""
     rng = np.random.default_rng(3)
     model = quality.QualityModel((0.0,) * 12, (1.0,) * 12, (3.0, 0.0, 0.0, 0.0, 0.0, 0.0, -4.0, *([0.0] * 18)))
     rows = []
@@ -86,16 +87,28 @@ def test_quality_score_equals_brute_force(spark):
         return 1e6 if spread <= 0 else min(1e6, max(1.0, noise / spread - 1))
 
     hosts, paths, prior = grouped(lambda r: r[2]), grouped(lambda r: (r[2], r[3])), sum(p.values()) / len(p)
-    k = strength(hosts, lambda s: prior)
-    host = {h: (g + k * prior) / (n + k) for h, (n, g) in hosts.items()}
-    k = strength(paths, lambda s: host[s[0]])
-    path = {s: (g + k * host[s[0]]) / (n + k) for s, (n, g) in paths.items()}
+    kh = strength(hosts, lambda s: prior)
+    all_host = {h: (g + kh * prior) / (n + kh) for h, (n, g) in hosts.items()}
+    kp = strength(paths, lambda s: all_host[s[0]])
     odds = lambda x: math.log(x / (1 - x))
+    seen = set()
     for i, _, h, lang in rows:
-        want = 1 / (1 + math.exp(-(logit[i] + odds(path[h, lang]) - odds(prior))))
+        (n, g), (m, f) = hosts[h], paths[h, lang]
+        host = (g - p[i] + kh * prior) / (n - 1 + kh)
+        path = (f - p[i] + kp * host) / (m - 1 + kp)
+        want = 1 / (1 + math.exp(-(logit[i] + odds(path) - odds(prior))))
         assert math.isclose(got[i].score, want, rel_tol=1e-6) and got[i].keep == (got[i].score >= 0.5), i
-        assert math.isclose(got[i].host_posterior, host[h], rel_tol=1e-6) and math.isclose(got[i].path_posterior, path[h, lang], rel_tol=1e-6)
-    assert len({round(x, 3) for x in path.values()}) > 3
+        assert math.isclose(got[i].host_posterior, host, rel_tol=1e-6) and math.isclose(got[i].path_posterior, path, rel_tol=1e-6)
+        seen.add(round(path, 3))
+    assert len(seen) > 3
+
+
+def test_a_lonely_document_says_nothing_about_itself(spark):
+    """The only document of a site has the prior, whatever its own text says."""
+    docs = spark.createDataFrame([(i, "Good words. " * 20, "big", "en") for i in range(30)] + [(99, "Good words. " * 20, "lonely", "xx")], "doc_id long, text string, source string, lang string")
+    model = quality.QualityModel((0.0,) * 12, (1.0,) * 12, (2.0, *([0.0] * 24)))
+    got = {r.doc_id: r for r in quality.classify(docs, None, model=model).select("doc_id", "quality_evidence.*").collect()}
+    assert math.isclose(got[99].score, 1 / (1 + math.exp(-2.0)), rel_tol=1e-6) and math.isclose(got[99].path_posterior, 1 / (1 + math.exp(-2.0)), rel_tol=1e-6)
 
 
 def test_quality_keeps_rows_and_columns(docs, none, spark):
