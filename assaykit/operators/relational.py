@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import date_of, shown
+from ..sources.tables import spread
+from .spotting import spotted
 
 
 def search(df: DataFrame, term: str | None, *columns: str) -> DataFrame:
@@ -243,19 +245,34 @@ def follow_ups(reply: Column, abnormal: Column, most: int = 3) -> Column:
     )), 1, most)
 
 
-def mentioned(texts: DataFrame, names: DataFrame, key: list[str], text: str = "text", name: str = "name", gram: int = 3) -> DataFrame:
-    """(key, name) of the names that a text contains, case aside. A text meets the names whose rarest run of ``gram`` characters it
-    has, by equality, and only those pairs are compared; null and empty names and texts meet nothing."""
+def mentioned(texts: DataFrame, names: DataFrame, key: list[str], text: str = "text", name: str = "name", most_bytes: int = 32 << 20) -> DataFrame:
+    """(key, name) of the names that a text contains, case aside. Null and empty names and texts meet nothing; a name counts once,
+    repeated texts are repeated.
+
+    Up to ``most_bytes`` of names are sent out, and a text goes through one automaton of all of them; more are joined.
+    """
     named = names.select(F.col(name).alias("name"), F.lower(name).alias("__n")).where("__n != ''").distinct()
-    runs = texts.where(F.col(text) != "").select(*key, F.lower(text).alias("__t"))
+    if (named.agg(F.sum(F.octet_length("__n") + 100)).first()[0] or 0) > most_bytes:
+        return _mentioned_by_runs(texts, named, key, text)
+    of = named.groupBy("__n").agg(F.collect_set("name").alias("names")).collect()
+    lower = spread(texts.where(F.col(text) != "").select(*key, F.lower(text).alias("__t")))
+    found = spotted(lower, [r["__n"] for r in of], key, "__t")
+    if all(r.names == [r["__n"]] for r in of):
+        return found
+    same = texts.sparkSession.createDataFrame([(r["__n"], r.names) for r in of], "name string, names array<string>")
+    return found.join(F.broadcast(same), "name").select(*key, F.explode("names").alias("name"))
+
+
+def _mentioned_by_runs(texts: DataFrame, named: DataFrame, key: list[str], text: str, gram: int = 3) -> DataFrame:
+    """A text meets the names whose rarest run of ``gram`` characters it has, by equality, and only those pairs are compared."""
     sizes = range(1, gram + 1)
     asked = named.select("name", "__n", F.explode(_grams(F.col("__n"), gram)).alias("__g"))
     # rarity among the names: a run that few names have
     few = asked.groupBy("__g").agg(F.count("*").alias("__k"))
     best = asked.join(few, "__g").groupBy("name", "__n").agg(F.min_by("__g", F.struct("__k", "__g")).alias("__g"))
-    wanted = best.select("__g").distinct()
+    runs = texts.where(F.col(text) != "").select(*key, F.lower(text).alias("__t"))
     lists = runs.select(*key, "__t", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("__t"), k) for k in sizes])))).alias("__g"))
-    return lists.join(wanted, "__g", "left_semi").join(best, "__g").where(F.contains("__t", F.col("__n"))).select(*key, "name")
+    return lists.join(best, "__g").where(F.contains("__t", F.col("__n"))).select(*key, "name")
 
 
 def sources_without(chosen: Column, target: Column) -> Column:
