@@ -152,7 +152,21 @@ def _near_pairs(pairs: DataFrame, features: DataFrame, percent: int, threshold:
     return map_batches(both, run, "u long, v long, distance int")
 
 
-def _cells(batches: Iterator[pa.RecordBatch], percent: int, threshold: int) -> Iterator[pa.RecordBatch]:
+def first_met(a: dict, b: dict, i: np.ndarray, j: np.ndarray, t: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i in a, j in b), those whose least common key is ``t``. Lists of the same members are one, of the least key; so a pair
+    has a list under its least common key, and comes from there only."""
+    if not len(i):
+        return i, j
+    (x, at), (y, to) = (np.unique(k, return_inverse=True) for k in (i, j))
+    p, q = (chunk_keys(side["signature"][rows], index).view("i8") for side, rows in ((a, x), (b, y)))
+    good = np.empty(len(i), bool)
+    for s in range(0, len(i), 4096):
+        left, right = p[at[s : s + 4096]], q[to[s : s + 4096]]
+        good[s : s + 4096] = np.where(left == right, left, np.iinfo("i8").max).min(1) == t
+    return i[good], j[good]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], percent: int, index: Index) -> Iterator[pa.RecordBatch]:
     """Pairs under all bounds of each cell (rows of one t, i, j lie together): of one block with itself, or of two blocks."""
     held: list[pa.RecordBatch] = []
 
@@ -165,7 +179,7 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int, threshold: int) -> I
             a = b = cell
             if x["i"][s] != x["j"][s]:
                 a, b = ({k: w[cell["block"] == x[side][s]] for k, w in cell.items()} for side in "ij")
-            i, j = bounded_pairs(a, b, percent, threshold)
+            i, j = first_met(a, b, *bounded_pairs(a, b, percent, index.threshold), x["t"][s], index)
             us.append(np.minimum(a["v"][i], b["v"][j]))
             vs.append(np.maximum(a["v"][i], b["v"][j]))
         found = np.unique(np.array([np.concatenate(us), np.concatenate(vs)]), axis=1)
@@ -254,7 +268,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, index: In
     cells = open_.select("t", "v", "c", "block", F.explode(F.concat(before, F.coalesce(after, F.array().cast("array<struct<i:bigint,j:bigint>>")))).alias("at"))
     cells = cells.select("t", "at.i", "at.j", "block", "v", "c").join(features, "v")
     cells = cells.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j").select("t", "i", "j", "block", "v", "c", "n", "sketch", "signature")
-    pairs = materialize(map_batches(cells, lambda b: _cells(b, percent, index.threshold), "u long, v long").distinct(), "pairs")
+    pairs = materialize(map_batches(cells, lambda b: _cells(b, percent, index), "u long, v long").distinct(), "pairs")
     links = known.select(F.col("component").alias("u"), "v").union(verify(docs, pairs, size, percent).select("u", "v"))
 
     named = reps.select("d1", "d2", "v").join(connected_components(links), "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("component_id"))

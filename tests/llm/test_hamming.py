@@ -77,3 +77,17 @@ def test_signatures_estimate_similarity_and_read_long_sets_in_pieces():
     x, y = (hamming.signature(v, 2048) for v in (a, b))
     assert abs((x == y).mean() - 0.8) < 0.04
     assert (hamming.signature(a[::-1].copy(), 2048) == x).all() and len(set(x.tolist())) > 1500
+
+
+def test_pairs_come_from_their_least_common_key():
+    index, rng = Index(4, 3, 1), np.random.default_rng(8)
+    a = {"signature": rng.integers(0, 3, (60, index.positions)).astype("<u2")}
+    keys = hamming.chunk_keys(a["signature"], index).view("i8")
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    met = {}
+    for t in np.unique(keys):
+        for p, q in zip(*hamming.first_met(a, a, i, j, t, index), strict=True):
+            met.setdefault((int(p), int(q)), []).append(t)
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        common = [k for k, n in zip(keys[p], keys[q], strict=True) if k == n]
+        assert met.get((p, q), []) == ([min(common)] if common else [])
