@@ -238,6 +238,23 @@ def explanations(rows: DataFrame, cache: DataFrame) -> DataFrame:
     return both.select(*rows.columns, F.coalesce("a", "b").alias("explanation"))
 
 
+def cached_explanations(rows: DataFrame, general: DataFrame, specific: DataFrame, now: Column, general_days: int = 30, specific_days: int = 7) -> DataFrame:
+    """``rows`` (name, value, status) with general, specific and from_cache: the newest entries of two caches (key, text, made) that aren't
+    older than their days at ``now``, by name and by name, value and status. An answer is from the cache where both are there.
+
+    Each cache has one row a key before it is joined, so that hot names are joined, not multiplied. Null names have nothing.
+    """
+
+    def newest(cache: DataFrame, days: int, key: str, to: str) -> DataFrame:
+        age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("made").cast("timestamp"))
+        return cache.where(age <= days * 86_400_000_000).groupBy(F.col("key").alias(key)).agg(F.max_by("text", F.struct("made", "text")).alias(to))
+
+    exact = F.concat(F.col("name"), F.lit(":"), F.col("value").cast("string"), F.lit(":"), F.col("status"))
+    asked = rows.withColumns({"__name": F.col("name"), "__exact": exact})
+    both = asked.join(newest(general, general_days, "__name", "general"), "__name", "left").join(newest(specific, specific_days, "__exact", "specific"), "__exact", "left")
+    return both.withColumn("from_cache", F.col("general").isNotNull() & F.col("specific").isNotNull()).drop("__name", "__exact")
+
+
 def prompt(strategy: Column, name_count: Column, text: Column) -> Column:
     """The extractor's request: terse once much is known."""
     return F.format_string(

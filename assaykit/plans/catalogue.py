@@ -673,4 +673,4 @@ def dense_zone_chunks(spark, d):
     return docs.select("doc_id", F.posexplode(state.dense_chunks(F.col("text"), 400)).alias("ord", "text")).select("doc_id", "ord", F.sha2("text", 256).alias("text_sha256"))
 
 
-from . import lookups, upkeep  # noqa: E402, F401  their queries register themselves
+from . import flows, lookups, upkeep  # noqa: E402, F401  their queries register themselves
