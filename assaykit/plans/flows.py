@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..operators import state
+from ..sources import pages
+from ..sources.storage import new_path
 from ..sources.tables import readings, spread, table
 from ..streaming import lifecycle
 from .catalogue import SQL, query
@@ -109,3 +111,16 @@ def sql_loose_measurements(spark, d):
     return spark.sql("""
 SELECT event_id AS reading_id, m.name, m.value, m.unit, lab_range(m.reference_range).low AS low, lab_range(m.reference_range).high AS high FROM lab_said, LATERAL loose_measurements(text) AS m""")
 
+
+
+@query("SELECT doc_id, sha256(replace(replace(coalesce(text, ''), chr(12), ' '), chr(13), ' ')) AS text_sha256, length(coalesce(text, '')) AS n_chars FROM documents")
+def pages_from_files(spark, d):
+    """All documents as pages of text files, read by the page source."""
+    pages.register(spark)
+    folder = new_path(spark, "pages")
+    said = F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.translate(F.coalesce("text", F.lit("")), "\x0c\r", "  "), F.lit("\x0c"))
+    table(spark, d, "documents").select(said.alias("value")).repartition(4).write.text(folder)
+    found = spark.read.format("pages").option("pattern", "part-*").schema("text string").load(folder)
+    whole = F.regexp_replace("text", r"^\n", "")
+    text = F.regexp_replace(whole, r"^[0-9]+\|", "")
+    return found.select(F.substring_index(whole, "|", 1).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.length(text).cast("long").alias("n_chars"))

@@ -91,3 +91,28 @@ def test_first_in_period_and_healing(spark, tmp_path):
     assert sorted(r.id for r in spark.table("firsts").collect()) == [1, 2]
     status, confidence = flows.healed_status(F.lit("pending"), F.lit(20), F.lit(0.0))
     assert tuple(spark.range(1).select(status, confidence).first()) == ("processed", 0.95)
+
+
+def test_page_source(spark, tmp_path):
+    from assaykit.sources import pages
+
+    pages.register(spark)
+    (tmp_path / "deep").mkdir()
+    texts = {"a.txt": "one\x0ctwo\x0c\n", "b.txt": "", "deep/c.txt": "three ü\n", "d.bin": "x\x0cy", "_hidden.txt": "no"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    load = lambda folder=tmp_path, **o: spark.read.format("pages").options(pattern="*.txt", **o).load(str(folder))
+    want = [("a.txt", 1, "one"), ("a.txt", 2, "two"), ("deep/c.txt", 1, "three ü\n")]
+    short = lambda df: sorted((r.path.removeprefix(f"{tmp_path}/"), r.page_num, r.text) for r in df.collect())
+    assert short(load()) == want and short(load(f"file://{tmp_path}")) == want
+    assert load(groupBytes=1).rdd.getNumPartitions() == 3 and load().rdd.getNumPartitions() == 1
+    one = load(groupBytes=1).where(F.col("path") == f"{tmp_path}/a.txt")
+    assert one.count() == 2 and one.rdd.getNumPartitions() == 1
+    assert short(load().where("page_num = 1 and text like 't%'")) == want[2:]
+    few = spark.read.format("pages").schema("bytes long, path string").options(pattern="*[!y]").load(str(tmp_path)).collect()
+    assert sorted(r.bytes for r in few) == sorted(len(t.encode()) for n, t in texts.items() if n != "_hidden.txt")
+    (tmp_path / "own_pages.py").write_text("def words(content):\n    return content.decode().split()\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "own_pages.py"))
+    assert short(spark.read.format("pages").options(pattern="c.txt", reader="own_pages:words").load(str(tmp_path))) == [("deep/c.txt", 1, "three"), ("deep/c.txt", 2, "ü")]
+    (tmp_path / "none").mkdir()
+    assert load(tmp_path / "none").isEmpty()
