@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import bind
 from ..functions.texts import confidence, hits, tokens
+from ..sources.storage import written
 from .documents import pack
+from .ordered import moving_average
 
 #: Cells between bars, or between tabs; a single character on either side is enough, which keeps matching linear.
 TABLE_CELLS = r"(?:\|[^|]+\|[^|]+\|)|(?:[^\t]\t[^\t]+\t[^\t])"
@@ -96,26 +98,41 @@ def merge_counters(contexts: DataFrame, report: str, order: str) -> DataFrame:
     )
 
 
+#: Spellings that stand for a name which has this word.
+SPELLINGS = [("cholesterol", ["chol", "cholest"]), ("hemoglobin", ["hb", "hgb", "haemoglobin"]), ("glucose", ["glu", "blood glucose"])]
+
+
+def name_variations(name: Column) -> Column:
+    """Sorted spellings of a name: itself in lower case, and those of the words it has."""
+    lower = F.lower(name)
+    known = [F.when(F.contains(lower, F.lit(w)), F.array(*map(F.lit, spelled))).otherwise(F.array().cast("array<string>")) for w, spelled in SPELLINGS]
+    return F.array_sort(F.array_distinct(F.concat(F.array(lower), *known)))
+
+
 def learn_patterns(patterns: DataFrame, extractions: DataFrame, capacity: int = 1000) -> DataFrame:
-    """Patterns (name, unit, frequency, success, low, high, threshold) after extractions (name, unit, value, confidence, ord).
+    """Patterns (name, unit, frequency, success, low, high, threshold, variations) after extractions (name, unit, value, confidence, ord).
 
     A known name's success moves a tenth of the way to each confidence, in order; a new name needs a confidence of 0.7,
-    starts from its first such extraction, and is taken while there is room, in order of first appearance.
+    starts from its first such extraction, and is taken while there is room, in order of first appearance. No name's extractions
+    are gathered: averages of pieces are added up with their weights.
     """
-    seen = extractions.select(F.lower(F.replace("name", F.lit(" "), F.lit("_"))).alias("name"), "unit", "value", "confidence", "ord")
-    per = seen.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", "unit", "value", "confidence"))).alias("x"))
-    joined = per.join(patterns, "name", "full")
-    own = joined["frequency"].isNotNull()
-    x = F.coalesce(F.col("x"), F.array().cast(per.schema["x"].dataType))
-    first = F.array_min(F.transform(F.filter(x, lambda r: r["confidence"] >= 0.7), lambda r: r["ord"]))
-    rest = F.when(own, x).otherwise(F.filter(x, lambda r: r["ord"] > first))
-    start = F.try_element_at(F.filter(x, lambda r: r["ord"] == first), F.lit(1))
-    success = F.aggregate(rest, F.coalesce("success", start["confidence"]).cast("double"), lambda a, r: a * 0.9 + r["confidence"] * 0.1)
+    seen = extractions.select(F.lower(F.replace("name", F.lit(" "), F.lit("_"))).alias("name"), F.col("name").alias("said"), "unit", "value", "confidence", "ord")
+    sure = F.when(F.col("confidence") >= 0.7, F.col("ord"))
+    starts = seen.groupBy("name").agg(F.min(sure).alias("first"), F.min_by(F.struct("unit", "value", "confidence", "said"), sure).alias("start"))
+    known = patterns.select("name", *[F.col(c).alias(f"p_{c}") for c in ("unit", "frequency", "success", "low", "high", "threshold")])
+    joined = written(starts.join(known, "name", "full").where(F.col("p_frequency").isNotNull() | F.col("first").isNotNull()), "patterns")
+    own = F.col("p_frequency").isNotNull()
+    counted = seen.join(joined.select("name", F.when(own, F.lit(None)).otherwise(F.col("first")).alias("from")), "name")
+    moved = moving_average(counted.where(F.col("from").isNull() | (F.col("ord") > F.col("from"))), "name", "ord", "confidence")
+    all_ = joined.join(moved, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    start, begun = F.col("start"), F.coalesce("p_success", F.col("start.confidence")).cast("double")
     sized = (start["unit"] != "") & (start["value"] > 0)
-    made = joined.where(own | first.isNotNull()).select(
-        "name", F.coalesce(patterns["unit"], start["unit"]).alias("unit"), (F.coalesce("frequency", F.lit(1)) + F.size(rest)).alias("frequency"), success.alias("success"),
-        F.coalesce("low", F.when(sized, start["value"] * 0.5)).alias("low"), F.coalesce("high", F.when(sized, start["value"] * 2.0)).alias("high"),
-        F.coalesce("threshold", start["confidence"] * 0.9).alias("threshold"), F.when(own, -1).otherwise(first).alias("__first"),
+    made = all_.select(
+        "name", F.when(own, F.col("p_unit")).otherwise(start["unit"]).alias("unit"), (F.coalesce("p_frequency", F.lit(1)) + F.col("n")).alias("frequency"),
+        (begun * F.pow(F.lit(0.9), F.col("n")) + F.coalesce("moved", F.lit(0.0))).alias("success"),
+        F.when(own, F.col("p_low")).when(sized, start["value"] * 0.5).alias("low"), F.when(own, F.col("p_high")).when(sized, start["value"] * 2.0).alias("high"),
+        F.when(own, F.col("p_threshold")).otherwise(start["confidence"] * 0.9).alias("threshold"),
+        name_variations(F.when(own, F.translate("name", "_", " ")).otherwise(start["said"])).alias("variations"), F.when(own, -1).otherwise(F.col("first")).alias("__first"),
     )
     return made.orderBy("__first", "name").limit(capacity).drop("__first")
 

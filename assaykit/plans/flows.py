@@ -10,7 +10,7 @@ from ..sources import pages
 from ..sources.storage import new_path
 from ..sources.tables import readings, spread, table
 from ..streaming import lifecycle
-from .catalogue import SQL, query
+from .catalogue import SQL, query, r6
 
 #: A report may be sent in again after its end; twelve hours are too many.
 _AGAIN = lifecycle.Lifecycle({**lifecycle.FOLLOWS, "processed": ["pending"], "error": ["pending"]}, minutes=720)
@@ -124,3 +124,24 @@ def pages_from_files(spark, d):
     whole = F.regexp_replace("text", r"^\n", "")
     text = F.regexp_replace(whole, r"^[0-9]+\|", "")
     return found.select(F.substring_index(whole, "|", 1).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.length(text).cast("long").alias("n_chars"))
+
+
+@query("""
+WITH RECURSIVE x AS (SELECT lower(event_type) || '_' || (user_id % 7) AS name, value, round((event_id * 37 % 101) / 100.0, 2) AS confidence, event_id AS ord FROM events),
+ p AS (SELECT name, count(*) AS frequency FROM x WHERE ends_with(name, '_0') OR ends_with(name, '_3') GROUP BY 1),
+ f AS (SELECT x.name, p.name IS NOT NULL AS own, min(CASE WHEN confidence >= 0.7 THEN ord END) AS first, arg_min(confidence, CASE WHEN confidence >= 0.7 THEN ord END) AS c0, arg_min(value, CASE WHEN confidence >= 0.7 THEN ord END) AS v0 FROM x LEFT JOIN p USING (name) GROUP BY 1, 2),
+ o AS (SELECT x.name, confidence, row_number() OVER (PARTITION BY x.name ORDER BY ord) AS k FROM x JOIN f ON f.name = x.name AND (own OR ord > first)),
+ m AS (SELECT name, CAST(0 AS BIGINT) AS k, CAST(CASE WHEN own THEN 0.8 ELSE c0 END AS DOUBLE) AS s FROM f WHERE own OR first IS NOT NULL
+   UNION ALL SELECT m.name, o.k, m.s * 0.9 + o.confidence * 0.1 FROM m JOIN o ON o.name = m.name AND o.k = m.k + 1)
+SELECT f.name, CAST(coalesce(p.frequency, 1) + max(m.k) AS BIGINT) AS frequency, round(arg_max(m.s, m.k), 6) AS success, CASE WHEN own THEN 5.0 WHEN v0 > 0 THEN v0 * 0.5 END AS low,
+ round(CASE WHEN own THEN 0.6 ELSE c0 * 0.9 END, 6) AS threshold
+FROM f JOIN m ON m.name = f.name LEFT JOIN p ON p.name = f.name GROUP BY f.name, p.frequency, own, v0, c0""")
+def patterns_learned(spark, d):
+    e = readings(spark, d)
+    name = F.concat(F.initcap("name"), F.lit(" "), (F.col("person_id") % 7).cast("string"))
+    confidence = F.round((F.col("reading_id") * 37 % 101) / 100, 2)
+    x = e.select(name.alias("name"), F.lit("mg/dL").alias("unit"), "value", confidence.alias("confidence"), F.col("reading_id").alias("ord"))
+    known = x.groupBy(F.lower(F.replace("name", F.lit(" "), F.lit("_"))).alias("name")).agg(F.count("*").alias("frequency")).where("name rlike '_[03]$'")
+    known = known.select("name", F.lit("mg/dL").alias("unit"), "frequency", F.lit(0.8).alias("success"), F.lit(5.0).alias("low"), F.lit(50.0).alias("high"), F.lit(0.6).alias("threshold"))
+    found = state.learn_patterns(known, x, 100_000)
+    return found.select("name", F.col("frequency").cast("long").alias("frequency"), r6("success").alias("success"), "low", r6("threshold").alias("threshold"))
