@@ -447,7 +447,18 @@ def doc_chunks(spark, d):
     return documents.chunks(pages, "doc_id", "page", limit=300, overlap=40).select("doc_id", "ord", "estimated_tokens", r6("confidence").alias("confidence"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+_KEEPS = """CASE WHEN short OR (lab = 0 AND pat = 0 AND adm >= 3) THEN false WHEN lab >= 1 THEN true WHEN n = 0 THEN k.conf >= 0.2 WHEN n < 10 THEN k.conf >= 0.3
+ WHEN n < 15 THEN k.conf >= 0.4 AND NOT (pat = 0 AND adm IN (1, 2)) WHEN n < 20 THEN k.conf >= 0.4 AND NOT (pat = 0 AND adm < 3) ELSE k.conf >= 0.5 AND NOT (pat = 0 AND adm < 3) END"""
+
+
+@query(f"""
+WITH RECURSIVE {_SCREEN},
+ k AS MATERIALIZED (SELECT doc_id, CAST(floor(doc_id / 25) AS BIGINT) AS report_id, row_number() OVER (PARTITION BY floor(doc_id / 25) ORDER BY doc_id) AS i, conf, lab, pat, adm, length(trim(t, ' ')) < 20 AS short FROM s),
+ f AS (SELECT DISTINCT report_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS doc_id, CAST(0 AS DOUBLE) AS conf, CAST(0 AS DOUBLE) AS found, false AS kept, CAST(0 AS BIGINT) AS n FROM k
+   UNION ALL SELECT k.report_id, k.i, k.doc_id, k.conf, CAST(CASE WHEN lab >= 1 THEN lab * 3 ELSE pat END AS DOUBLE), {_KEEPS}, n + CASE WHEN {_KEEPS} THEN 1 ELSE 0 END
+   FROM f JOIN k ON k.report_id = f.report_id AND k.i = f.i + 1),
+ r AS (SELECT report_id, 1 - count(*) FILTER (kept) / count(*) > 0.5 AS many FROM f WHERE i > 0 GROUP BY 1)
+SELECT report_id, doc_id, conf AS screen_confidence, CASE WHEN many THEN conf >= 0.5 OR found >= 2 ELSE kept END AS kept FROM f JOIN r USING (report_id) WHERE i > 0""")
 def doc_skip_fold(spark, d):
     rows = _docs(spark, d).select(F.floor(F.col("doc_id") / 25).alias("report_id"), "doc_id", "text")
     return documents.skip_chunks(rows, "report_id", ["doc_id"]).select("report_id", "doc_id", "screen_confidence", "kept")
