@@ -133,6 +133,14 @@ def strict_range(text: Column) -> Column:
     )
 
 
+def outside_range(is_abnormal: Column, value: Column, low: Column, high: Column, text: Column) -> Column:
+    """What a shown table sorts as its status: the flag where there is one, else the numeric range if it has both ends, else the range
+    text as ``strict_range`` reads it; false where nothing tells."""
+    read = strict_range(text)
+    beyond = lambda a, b: F.coalesce(value < a, F.lit(False)) | F.coalesce(value > b, F.lit(False))
+    return F.coalesce(is_abnormal, F.when(low.isNotNull() & high.isNotNull(), beyond(low, high)).otherwise(beyond(read["low"], read["high"])), F.lit(False))
+
+
 def status(value: Column, low: Column, high: Column) -> Column:
     known = value.isNotNull() & (low.isNotNull() | high.isNotNull())
     outside = F.coalesce(value < low, F.lit(False)) | F.coalesce(value > high, F.lit(False))

@@ -64,8 +64,9 @@ def choices(*columns: DataFrame) -> DataFrame:
 
 
 def table_order(column: str, kind: str, ascending: bool = True, tie: str = "id") -> list[Column]:
-    """Order of a shown table: numbers by value, booleans false first, texts by their lower case with missing ones as ''."""
-    c = F.col(column) if kind in ("double", "float", "int", "bigint") else F.coalesce(F.col(column), F.lit(False)) if kind == "boolean" else F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    """Order of a shown table: numbers by value, booleans false first, texts by their lower case in Unicode's collation (so that accented
+    letters stand by their plain ones), with missing ones as ''."""
+    c = F.col(column) if kind in ("double", "float", "int", "bigint") else F.coalesce(F.col(column), F.lit(False)) if kind == "boolean" else F.collate(F.lower(F.coalesce(F.col(column).cast("string"), F.lit(""))), "UNICODE")
     return [c.asc_nulls_first() if ascending else c.desc_nulls_last(), F.col(tie)]
 
 

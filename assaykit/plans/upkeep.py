@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import texts, values
 from ..operators import longitudinal, metrics, relational
 from ..sources.files import append_new, with_column_if_missing
+from ..sources.storage import written
 from ..sources.tables import measurements, people, readings, reports, table
 from ..streaming import flows
 from .catalogue import _SCREEN, _docs, day, query, r6
@@ -68,7 +70,7 @@ def reset_stuck(spark, d):
 @query("SELECT (SELECT count(*) FROM orders) AS rows_a, (SELECT count(*) FROM orders) AS rows_b, true AS same")
 def copy_verified(spark, d):
     r = reports(spark, d)
-    return relational.same_rows(r, r.repartition(3, "person_id").select(*reversed(r.columns)))
+    return relational.same_rows(r, written(r.repartition(3, "person_id").select(*reversed(r.columns)), "copy"))
 
 
 @query("SELECT o_orderkey AS report_id, CAST(NULL AS VARCHAR) AS started FROM orders WHERE o_orderkey < 100")
@@ -145,6 +147,31 @@ def table_by_name(spark, d):
     return relational.page_number(items, relational.table_order("name", "string", True, "item_id"), 1, 25)
 
 
+@query("""
+WITH n AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN replace(upper(p_name), 'A', 'Á') WHEN p_partkey % 3 = 1 THEN p_name END AS name FROM part)
+SELECT item_id, name, row_number() OVER (ORDER BY strip_accents(lower(coalesce(name, ''))), lower(coalesce(name, '')), item_id) AS place FROM n
+QUALIFY place <= 900""")
+def table_by_accented_name(spark, d):
+    key = F.col("p_partkey")
+    name = F.when(key % 3 == 0, F.replace(F.upper("p_name"), F.lit("A"), F.lit("Á"))).when(key % 3 == 1, F.col("p_name"))
+    items = table(spark, d, "part").select(key.alias("item_id"), name.alias("name"))
+    order = relational.table_order("name", "string", True, "item_id")
+    first = relational.page(items, order, 0, 900)
+    return first.select("item_id", "name", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))  # 900 rows
+
+
+@query("""
+WITH t AS (SELECT event_id, value, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE WHEN event_id % 5 = 2 THEN 10.0 END AS low, CASE WHEN event_id % 5 IN (2, 3) THEN 40.0 END AS high FROM events)
+SELECT event_id AS reading_id, CASE WHEN flag IS NOT NULL THEN flag WHEN event_id % 5 = 2 THEN value < 10 OR value > 40 WHEN event_id % 5 = 3 THEN value > 25 ELSE value < 30 END AS abnormal
+FROM t ORDER BY abnormal DESC, event_id LIMIT 1000""")
+def table_by_status(spark, d):
+    k = F.col("reading_id") % 5
+    flag, low, high = F.when(k == 0, True).when(k == 1, False), F.when(k == 2, 10.0), F.when(k.isin(2, 3), 40.0)
+    said = F.when(k == 3, "<= 25").when(k == 4, " > 30 ").otherwise("1-2")
+    rows = readings(spark, d).select("reading_id", values.outside_range(flag, F.col("value"), low, high, said).alias("abnormal"))
+    return relational.page(rows, relational.table_order("abnormal", "boolean", False, "reading_id"), 0, 1000)
+
+
 @query("""
 SELECT p_type AS category, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS place, p_name AS text FROM part""")
 def suggestions_grouped(spark, d):
