@@ -142,12 +142,9 @@ def _count(docs: DataFrame, hot: list[bytes], buckets: int, s: Settings) -> Data
             part = (h % np.uint64(buckets)).astype("i4")
             order = np.lexsort((h, part))
             h, d, other, part = h[order], d[order], [x[order] for x in other], part[order]
-            cuts = np.searchsorted(part, np.arange(buckets + 1))
-            for k in range(buckets):
-                i, j = cuts[k], cuts[k + 1]
-                if i < j:
-                    who, local = np.unique(d[i:j], return_inverse=True)
-                    yield k, kind, 0, _pack(*[x[who] for x in docs_of], _steps(h[i:j]), local.astype("<u4"), *pack_other(*[x[i:j] for x in other]))
+            for k, i, j in _runs(part):  # the buckets that occur, however many there are
+                who, local = np.unique(d[i:j], return_inverse=True)
+                yield k, kind, 0, _pack(*[x[who] for x in docs_of], _steps(h[i:j]), local.astype("<u4"), *pack_other(*[x[i:j] for x in other]))
 
         def contexts_of(c, before):
             seen, own = np.unique(before[c < 0], return_inverse=True)
@@ -396,6 +393,12 @@ def _bucket(data: bytes) -> list[np.ndarray]:
     return [*head, np.cumsum(pair), d, np.cumsum(rare, dtype="u8")]
 
 
+def _runs(part: np.ndarray):
+    """(value, from, to) of the runs of equal values."""
+    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
+    return zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(part)])
+
+
 def _by_bucket(rare: np.ndarray, buckets: int):
     """(bucket, places in ``rare``) of rare contexts, dealt by their hash."""
     part = (rare % np.uint64(buckets)).astype("i8")
@@ -594,13 +597,7 @@ def _scores(docs, rare, buckets: int, hot, hot_scores, begun, hot_p, by_word, to
     def deal(sums: dict[str, np.ndarray]):
         part = ((sums["doc"].astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = []
-        for k in range(parts):
-            if cuts[k] < cuts[k + 1]:
-                i = order[cuts[k] : cuts[k + 1]]
-                rows.append((k, 0, 0, _pack(*[sums[n][i].astype(t) for n, t in _SUM])))
-        return _batch(rows)
+        return _batch([(k, 0, 0, _pack(*[sums[n][order[i:j]].astype(t) for n, t in _SUM])) for k, i, j in _runs(part[order])])
 
     def from_texts(batches):
         reader, scores, log_counts, is_known = shared.value
