@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sql
+from ..functions import sql, texts, values
 from ..operators import state
 from ..sources import pages
 from ..sources.storage import new_path
@@ -145,3 +145,21 @@ def patterns_learned(spark, d):
     known = known.select("name", F.lit("mg/dL").alias("unit"), "frequency", F.lit(0.8).alias("success"), F.lit(5.0).alias("low"), F.lit(50.0).alias("high"), F.lit(0.6).alias("threshold"))
     found = state.learn_patterns(known, x, 100_000)
     return found.select("name", F.col("frequency").cast("long").alias("frequency"), r6("success").alias("success"), "low", r6("threshold").alias("threshold"))
+
+
+@query(f"""
+WITH s AS (SELECT conv_id, turn, trim(repeat(replace(text, '•', '-') || '. ', 14), ' ') AS s FROM conversations),
+ l AS (SELECT *, CASE WHEN regexp_matches(lower(right(s, 200)), '{"|".join(texts.IMPORTANT_ENDINGS)}') THEN least(length(s), 1000) ELSE 800 END AS most FROM s),
+ c AS (SELECT *, substr(s, 1, most) AS cut, length(regexp_extract(substr(s, 1, most), '^([\\s\\S]*[.!?])', 1)) AS last FROM l)
+SELECT conv_id, turn, length(s) AS said, trim(CASE WHEN length(s) <= most THEN s WHEN last - 1 > most * 0.7 THEN substr(cut, 1, last) ELSE substr(cut, 1, most - 3) || '...' END, ' ') AS reply FROM c""")
+def replies_cut(spark, d):
+    """Long replies, which begin with talk about themselves and are cut where a sentence ends."""
+    own = F.repeat(F.concat(F.replace("text", F.lit("•"), F.lit("-")), F.lit(". ")), F.lit(14))
+    c = table(spark, d, "conversations").withColumn("s", F.trim(own))
+    return c.select("conv_id", "turn", F.length("s").cast("long").alias("said"), texts.shape_reply(F.concat(F.lit("Let me help you: "), "s")).alias("reply"))
+
+
+@query("SELECT o_orderkey AS report_id, CAST(floor(date_diff('day', CAST(o_orderdate AS DATE), DATE '2003-07-14') / 365) AS BIGINT) AS years FROM orders")
+def years_since_reports(spark, d):
+    born = F.col("o_orderdate").cast("date")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), values.whole_years(born, F.lit("2003-07-14").cast("date")).cast("long").alias("years"))
