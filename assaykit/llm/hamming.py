@@ -109,17 +109,16 @@ def bounded_pairs(a: dict, b: dict, percent: int, threshold: int) -> tuple[np.nd
 def near(a: dict, b: dict, i: np.ndarray, j: np.ndarray, percent: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (i in a, j in b), those whose sketches differ in no more bits than their sets may in shingles, and whose signatures
     differ in ``threshold`` positions at most."""
-    for at in (0, 1):
-        if not len(i):
-            break
-        if at == 0:
-            sizes = a["n"][i] + b["n"][j]
-            allowed = sizes - 2 * -(-percent * sizes // (100 + percent))
-            good = np.bitwise_count(a["sketch"][i] ^ b["sketch"][j]).sum(1, dtype="i8") <= allowed
-        else:
-            good = (a["signature"][i] != b["signature"][j]).sum(1) <= threshold
-        i, j = i[good], j[good]
-    return i, j
+    kept = []
+    for s in range(0, len(i), 1 << 15):  # some MB at a time
+        p, q = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+        sizes = a["n"][p] + b["n"][q]
+        allowed = sizes - 2 * -(-percent * sizes // (100 + percent))
+        good = np.bitwise_count(a["sketch"][p] ^ b["sketch"][q]).sum(1, dtype="i8") <= allowed
+        p, q = p[good], q[good]
+        good = (a["signature"][p] != b["signature"][q]).sum(1) <= threshold
+        kept.append((p[good], q[good]))
+    return (i, j) if not kept else tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
 
 def _columns(b: pa.RecordBatch, names: dict[str, str]) -> dict:
@@ -205,7 +204,7 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int, index: Index) -> Ite
         yield from pairs(held[0])
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, index: Index = Index(), list_size: int = 16, tries: int = 4, block: int = 256) -> DataFrame:  # noqa: B008
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, index: Index = Index(), list_size: int = 16, tries: int = 4, block: int = 1024) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) and kept of each row.
 
     Two documents link when the Jaccard similarity of their sets of ``size``-word shingles is ``percent`` hundredths or more, confirmed
