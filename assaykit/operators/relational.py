@@ -216,19 +216,21 @@ def two_stage_match(wanted: DataFrame, people: DataFrame, key: str, id_col: str,
     """Matches by equal id; rows (wanted: their key) without any match by names that contain the wanted one, case aside.
 
     A name that contains another has all its runs of ``gram`` characters, so the two meet by equality of the wanted name's rarest
-    run, and only those pairs are compared. Names shorter than a run meet all shorter runs of the people's names. Null and
-    empty names match by id only.
+    run, and only those pairs are compared. Names shorter than a run meet all shorter runs of the people's names. Each distinct name is
+    compared once, and rows are joined to the pairs of names that were found. Null and empty names match by id only.
     """
     p = people.select(F.col(key).alias("match"), F.col(id_col).alias("__id"), F.lower(name_col).alias("__name"))
     by_id = wanted.join(p, F.col(id_col) == F.col("__id")).select(*wanted.columns, "match")
     left = wanted.join(by_id.select("wanted").distinct(), "wanted", "left_anti").withColumn("__w", F.lower(name_col)).where("__w != ''")
     sizes = range(1, gram + 1)
-    runs = p.where("__name != ''").select("match", "__name", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("__name"), k) for k in sizes])))).alias("__g"))
+    names = p.where("__name != ''").select("__name").distinct()
+    runs = names.select("__name", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("__name"), k) for k in sizes])))).alias("__g"))
     counts = runs.groupBy("__g").agg(F.count("*").alias("__k"))
-    asked = left.select(*wanted.columns, "__w", F.explode(_grams(F.col("__w"), gram)).alias("__g")).join(counts, "__g", "left")
-    rarest = asked.groupBy("wanted").agg(F.min_by("__g", F.struct(F.coalesce("__k", F.lit(0)), "__g")).alias("__g"))
-    met = left.join(rarest, "wanted").join(runs, "__g").where(F.contains("__name", F.col("__w")))
-    return by_id.unionByName(met.select(*wanted.columns, "match"))
+    asked = left.select("__w").distinct().select("__w", F.explode(_grams(F.col("__w"), gram)).alias("__g")).join(counts, "__g", "left")
+    rarest = asked.groupBy("__w").agg(F.min_by("__g", F.struct(F.coalesce("__k", F.lit(0)), "__g")).alias("__g"))
+    met = rarest.join(runs, "__g").where(F.contains("__name", F.col("__w"))).select("__w", "__name")
+    rows = met.join(p.select("match", "__name"), "__name").join(left, "__w")
+    return by_id.unionByName(rows.select(*wanted.columns, "match"))
 
 
 def suggestions(df: DataFrame, category: str = "category", priority: str = "priority", text: str = "text", tie: str = "id") -> DataFrame:
