@@ -240,6 +240,19 @@ def percent_change(first: Column, last: Column) -> Column:
     return F.when(first.isNull() | last.isNull() | (first == 0), 0.0).otherwise((last - first) / F.abs(first) * 100)
 
 
+def one_decimal(x: Column) -> Column:
+    """A number with one decimal as C prints it: the nearest to the double's exact value, of two as near the even one.
+    ``format_string`` rounds the shortest decimal that reads as the double, and halves up."""
+    size = F.abs(x)
+    below = F.floor(size * 10)
+    half = 2 * below + 1  # twentieths: midway to the next tenth
+    beyond = (size * 16 - half) + size * 4  # without any rounding near the middle
+    tenths = below + F.when((beyond > 0) | ((beyond == 0) & (below % 2 == 1)), 1).otherwise(0)
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
+    plain = F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(size < 1e14, plain).otherwise(F.format_string("%.1f", x))  # doubles beyond have few decimals or none
+
+
 def date_of(text: Column) -> Column:
     """First of the known date formats that fits."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd")]).cast("date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import percent_change, trend
+from ..functions.values import one_decimal, percent_change, trend
 
 # In which direction a named series improves.
 RISING_IS_BETTER = ["hdl"]
@@ -120,7 +120,7 @@ def last_n(df: DataFrame, keys: list[str], order: list[F.Column], n: int) -> Dat
 def summary_text(readings: DataFrame, person: str, at: str = "ts", name: str = "name", value: str = "value", tie: str = "reading_id") -> DataFrame:
     """A person's history in words: size and span, trends by name, the newest day, readings by day."""
     t = trends(readings, [person, name], at, value, tie).withColumn(
-        "line", F.format_string("%s: %s (%.1f%%) over %d readings", name, "direction", "change_pct", "n")
+        "line", F.format_string("%s: %s (%s%%) over %d readings", name, "direction", one_decimal(F.round("change_pct", 6)), "n")
     )
     lines = t.groupBy(person).agg(F.concat_ws("\n", F.array_sort(F.collect_list("line"))).alias("trend_lines"))
     days = by_day(readings, [person], at, name)

@@ -250,3 +250,22 @@ def test_copies_of_names_are_compared_once(spark):
     found = relational.two_stage_match(wanted, people, "person", "id", "name").agg(F.min("wanted"), F.max("wanted"), F.count_distinct("match"), F.count("*")).first()
     assert tuple(found) == (7, 7, n, n)
     assert time.time() - began < 20
+
+
+def test_one_decimal_as_c_prints_it(spark):
+    rng = random.Random(9)
+    at = [0.0, -0.0, 0.04, -0.04, 0.05, -0.05, 0.15, 0.25, 0.35, 0.75, 109806.25, 2.675e10, 1e13 + 0.25, 99.95, 99.949999]
+    numbers = at + [rng.uniform(-1, 1) * 10 ** rng.randint(-3, 12) for _ in range(2000)] + [s * k / 20 for k in range(1500) for s in (1, -1)]
+    found = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", values.one_decimal(F.col("x")).alias("y")).collect()
+    assert [r for r in found if r.y != f"{r.x:.1f}"] == []
+
+
+def test_summary_rounds_as_its_sql(spark, tmp_path):
+    """Changes of 6.25 % and 6.15 % (a double below it)."""
+    import duckdb
+    from oracle import difference
+
+    rows = "(1, 'click', 16.0, 1), (1, 'click', 17.0, 2), (2, 'view', 100.0, 3), (2, 'view', 106.15, 4), (3, 'view', 1000.0, 5), (3, 'view', 1000.5, 6)"
+    events = "SELECT u::BIGINT AS user_id, k AS event_type, v::DOUBLE AS value, i::BIGINT AS event_id, make_timestamp(i * 90000000000) AS ts, '{}' AS props"
+    duckdb.sql(f"COPY ({events} FROM (VALUES {rows}) t(u, k, v, i)) TO '{tmp_path}/events.parquet'")
+    assert difference(catalogue.person_summary(spark, str(tmp_path)), catalogue.SQL["person_summary"], str(tmp_path)) == ""
