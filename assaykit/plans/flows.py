@@ -119,7 +119,7 @@ def pages_from_files(spark, d):
     pages.register(spark)
     folder = new_path(spark, "pages")
     said = F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.translate(F.coalesce("text", F.lit("")), "\x0c\r", "  "), F.lit("\x0c"))
-    table(spark, d, "documents").select(said.alias("value")).repartition(4).write.text(folder)
+    spread(table(spark, d, "documents").select(said.alias("value"))).write.text(folder)
     found = spark.read.format("pages").option("pattern", "part-*").schema("text string").load(folder)
     whole = F.regexp_replace("text", r"^\n", "")
     text = F.regexp_replace(whole, r"^[0-9]+\|", "")

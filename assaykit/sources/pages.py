@@ -1,17 +1,19 @@
 """Pages of document files as a Spark data source: ``spark.read.format("pages").load(folder)`` after ``register``.
 
 Options: ``pattern`` (names of files, default ``*``), ``reader`` (``package.module:function`` that turns a file's bytes into page texts; default:
-UTF-8 texts whose pages end with a form feed), ``groupBytes`` (bytes of files in a partition). Columns: path, page_num (from 1), bytes (of
+UTF-8 texts whose pages end with a form feed, of which a task holds a few pages only), ``groupBytes`` (bytes of files in a partition). Columns: path, page_num (from 1), bytes (of
 the file) and text; a schema of fewer of them is filled with those only, and files aren't opened for path and bytes alone.
 Filters on path keep other files from being opened. Folders may be on any file system that pyarrow knows.
 """
 
 from __future__ import annotations
 
+import codecs
 import fnmatch
 import importlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,6 +33,21 @@ def form_feeds(content: bytes) -> list[str]:
     return pages if pages[-1].strip() else pages[:-1]
 
 
+def _streamed(file: BinaryIO, block: int = 1 << 20) -> Iterator[str]:
+    """Pages of ``form_feeds``, a block of the file at a time."""
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    parts: list[str] = []
+    while content := file.read(block):
+        first, *others = decode(content).split("\x0c")
+        parts.append(first)
+        for page in others:
+            yield "".join(parts)
+            parts = [page]
+    last = "".join([*parts, decode(b"", True)])
+    if last.strip():
+        yield last
+
+
 @dataclass
 class FileGroup(InputPartition):
     files: list[tuple[str, int]]
@@ -87,7 +104,7 @@ class PageReader(DataSourceReader):
                 rows.append((path, None, size, None))
                 continue
             with system.open_input_stream(path) as f:
-                for number, text in enumerate(pages_of(f.read()), 1):
+                for number, text in enumerate(_streamed(f) if pages_of is form_feeds else pages_of(f.read()), 1):
                     rows.append((path, number, size, text))
                     held += len(text)
                     if held > _BATCH:

@@ -116,3 +116,28 @@ def test_page_source(spark, tmp_path):
     assert short(spark.read.format("pages").options(pattern="c.txt", reader="own_pages:words").load(str(tmp_path))) == [("deep/c.txt", 1, "three"), ("deep/c.txt", 2, "ü")]
     (tmp_path / "none").mkdir()
     assert load(tmp_path / "none").isEmpty()
+
+
+def test_pages_of_a_long_file_are_streamed(tmp_path):
+    """What a task holds doesn't grow with a file, and blocks may end within a character."""
+    import io
+    import random
+    import tracemalloc
+
+    from pyspark.sql.types import StructType
+
+    from assaykit.sources import pages
+
+    rng = random.Random(2)
+    for _ in range(300):
+        content = b"".join(rng.choice([b"\x0c", "é€😀".encode(), b"\xff", b"\xe2\x82", b" \n", b"ab"]) for _ in range(rng.randint(0, 12)))
+        assert list(pages._streamed(io.BytesIO(content), rng.randint(1, 5))) == pages.form_feeds(content)
+
+    with (tmp_path / "long.txt").open("w") as f:
+        for k in range(30_000):
+            f.write(f"page {k} " + "x" * 4000 + "\x0c")
+    reader = pages.PageReader({"path": str(tmp_path)}, StructType.fromDDL("page_num int, text string"))
+    tracemalloc.start()
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 30_000
+    assert tracemalloc.get_traced_memory()[1] < 80e6  # of a file of 120 MB
+    tracemalloc.stop()
