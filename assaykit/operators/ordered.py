@@ -34,8 +34,8 @@ def moving_average(rows: DataFrame, key: str, order: str, value: str, share: flo
     return one.withColumn("__s", F.col("s") * F.pow(F.lit(stay), behind)).groupBy(key).agg(F.sum("n").alias("n"), F.sum("__s").alias("moved"))
 
 
-def counted_choices(rows: DataFrame, key: str, order: list[str], choices: list[tuple[int, str]], start: DataFrame | None = None) -> DataFrame:
-    """key, order and ``kept`` of each row: a row is kept if its choice says so, the one of the greatest level up to the number of rows that
+def counted_choices(rows: DataFrame, key: str, order: list[str], choices: list[tuple[int, str]], start: DataFrame | None = None, also: list[str] | None = None) -> DataFrame:
+    """key, order, ``also`` and ``kept`` of each row: a row is kept if its choice says so, the one of the greatest level up to the number of rows that
     the key has kept before. ``choices``: (level, boolean column), levels ascending from 0; ``start``: key, n, what was kept before all rows.
 
     Counts matter up to the last level only, so a piece is a map from the count that comes in to the count that goes out. In one pass
@@ -45,7 +45,7 @@ def counted_choices(rows: DataFrame, key: str, order: list[str], choices: list[t
     top = choices[-1][0]
     level = np.array([max(k for k, (n, _) in enumerate(choices) if n <= c) for c in range(top + 1)])
     bits = sum((F.col(c).cast("int") * (1 << k) for k, (_, c) in enumerate(choices)), F.lit(0))
-    names = [key, *order]
+    names = [key, *order, *(also or [])]
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

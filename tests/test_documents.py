@@ -209,3 +209,13 @@ def test_strict_signs(spark, text, low, high):
 def test_more_queries_are_registered():
     own = [n for n, f in catalogue.QUERIES.items() if f.__module__ == lookups.__name__]
     assert len(own) > 30 and set(own) - set(catalogue.SQL) == {"mode_chunks"}
+
+
+def test_texts_are_screened_once(spark, capsys):
+    """What is kept is worked out from written screens, not from the texts again."""
+    rows = spark.createDataFrame([(1, k, "Glucose: 90 mg/dL (70-99) and more words" if k % 2 else "Page 1 of 2, no such thing here") for k in range(8)], "report int, ord int, text string")
+    out = documents.skip_chunks(rows, "report", ["ord"])
+    out.explain()
+    plan = capsys.readouterr().out.lower()
+    assert "regexp" not in plan and "rlike" not in plan
+    assert [r.kept for r in out.orderBy("ord").collect()] and out.columns == ["report", "ord", "text", "screen_confidence", "screen_patterns", "kept"]
