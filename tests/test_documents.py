@@ -219,3 +219,12 @@ def test_texts_are_screened_once(spark, capsys):
     plan = capsys.readouterr().out.lower()
     assert "regexp" not in plan and "rlike" not in plan
     assert [r.kept for r in out.orderBy("ord").collect()] and out.columns == ["report", "ord", "text", "screen_confidence", "screen_patterns", "kept"]
+
+
+def test_mode_chunks_shuffle_no_texts(spark, capsys):
+    """Whether a page has one chunk is known from the page."""
+    rows = spark.createDataFrame([(1, 1, "word " * 300), (1, 2, "few words"), (2, 1, " \n"), (2, 2, None), (3, 1, "a b c. " * 20)], "report int, page int, text string")
+    out = documents.mode_chunks(rows, "report", "page", "balanced", limit=100)
+    out.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert {(1, 1)} <= {(r.report, r.page) for r in out.collect()} <= {(1, 1), (1, 2), (3, 1)}
