@@ -184,16 +184,23 @@ def range_text(text: Column, low: Column, high: Column) -> Column:
 def range_of_object(v: Column) -> Column:
     """struct(low, high, text) of a variant ``{low, high, unit}``. A bound that is no number takes the other with it; the text is
     ``low-high unit``, ``> low``, ``< high``, or the object itself where there is no bound."""
-    raw = {k: F.try_variant_get(v, f"$.{k}", "string") for k in ("low", "high", "unit")}
-    read = {k: number(raw[k]) for k in ("low", "high")}
-    bad = (raw["low"].isNotNull() & read["low"].isNull()) | (raw["high"].isNotNull() & read["high"].isNull())
-    low, high = (F.when(~bad, read[k]) for k in ("low", "high"))
-    bounds = (
-        F.when(low.isNotNull() & high.isNotNull(), F.concat(low.cast("string"), F.lit("-"), high.cast("string")))
-        .when(low.isNotNull(), F.concat(F.lit("> "), low.cast("string"))).when(high.isNotNull(), F.concat(F.lit("< "), high.cast("string")))
-    )
-    text = F.coalesce(F.concat_ws(" ", F.nullif(bounds, F.lit("")), F.when(bounds.isNotNull(), F.nullif(raw["unit"], F.lit("")))), F.lit(""))
-    return F.when(v.isNotNull(), F.struct(low.alias("low"), high.alias("high"), F.when(text != "", text).otherwise(F.to_json(v)).alias("text")))
+    def shown(v: Column) -> Column:
+        raw = F.struct(*[F.try_variant_get(v, f"$.{k}", "string").alias(k) for k in ("low", "high", "unit")])
+        return bind(raw, lambda raw: bind(F.struct(*[number(raw[k]).alias(k) for k in ("low", "high")]), lambda read: bounded(v, raw, read)))
+
+    def bounded(v: Column, raw: Column, read: Column) -> Column:
+        bad = (raw["low"].isNotNull() & read["low"].isNull()) | (raw["high"].isNotNull() & read["high"].isNull())
+        return bind(F.struct(*[F.when(~bad, read[k]).alias(k) for k in ("low", "high")]), lambda r: said(v, raw["unit"], r["low"], r["high"]))
+
+    def said(v: Column, unit: Column, low: Column, high: Column) -> Column:
+        bounds = (
+            F.when(low.isNotNull() & high.isNotNull(), F.concat(low.cast("string"), F.lit("-"), high.cast("string")))
+            .when(low.isNotNull(), F.concat(F.lit("> "), low.cast("string"))).when(high.isNotNull(), F.concat(F.lit("< "), high.cast("string")))
+        )
+        text = F.coalesce(F.concat_ws(" ", F.nullif(bounds, F.lit("")), F.when(bounds.isNotNull(), F.nullif(unit, F.lit("")))), F.lit(""))
+        return F.when(v.isNotNull(), F.struct(low.alias("low"), high.alias("high"), F.when(text != "", text).otherwise(F.to_json(v)).alias("text")))
+
+    return bind(v, shown)
 
 
 def effective_date(*dates: Column) -> Column:

@@ -10,11 +10,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df``, dealt over all cores where its files give fewer splits than there are: heavy expressions over a small file would
-    keep one core busy. Large tables have many splits and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    keep one core busy. Large tables have many splits and stay as they are, unless these hold more than ``rows`` rows: small rows with
+    heavy expressions would make long tasks."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        most = max(most, -(-df.count() // rows))
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+
+
+#: Rows of a task that looks through a text made of each.
+SHORT_TEXTS = 50_000
 
 
 def people(spark: SparkSession, folder: str) -> DataFrame:

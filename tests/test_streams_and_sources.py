@@ -141,3 +141,12 @@ def test_pages_of_a_long_file_are_streamed(tmp_path):
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 30_000
     assert tracemalloc.get_traced_memory()[1] < 80e6  # of a file of 120 MB
     tracemalloc.stop()
+
+
+def test_small_rows_with_heavy_expressions_make_short_tasks(spark):
+    from assaykit.plans import lookups
+    from assaykit.sources.tables import spread
+
+    few = spark.range(1000, numPartitions=1)
+    assert spread(few, 10).rdd.getNumPartitions() == 100 and spread(few, 5000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert lookups.range_objects(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() >= 2
