@@ -8,7 +8,7 @@ from ..functions import sql, texts, values
 from ..operators import state
 from ..sources import pages
 from ..sources.storage import new_path
-from ..sources.tables import readings, spread, table
+from ..sources.tables import SHORT_TEXTS, readings, spread, table
 from ..streaming import lifecycle
 from .catalogue import SQL, query, r6
 
@@ -107,7 +107,7 @@ FROM events WHERE event_type NOT IN ('error', 'view')""")
 def sql_loose_measurements(spark, d):
     _session(spark, d, "events")
     said = spark.table("lab_events").select("event_id", F.format_string("%s: %.2f mg/dl (1-50)", F.initcap(F.when(F.col("event_type") == "error", "date").otherwise(F.col("event_type"))), "value").alias("text"))
-    spread(said).createOrReplaceTempView("lab_said")
+    spread(said, SHORT_TEXTS).createOrReplaceTempView("lab_said")
     return spark.sql("""
 SELECT event_id AS reading_id, m.name, m.value, m.unit, lab_range(m.reference_range).low AS low, lab_range(m.reference_range).high AS high FROM lab_said, LATERAL loose_measurements(text) AS m""")
 

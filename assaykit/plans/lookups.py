@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts, values
 from ..operators import dictionary, documents, matching, relational, state
-from ..sources.tables import people, readings, spread, table
+from ..sources.tables import SHORT_TEXTS, people, readings, spread, table
 from .catalogue import _ASCII, _BALANCED, _count, _docs, _replaced, day, query, r6
 
 
@@ -114,7 +114,7 @@ def range_objects(spark, d):
         F.lit('{"unit": "mg/dL"'), F.when(k != 2, F.concat(F.lit(', "low": '), a)).otherwise(""), F.when(k.isin(0, 2), F.concat(F.lit(', "high": "'), b, F.lit('"'))).otherwise(""),
         F.when(k == 3, ', "high": "x"').otherwise(""), F.lit("}"),
     )
-    r = readings(spark, d).select("reading_id", values.range_of_object(F.parse_json(said)).alias("r"))
+    r = spread(readings(spark, d).select("reading_id", "person_id"), SHORT_TEXTS).select("reading_id", values.range_of_object(F.parse_json(said)).alias("r"))
     return r.select("reading_id", F.col("r.low").alias("low"), F.col("r.high").alias("high"), F.col("r.text").alias("range_text"))
 
 
@@ -221,7 +221,7 @@ SELECT *, value < low OR value > high AS is_abnormal FROM f""")
 def extract_shapes(spark, d):
     value = F.format_string("%.2f", "value")
     kinds = [F.concat(F.lit(a), value, F.lit(b)) for a, b in (s.split("%s") for s in _SHAPED)]
-    said = spread(readings(spark, d).select("reading_id", "value")).select("reading_id", F.concat(F.lit("Seen today.\n"), F.element_at(F.array(*kinds), (F.col("reading_id") % 10 + 1).cast("int")), F.lit("\nnext line")).alias("text"))
+    said = spread(readings(spark, d).select("reading_id", "value"), SHORT_TEXTS).select("reading_id", F.concat(F.lit("Seen today.\n"), F.element_at(F.array(*kinds), (F.col("reading_id") % 10 + 1).cast("int")), F.lit("\nnext line")).alias("text"))
     return documents.known_measurements(said, "reading_id").select("reading_id", "name", "value", "low", "high", "is_abnormal")
 
 
@@ -232,7 +232,7 @@ def extract_refused(spark, d):
     k, v, w = F.col("reading_id") % 3, F.format_string("%.2f", "value"), F.format_string("%.2f", F.col("value") + 1)
     text = F.when(k == 0, F.concat(F.lit("Glucose: "), v, F.lit(" mg/dL (70-99)\nHbA1c: "), w, F.lit(" pct.\nCholesterol: 5 mg/dL"))).when(
         k == 1, F.concat(F.lit("Glucose: "), v, F.lit(" mg/dL (70-99)) glucose: 7 mg/dL (1-2)"))).otherwise(F.lit("Patient name: 12 x (1) Page 3 of them (2) CALCIUM SERUMX: 3 mg"))
-    found = documents.loose_measurements(readings(spark, d).select("reading_id", text.alias("text")), "reading_id")
+    found = documents.loose_measurements(spread(readings(spark, d).select("reading_id", "value"), SHORT_TEXTS).select("reading_id", text.alias("text")), "reading_id")
     return found.select("reading_id", "name", r6("value").alias("value"), "confidence")
 
 
