@@ -212,25 +212,36 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.when(n <= size, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))))
 
 
-def two_stage_match(wanted: DataFrame, people: DataFrame, key: str, id_col: str, name_col: str, gram: int = 3) -> DataFrame:
+def two_stage_match(wanted: DataFrame, people: DataFrame, key: str, id_col: str, name_col: str, gram: int = 3, side: int = 1000) -> DataFrame:
     """Matches by equal id; rows (wanted: their key) without any match by names that contain the wanted one, case aside.
 
     A name that contains another has all its runs of ``gram`` characters, so the two meet by equality of the wanted name's rarest
     run, and only those pairs are compared. Names shorter than a run meet all shorter runs of the people's names. Each distinct name is
     compared once, and rows are joined to the pairs of names that were found. Null and empty names match by id only.
+
+    All sides grow with the input, so none is broadcast: they compress too well for Spark to tell their size. The rows of a wanted name and
+    the persons it finds are cut into pieces of about ``side`` rows, and each pair of pieces is one key, so a frequent name is spread.
     """
     p = people.select(F.col(key).alias("match"), F.col(id_col).alias("__id"), F.lower(name_col).alias("__name"))
-    by_id = wanted.join(p, F.col(id_col) == F.col("__id")).select(*wanted.columns, "match")
-    left = wanted.join(by_id.select("wanted").distinct(), "wanted", "left_anti").withColumn("__w", F.lower(name_col)).where("__w != ''")
+    by_id = wanted.join(p.hint("merge"), F.col(id_col) == F.col("__id")).select(*wanted.columns, "match")
+    left = wanted.join(by_id.select("wanted").distinct().hint("merge"), "wanted", "left_anti").withColumn("__w", F.lower(name_col)).where("__w != ''")
     sizes = range(1, gram + 1)
-    names = p.where("__name != ''").select("__name").distinct()
-    runs = names.select("__name", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("__name"), k) for k in sizes])))).alias("__g"))
+    names = p.where("__name != ''").groupBy("__name").agg(F.count("*").alias("__n"))
+    runs = names.select("__name", "__n", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("__name"), k) for k in sizes])))).alias("__g"))
     counts = runs.groupBy("__g").agg(F.count("*").alias("__k"))
-    asked = left.select("__w").distinct().select("__w", F.explode(_grams(F.col("__w"), gram)).alias("__g")).join(counts, "__g", "left")
-    rarest = asked.groupBy("__w").agg(F.min_by("__g", F.struct(F.coalesce("__k", F.lit(0)), "__g")).alias("__g"))
-    met = rarest.join(runs, "__g").where(F.contains("__name", F.col("__w"))).select("__w", "__name")
-    rows = met.join(p.select("match", "__name"), "__name").join(left, "__w")
-    return by_id.unionByName(rows.select(*wanted.columns, "match"))
+    asked = left.groupBy("__w").agg(F.count("*").alias("__m")).select("__w", "__m", F.explode(_grams(F.col("__w"), gram)).alias("__g")).join(counts.hint("merge"), "__g", "left")
+    rarest = asked.groupBy("__w", "__m").agg(F.min_by("__g", F.struct(F.coalesce("__k", F.lit(0)), "__g")).alias("__g"))
+    met = rarest.join(runs.hint("merge"), "__g").where(F.contains("__name", F.col("__w"))).select("__w", "__m", "__name", "__n")
+    pieces = lambda rows: F.ceil(rows / side).cast("int")
+    grid = met.groupBy("__w").agg(pieces(F.max("__m")).alias("__is"), pieces(F.sum("__n")).alias("__js"))
+    piece = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(grid.hint("merge"), "__w").select(*wanted.columns, "__w", piece("wanted", "__is").alias("__i"), every("__js").alias("__j"))
+    found = met.select("__w", "__name").join(grid.hint("merge"), "__w").join(p.select("match", "__name").hint("merge"), "__name")
+    found = found.select("match", "__w", every("__is").alias("__i"), piece("match", "__js").alias("__j"))
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs make many rows: not to be coalesced
+    found, left = (df.repartition(parts, "__w", "__i", "__j") for df in (found, left))
+    return by_id.unionByName(found.join(left.hint("merge"), ["__w", "__i", "__j"]).select(*wanted.columns, "match"))
 
 
 def suggestions(df: DataFrame, category: str = "category", priority: str = "priority", text: str = "text", tie: str = "id") -> DataFrame:

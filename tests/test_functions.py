@@ -252,6 +252,25 @@ def test_copies_of_names_are_compared_once(spark):
     assert time.time() - began < 20
 
 
+def test_two_stage_match_in_pieces(spark):
+    """Frequent names in pieces of two rows give what a loop over all pairs gives, and nothing is sent to the driver to be broadcast."""
+    rng = random.Random(5)
+    name = lambda n: None if rng.random() < 0.1 else "".join(rng.choices("aB c", k=rng.randint(0, n)))
+    id = lambda: rng.choice([None, None, rng.randint(1, 60)])  # noqa: E731, A001
+    wanted = [(k, id(), name(4)) for k in range(60)] + [(60 + k, None, "Same") for k in range(7)]
+    people = [(100 + k, id(), name(7)) for k in range(80)] + [(200 + k, None, "the SAME one") for k in range(9)] + [(300, None, "same")]
+    want = []
+    for w, i, n in wanted:
+        same = [p for p, j, _ in people if i is not None and i == j]
+        want += [(w, p) for p in same or [p for p, _, m in people if n and m and n.lower() in m.lower()]]
+    frames = spark.createDataFrame(wanted, "wanted int, id int, name string"), spark.createDataFrame(people, "person int, id int, name string")
+    found = relational.two_stage_match(*frames, "person", "id", "name", side=2).select("wanted", "match")
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 400
+    found = relational.two_stage_match(*frames, "person", "id", "name").select("wanted", "match")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_decimal_as_c_prints_it(spark):
     rng = random.Random(9)
     at = [0.0, -0.0, 0.04, -0.04, 0.05, -0.05, 0.15, 0.25, 0.35, 0.75, 109806.25, 2.675e10, 1e13 + 0.25, 99.95, 99.949999]
