@@ -151,6 +151,26 @@ def test_matching_of_one_tenant_in_pieces(spark):
     assert sorted((r.row_id, r.person_id) for r in found) == [(1, 1), (2, 1), (3, 3)]
 
 
+def test_ten_times_the_rows_of_a_tenant_are_sent_ten_times(spark):
+    """Not a hundred times, nor broadcast; all pairs are scored, also where a group has more blocks than one."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    fields = [F.lit(1).alias("tenant"), F.lit("Ann").alias("name"), F.lit(None).cast("string").alias("dob"), F.lit("f").alias("gender")]
+    try:
+        for n in (20, 200):
+            ids = F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("id")
+            have = spark.range(n).select(F.col("id").alias("person_id"), *fields, ids)
+            seen = spark.range(n).select(F.col("id").cast("int").alias("row_id"), *fields, ids)
+            sent = matching.in_pieces(seen, have, 5, 10_000)
+            assert 2 * n < sent.count() <= 2 * n * 4 and "BroadcastHashJoin" not in sent._jdf.queryExecution().executedPlan().toString()
+            assert matching.in_pieces(seen, have, 5, 10).groupBy("t", "i", "j").count().agg(F.max("count")).first()[0] < 60
+            found = [tuple(r) for r in matching.match_people(seen, have, 0.1, side=5).collect()]
+            assert len(found) == n * n and sorted((a, b) for a, b, _ in found) == [(a, b) for a in range(n) for b in range(n)]
+            assert {s for a, b, s in found if a == b} == {1.0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_all_events_are_parsed(spark, small, monkeypatch):
     """The parser, not a filter before it, refuses events of unknown names."""
     given, parse = [], documents.known_measurements
